@@ -232,7 +232,7 @@ def part_statistics() -> str:
     parts = []
     for name, (kind, width) in STATISTIC_COLUMNS.items():
         figures = {"num_nulls": f"count(*) FILTER ({name} IS NULL)"}
-        figures["max_col_len"] = str(width) if width else f"max(strlen({name}))"
+        figures["max_col_len"] = f"max({width})" if width else f"max(strlen({name}))"
         if width:
             figures |= {"min": f"min({name})", "max": f"max({name})"}
         parts += [
@@ -341,7 +341,7 @@ def oracles() -> dict[str, str]:
             SELECT doc_id, chunk_no::INTEGER AS chunk_no, chunk FROM chunks""",
         "chunk_rejoin": f"""
             WITH {paragraph_chunks_of("documents", "doc_id")}
-            SELECT doc_id, string_agg(upper(chunk), chr(10) ORDER BY chunk_no) AS text FROM chunks GROUP BY doc_id""",
+            SELECT doc_id, string_agg('[' || chunk || ']', chr(10) ORDER BY chunk_no) AS text FROM chunks GROUP BY doc_id""",
         "sentence_chunks_480_first3": first_sentence_chunks(3),
         "sentence_chunks_480_first6": first_sentence_chunks(6),
         "speech_requests": f"""

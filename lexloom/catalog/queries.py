@@ -330,7 +330,7 @@ def chunk_900(spark, folder):
 
 @query
 def chunk_rejoin(spark, folder):
-    chunks = chunk_900(spark, folder).withColumn("chunk", F.upper("chunk"))
+    chunks = chunk_900(spark, folder).withColumn("chunk", F.concat(F.lit("["), "chunk", F.lit("]")))
     return chunking.join_chunks(chunks, "doc_id")
 
 
@@ -506,7 +506,8 @@ def lang_confusion(spark, folder):
 
 def _request_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet")
+    # The bracket makes the path a pattern: as a plain path, a single file cannot feed a stream.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.languages import UNKNOWN, iso_code, script_language
-from lexloom.session import shared_dir
+from lexloom.session import shared_dir, spread_small_input
 
 # Log-probabilities are kept as whole numbers of this size, so that sums do not
 # depend on the order in which partial sums meet.
@@ -52,8 +52,9 @@ def train_profile(
         raise ValueError(f"between 1 and {MAX_LANGUAGES} languages expected, got {len(languages)}")
     spark = labelled.sparkSession
     path = shared_dir(spark, "trigram-counts")
+    used = labelled.select(label, text).where(F.col(label).isin(*languages))
     (
-        labelled.where(F.col(label).isin(*languages))
+        spread_small_input(used)
         .select(F.col(label).alias("language"), F.explode(trigrams(F.col(text))).alias("gram"))
         .groupBy("gram")
         .agg(*[F.count_if(F.col("language") == code).alias(code) for code in languages])
@@ -89,12 +90,11 @@ def detect_language(df: DataFrame, key: str, text: str, profile: Profile, keep:
     so the shuffle carries one row per text. Keys must be unique.
     """
     names = [_weight(code) for code in profile.languages]
-    grams = df.select(
-        key,
-        *keep,
-        script_language(F.col(text)).alias("script"),
-        F.explode_outer(trigrams(F.col(text))).alias("gram"),
+    # Two projections: in one, the script would be decided again for every trigram.
+    scripted = spread_small_input(df.select(key, *keep, text)).select(
+        key, *keep, script_language(F.col(text)).alias("script"), trigrams(F.col(text)).alias("grams")
     )
+    grams = scripted.select(key, *keep, "script", F.explode_outer("grams").alias("gram"))
     sums = (
         grams.join(F.broadcast(profile.rows), "gram", "left")
         .groupBy(key, *keep, "script")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.operators.blocks import Limits, Matches, Side, SparseKernel, search
-from lexloom.session import shared_dir
+from lexloom.session import shared_dir, spread_small_input
 
 # Letters and the marks that carry vowel signs; everything else separates tokens.
 SEPARATORS = r"[^\p{L}\p{M}]+"
@@ -69,7 +69,8 @@ def build_vocabulary(documents: DataFrame, text: str, separators: str = SEPARATO
     n_documents = documents.count()
     path = shared_dir(spark, "vocabulary")
     (
-        documents.select(F.explode(F.array_distinct(tokens(F.col(text), separators))).alias("term"))
+        spread_small_input(documents.select(text))
+        .select(F.explode(F.array_distinct(tokens(F.col(text), separators))).alias("term"))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("df"))
         .withColumn("idf", F.log((F.lit(n_documents) + 1) / (F.col("df") + 1)))
@@ -106,7 +107,7 @@ def term_vectors(
     hot_terms: int = HOT_TERMS,
 ) -> DataFrame:
     """``(key, terms, weights)``: unit TF-IDF vectors; texts without known terms are left out."""
-    entries = texts.select(key, F.inline(term_counts(F.col(text), separators)))
+    entries = spread_small_input(texts.select(key, text)).select(key, F.inline(term_counts(F.col(text), separators)))
     weighted = _with_idf(entries, vocabulary, broadcast_terms, hot_terms).select(
         key, "term", (F.col("tf") * F.col("idf")).alias("weight")
     )

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+FULL_SPLIT = 128 << 20
+TINY_INPUT = 256 << 10
 
 
 def build_session(app_name: str = "lexloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,3 +51,16 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="lexloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Give text-heavy work one task per core when the input has fewer full splits than that.
+
+    A small table often arrives as one file that a single task would read and
+    then work through alone. Its rows are dealt out first; at most one split per
+    core is shuffled. Larger inputs keep the splits they are read in. The size
+    is the optimizer's estimate and decides about speed only.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if TINY_INPUT < size < cores * FULL_SPLIT else df
