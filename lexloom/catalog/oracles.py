@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexloom.functions.hints import OFFENSES
-from lexloom.functions.languages import LOCALES, SCRIPT_LANGUAGES
+from lexloom.functions.languages import LOCALES, SCRIPT_BLOCKS, script_pattern
 from lexloom.functions.text import UNICODE_SPACES
 from lexloom.operators.context import EXPLAIN_ROLE, EXPLAIN_TOKENS, GUIDANCE_ROLE, GUIDANCE_TOKENS
 
@@ -189,10 +189,7 @@ def detection(table: str, keys: str) -> str:
     sums = ", ".join(f"sum(log_{code}) AS log_{code}" for code in LANGUAGES)
     best = "greatest(" + ", ".join(f"log_{code}" for code in LANGUAGES) + ")"
     first_best = " ".join(f"WHEN log_{code} = {best} THEN '{code}'" for code in LANGUAGES)
-    # DuckDB names Oriya as Spark does; both follow the Unicode script names.
-    votes = {
-        code: rf"len(regexp_extract_all(text, '\p{{{script}}}'))" for script, code in SCRIPT_LANGUAGES.items()
-    }
+    votes = {code: f"len(regexp_extract_all(text, '{script_pattern(code)}'))" for code in SCRIPT_BLOCKS}
     most = "greatest(" + ", ".join(votes.values()) + ")"
     by_script = " ".join(f"WHEN {vote} = {most} THEN '{code}'" for code, vote in votes.items())
     return f"""

@@ -15,7 +15,7 @@ from lexloom.functions.hints import hint_block_column
 from lexloom.operators import chunking, clean, context, embed, language, profile, requests, retrieval, sparse
 from lexloom.operators.blocks import Matches
 from lexloom.plans.guidance import guidance
-from lexloom.session import shared_dir
+from lexloom.session import shared_dir, spread_small_input
 from lexloom.sources import csv, tables
 from lexloom.sources.vectors import read_embedding_table, write_embedding_table
 from lexloom.streaming.retrieval import stream_guidance, stream_topk
@@ -325,7 +325,8 @@ def sparse_retrieval_k5(spark, folder):
 @query
 def chunk_900(spark, folder):
     chunks = text.paragraph_chunks(F.col("text"))
-    return chunking.explode_chunks(table(spark, folder, "documents"), chunks, "doc_id")
+    documents = spread_small_input(table(spark, folder, "documents").select("doc_id", "text"))
+    return chunking.explode_chunks(documents, chunks, "doc_id")
 
 
 @query
@@ -335,10 +336,14 @@ def chunk_rejoin(spark, folder):
 
 
 def _first_sentence_chunks(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    documents = table(spark, folder, "documents")
-    chunked = documents.select("doc_id", text.sentence_chunks(F.col("text")).alias("chunks"))
-    kept = chunked.withColumns(
-        {"n_dropped": text.n_dropped(F.col("chunks"), n), "chunks": text.first_chunks(F.col("chunks"), n)}
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    chunked = spread_small_input(documents).select(
+        "doc_id", text.sentence_chunks(F.col("text")).alias("chunks")
+    )
+    kept = chunked.select(
+        "doc_id",
+        text.n_dropped(F.col("chunks"), n).alias("n_dropped"),
+        text.first_chunks(F.col("chunks"), n).alias("chunks"),
     )
     return chunking.explode_chunks(kept, F.col("chunks"), "doc_id", "n_dropped")
 

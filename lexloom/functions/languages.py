@@ -26,19 +26,30 @@ LOCALES = {
     "Odia": "or-IN",
 }
 
-# Unicode script -> ISO code of the language it decides. Devanagari
-# is shared with Marathi; only a profile trained on both can part the two.
-SCRIPT_LANGUAGES = {
-    "Devanagari": "hi",
-    "Tamil": "ta",
-    "Telugu": "te",
-    "Kannada": "kn",
-    "Malayalam": "ml",
-    "Bengali": "bn",
-    "Gujarati": "gu",
-    "Gurmukhi": "pa",
-    "Oriya": "or",
+# ISO code of the language a script decides -> first and last code point
+# of the script's Unicode block. Devanagari is shared by Hindi and Marathi; only a
+# profile trained on both can part the two.
+SCRIPT_BLOCKS = {
+    "hi": (0x0900, 0x097F),
+    "bn": (0x0980, 0x09FF),
+    "pa": (0x0A00, 0x0A7F),
+    "gu": (0x0A80, 0x0AFF),
+    "or": (0x0B00, 0x0B7F),
+    "ta": (0x0B80, 0x0BFF),
+    "te": (0x0C00, 0x0C7F),
+    "kn": (0x0C80, 0x0CFF),
+    "ml": (0x0D00, 0x0D7F),
 }
+# Full stops of the Devanagari block that other scripts use too.
+DANDAS = (0x0964, 0x0965)
+
+
+def script_pattern(code: str) -> str:
+    """A character class of one script, readable by Spark and by RE2."""
+    first, last = SCRIPT_BLOCKS[code]
+    if first < DANDAS[0] < last:
+        return f"[{chr(first)}-{chr(DANDAS[0] - 1)}{chr(DANDAS[1] + 1)}-{chr(last)}]"
+    return f"[{chr(first)}-{chr(last)}]"
 
 
 def _lookup(mapping: dict[str, str], key: Column) -> Column:
@@ -79,20 +90,20 @@ def needs_translation(text: Column, source: Column, target: Column, has_key: Col
 
 
 def script_language(text: Column) -> Column:
-    """The language whose script has most letters in the text; NULL without such letters.
+    """The language whose script has most characters in the text; NULL without such characters.
 
     One guard pattern keeps texts in other scripts from being scanned per script.
     Ties go to the script listed first.
     """
-    any_indic = "[" + "".join(rf"\p{{Is{script}}}" for script in SCRIPT_LANGUAGES) + "]"
+    any_script = "[" + "".join(script_pattern(code)[1:-1] for code in SCRIPT_BLOCKS) + "]"
     votes = F.array(
         *[
             F.struct(
-                F.regexp_count(text, F.lit(rf"\p{{Is{script}}}")).alias("n"),
+                F.regexp_count(text, F.lit(script_pattern(code))).alias("n"),
                 F.lit(-place).alias("place"),
                 F.lit(code).alias("code"),
             )
-            for place, (script, code) in enumerate(SCRIPT_LANGUAGES.items())
+            for place, code in enumerate(SCRIPT_BLOCKS)
         ]
     )
-    return F.when(text.rlike(any_indic), F.array_max(votes)["code"])
+    return F.when(text.rlike(any_script), F.array_max(votes)["code"])

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def explode_chunks(df: DataFrame, chunks: Column, *keep: str) -> DataFrame:
-    """``(keep…, chunk_no, chunk)``, one row per chunk; rows without chunks vanish. No shuffle."""
-    return df.select(*keep, F.posexplode(chunks).alias("chunk_no", "chunk"))
+    """``(keep…, chunk_no, chunk)``, one row per chunk; rows without chunks vanish.
+
+    Chunks are cut where their text is read. The outer form is used because the plain one would add a filter on the
+    chunk list and so cut every text twice.
+    """
+    rows = df.select(*keep, F.posexplode_outer(chunks).alias("chunk_no", "chunk"))
+    return rows.where(F.col("chunk").isNotNull())
 
 
 def join_chunks(chunks: DataFrame, *keys: str, chunk: str = "chunk", joiner: str = "\n") -> DataFrame:

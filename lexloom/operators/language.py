@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.functions.languages import UNKNOWN, iso_code, script_language
 from lexloom.session import shared_dir, spread_small_input
@@ -80,40 +83,72 @@ def train_profile(
     return Profile(rows, languages)
 
 
+def _gram_codes(text: str) -> np.ndarray:
+    """Every trigram of a text as one number: three code points of 21 bits each."""
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    return points[:-2] | points[1:-1] << np.uint64(21) | points[2:] << np.uint64(42)
+
+
+def _profile_sums(profile: Profile) -> Callable[[Column], Column]:
+    """A function giving the sum of log-probabilities per language, NULL without a known trigram.
+
+    A text is looked up as a whole in numpy, against the bounded profile: as rows,
+    every character of the corpus would pass through a join and an aggregation.
+    """
+    known = profile.rows.orderBy("gram").toPandas()
+    codes = np.concatenate([_gram_codes(gram) for gram in known["gram"]] or [np.empty(0, np.uint64)])
+    order = np.argsort(codes)
+    codes = codes[order]
+    logs = known[[_weight(code) for code in profile.languages]].to_numpy(np.int64)[order]
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def sums(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> np.ndarray | None:
+            if not text or not len(codes):
+                return None
+            grams = _gram_codes(text)
+            place = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
+            hits = place[codes[place] == grams]
+            return np.bincount(hits, minlength=len(codes)) @ logs if len(hits) else None
+
+        return texts.map(one, na_action=None)
+
+    return sums
+
+
 def detect_language(df: DataFrame, key: str, text: str, profile: Profile, keep: Sequence[str] = ()) -> DataFrame:
     """``(key, keep…, detected)`` for every row.
 
-    A text with letters of an Indic script gets that script's language. Any other
-    text gets the language with the largest sum of trigram log-probabilities,
-    the first in alphabetical order among equals, or ``unknown`` when no trigram
-    is known. The trigrams of one text are summed inside the task that read it,
-    so the shuffle carries one row per text. Keys must be unique.
+    A text with characters of an Indic script gets that script's language. Any
+    other text gets the language with the largest sum of trigram
+    log-probabilities, the first in alphabetical order among equals, or
+    ``unknown`` when no trigram is known. Rows are judged where they are read:
+    nothing is shuffled but a small input that is dealt out first.
     """
-    names = [_weight(code) for code in profile.languages]
-    # Two projections: in one, the script would be decided again for every trigram.
-    scripted = spread_small_input(df.select(key, *keep, text)).select(
-        key, *keep, script_language(F.col(text)).alias("script"), trigrams(F.col(text)).alias("grams")
-    )
-    grams = scripted.select(key, *keep, "script", F.explode_outer("grams").alias("gram"))
-    sums = (
-        grams.join(F.broadcast(profile.rows), "gram", "left")
-        .groupBy(key, *keep, "script")
-        .agg(*[F.sum(name).alias(name) for name in names])
+    judged = spread_small_input(df.select(key, *keep, text)).select(
+        key,
+        *keep,
+        script_language(F.col(text)).alias("script"),
+        _profile_sums(profile)(F.lower(text)).alias("sums"),
     )
 
     def best(codes: Sequence[str]) -> Column:
         scored = [
-            F.struct(F.col(_weight(code)).alias("score"), F.lit(-place).alias("place"), F.lit(code).alias("code"))
+            F.struct(
+                F.get("sums", F.lit(profile.languages.index(code))).alias("score"),
+                F.lit(-place).alias("place"),
+                F.lit(code).alias("code"),
+            )
             for place, code in enumerate(codes)
         ]
-        return F.when(F.col(_weight(codes[0])).isNotNull(), F.array_max(F.array(*scored))["code"])
+        return F.when(F.col("sums").isNotNull(), F.array_max(F.array(*scored))["code"])
 
     by_script = F.col("script")
     shared = [code for code in profile.languages if code in ("hi", "mr")]
     if len(shared) == 2:
         by_script = F.when(by_script == "hi", F.coalesce(best(shared), by_script)).otherwise(by_script)
     detected = F.coalesce(by_script, best(profile.languages), F.lit(UNKNOWN))
-    return sums.select(key, *keep, detected.alias("detected"))
+    return judged.select(key, *keep, detected.alias("detected"))
 
 
 def language_score(detected: Column, expected: Column) -> Column:

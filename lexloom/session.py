@@ -61,6 +61,6 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     core is shuffled. Larger inputs keep the splits they are read in. The size
     is the optimizer's estimate and decides about speed only.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if TINY_INPUT < size < cores * FULL_SPLIT else df
