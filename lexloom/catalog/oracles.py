@@ -102,11 +102,11 @@ def matches(k: int, corpus: str = "embeddings", others: bool = False) -> str:
     return f"""
         pairs AS (
             SELECT q.vec_id AS query_id, c.vec_id AS key,
-                   round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS exact
+                   round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS similarity
             FROM embeddings q CROSS JOIN {corpus} c {condition}),
         matches AS (
-            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, key)::INTEGER AS rank,
-                   key, round(exact, 6) AS similarity, exact
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, key)::INTEGER AS rank,
+                   key, similarity
             FROM pairs QUALIFY rank <= {k})"""
 
 
@@ -310,7 +310,7 @@ def oracles() -> dict[str, str]:
             WITH {matches(5)} SELECT query_id, rank, key, similarity, source, lang, n_chars FROM {RECORDS}""",
         "match_display": f"""
             WITH {matches(5)}
-            SELECT query_id, rank, key::VARCHAR AS section, source AS name, printf('%.3f', exact) AS cosine,
+            SELECT query_id, rank, key::VARCHAR AS section, source AS name, printf('%.3f', similarity) AS cosine,
                    left(text, 400) || '…' AS excerpt
             FROM {RECORDS}""",
         "retrieval_hit_rate": f"""

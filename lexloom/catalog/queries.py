@@ -220,13 +220,9 @@ def _topk(spark: SparkSession, folder: str, k: int) -> Matches:
     return retrieval.topk(embeddings, embeddings, k, query_id="vec_id", key="vec_id")
 
 
-def _rounded(matches: DataFrame) -> DataFrame:
-    return matches.withColumn("similarity", F.round("similarity", 6))
-
-
 def _register_topk(k: int) -> None:
     def run(spark, folder):
-        return _rounded(_topk(spark, folder, k).rows)
+        return _topk(spark, folder, k).rows
 
     REGISTERED[f"topk_cosine_k{k}"] = run
 
@@ -239,7 +235,7 @@ for _k in (3, 5, 7, 10):
 def topk_short_corpus(spark, folder):
     embeddings = table(spark, folder, "embeddings")
     few = _first_per_label(embeddings).select("vec_id", "embedding")
-    return _rounded(retrieval.topk(embeddings, few, 100, query_id="vec_id", key="vec_id").rows)
+    return retrieval.topk(embeddings, few, 100, query_id="vec_id", key="vec_id").rows
 
 
 def _records(spark: SparkSession, folder: str, k: int = 5) -> DataFrame:
@@ -249,7 +245,7 @@ def _records(spark: SparkSession, folder: str, k: int = 5) -> DataFrame:
 @query
 def retrieve_records(spark, folder):
     columns = ("query_id", "rank", "key", "similarity", "source", "lang", "n_chars")
-    return _rounded(_records(spark, folder).select(*columns))
+    return _records(spark, folder).select(*columns)
 
 
 @query
@@ -528,7 +524,7 @@ def stream_retrieval(spark, folder):
         key="vec_id",
     )
     running.awaitTermination()
-    return _rounded(spark.read.parquet(out).drop("batch_id"))
+    return spark.read.parquet(out).drop("batch_id")
 
 
 @query
