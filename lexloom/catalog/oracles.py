@@ -119,8 +119,8 @@ RECORDS = "matches JOIN documents ON doc_id = key"
 HINTS = "||chr(10)||".join(literal(f"- {offense}: {reference}") for offense, reference in OFFENSES.items())
 
 
-def contexts(corpus: str) -> str:
-    return f"""{matches(5, corpus)},
+def contexts() -> str:
+    return f"""{matches(5)},
         context AS (
             SELECT query_id, count(*) AS n_sections, string_agg({LINE}, chr(10) ORDER BY rank) AS context
             FROM {RECORDS} GROUP BY query_id)"""
@@ -132,7 +132,7 @@ def chat_requests() -> str:
         f"|| chr(10) || chr(10) || 'Offense reference:' || chr(10) || {HINTS}"
     )
     return f"""
-        WITH corpus AS (SELECT e.* FROM embeddings e JOIN documents ON doc_id = vec_id), {contexts("corpus")},
+        WITH {contexts()},
         asked AS (SELECT d.doc_id AS query_id, {user} AS content
                   FROM documents d JOIN embeddings ON d.doc_id = vec_id LEFT JOIN context ON query_id = d.doc_id)
         SELECT query_id, 0 AS pos, 'system' AS role, {literal(GUIDANCE_ROLE)} AS content,
@@ -322,7 +322,7 @@ def oracles() -> dict[str, str]:
             SELECT label, count(*) AS queries, count(*) FILTER (hit = 1) AS hits,
                    round(avg(coalesce(hit, 0)), 6) AS hit_rate
             FROM embeddings LEFT JOIN hits ON query_id = vec_id GROUP BY label""",
-        "retrieval_context": f"WITH {contexts('embeddings')} SELECT query_id, n_sections, context FROM context",
+        "retrieval_context": f"WITH {contexts()} SELECT query_id, n_sections, context FROM context",
         "hint_block": f"SELECT conv_id, turn, {HINTS} AS hint_block FROM conversations",
         "chat_requests": chat_requests(),
         "stream_chat_requests": chat_requests(),

@@ -272,25 +272,24 @@ def hint_block(spark, folder):
     return typed.withColumn("hint_block", hint_block_column(spark))
 
 
-def _requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as requests, each with its query vector."""
-    with_vector = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return table(spark, folder, "documents").join(with_vector, "doc_id").select(
-        F.col("doc_id").alias("request_id"), "text", "embedding"
-    )
-
-
-def _corpus(spark: SparkSession, folder: str) -> DataFrame:
-    with_vector = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return table(spark, folder, "documents").join(with_vector, "doc_id").select(
-        "doc_id", "source", "text", "embedding"
-    )
+def _vectors(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias(key), "embedding")
 
 
 @query
 def chat_requests(spark, folder):
+    query_vectors = _vectors(spark, folder, "request_id")
+    documents = table(spark, folder, "documents")
+    inputs = documents.select(F.col("doc_id").alias("request_id"), "text")
     sent = guidance(
-        _requests(spark, folder), _corpus(spark, folder), "doc_id", "source", "text", query_text="text"
+        inputs.join(query_vectors.select("request_id"), "request_id", "left_semi"),
+        _vectors(spark, folder, "doc_id"),
+        "doc_id",
+        "source",
+        "text",
+        query_text="text",
+        query_vectors=query_vectors,
+        records=documents,
     )
     return context.message_rows(sent)
 
@@ -534,14 +533,12 @@ def stream_chat_requests(spark, folder):
     def prepare(batch: DataFrame) -> DataFrame:
         typed = batch.select("doc_id", F.col("text").alias("typed"), F.lit("").alias("transcript"))
         resolved = requests.accepted(requests.resolve_requests(typed, "typed", "transcript", trim_typed=False))
-        with_vector = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-        return resolved.join(with_vector, "doc_id").select(
-            F.col("doc_id").alias("request_id"), "resolved", "embedding"
-        )
+        named = resolved.select(F.col("doc_id").alias("request_id"), "resolved")
+        return named.join(_vectors(spark, folder, "request_id"), "request_id")
 
     running = stream_guidance(
         _request_stream(spark, folder, "documents"),
-        lambda: _corpus(spark, folder),
+        lambda: _vectors(spark, folder, "doc_id"),
         prepare,
         out,
         shared_dir(spark, "stream-state"),
@@ -549,6 +546,7 @@ def stream_chat_requests(spark, folder):
         name="source",
         text="text",
         query_text="resolved",
+        records=table(spark, folder, "documents"),
     )
     running.awaitTermination()
     return context.message_rows(spark.read.parquet(out).drop("batch_id"))

@@ -16,18 +16,22 @@ sides meet depends on their measured sizes:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from lexloom.session import FULL_SPLIT
 
 TILE_ROWS = 2048
+HELD_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -46,21 +50,18 @@ class Side:
     """One side of a search.
 
     ``rows`` holds the key and the vector columns. ``source`` has at least as
-    many rows and is cheap to count; summing ``row_bytes`` over it bounds the
-    size of ``rows``.
+    many rows and is cheap to count. ``bytes_for`` bounds the size of ``rows``
+    given that count, without computing all vectors.
     """
 
     rows: DataFrame
     key: str
     source: DataFrame
-    row_bytes: Column
+    bytes_for: Callable[[int], int]
 
     def count(self) -> int:
         return self.source.count()
 
-    def size(self) -> int:
-        return self.source.agg(F.coalesce(F.sum(self.row_bytes), F.lit(0)).cast("long")).first()[0]
-
     @property
     def key_type(self) -> T.DataType:
         return self.rows.schema[self.key].dataType
@@ -85,12 +86,12 @@ class DenseKernel:
         if len(lengths) > 1:
             raise ValueError(f"vectors of different lengths: {sorted(lengths.to_pylist())}")
         flat = column.flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(len(column), -1).astype(np.float64)
+        return flat.reshape(len(column), -1)
 
     def score(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if left.shape[1] != right.shape[1]:
             raise ValueError(f"vectors of {left.shape[1]} and {right.shape[1]} elements cannot be compared")
-        return left @ right.T
+        return left.astype(np.float64) @ right.astype(np.float64).T
 
 
 class SparseKernel:
@@ -230,7 +231,7 @@ class _Search:
                 for query_tile, floor in zip(query_tiles, floors):
                     held.append(self.meet(query_tile, tile, floor))
                     n_held += len(held[-1])
-                if n_held > 8 * self.k * n_queries:
+                if n_held > 2 * self.k * n_queries + HELD_ROWS:
                     held = [_ranked(held, self.k)]
                     n_held = len(held[0])
                     full = held[0][held[0]["rank"] == self.k].set_index("query_id")["similarity"]
@@ -264,8 +265,6 @@ def _to_arrow(frame: pd.DataFrame, schema: pa.Schema) -> pa.Table:
 
 def _stream(side: Side, columns, work, schema: T.StructType, tasks: int | None) -> DataFrame:
     """Run ``work`` over the rows of a side where they lie, or spread over ``tasks`` first."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow_schema = to_arrow_schema(schema)
     rows = side.rows.select(side.key, *columns)
     if tasks:
@@ -286,12 +285,12 @@ def _rank(candidates: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "rank", "key", "similarity")
 
 
-def _grid(search: _Search, queries: Side, corpus: Side, schema: T.StructType, limits: Limits) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+def _grid(
+    search: _Search, queries: Side, corpus: Side, sizes: dict[str, int], schema: T.StructType, limits: Limits
+) -> DataFrame:
     arrow_schema = to_arrow_schema(schema)
-    n_query_blocks = max(1, math.ceil(queries.size() / limits.block_bytes))
-    n_corpus_blocks = max(1, math.ceil(corpus.size() / limits.block_bytes))
+    n_query_blocks = max(1, math.ceil(sizes["queries"] / limits.block_bytes))
+    n_corpus_blocks = max(1, math.ceil(sizes["corpus"] / limits.block_bytes))
     tasks = min(n_query_blocks * n_corpus_blocks, limits.max_tasks)
 
     def blocks(side: Side, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
@@ -316,10 +315,10 @@ def _grid(search: _Search, queries: Side, corpus: Side, schema: T.StructType, li
     return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(run, schema)
 
 
-def _tasks_needed(n_pairs: int, moving_bytes_bound: int, limits: Limits) -> int | None:
+def _tasks_needed(n_pairs: int, moving_bytes: int, limits: Limits) -> int | None:
     """How far to spread the streaming side: only if its natural splits would each score too much."""
     wanted = math.ceil(n_pairs / limits.pairs_per_task)
-    natural = max(1, moving_bytes_bound >> 27)
+    natural = max(1, moving_bytes // FULL_SPLIT)
     return min(wanted, limits.max_tasks) if wanted > 4 * natural else None
 
 
@@ -339,41 +338,37 @@ def search(
     on either side. A side is broadcast only when its measured size is within
     ``limits``; a requested strategy that breaks them raises.
     """
-    n_queries, n_corpus = queries.count(), corpus.count()
+    sides = {"queries": queries, "corpus": corpus}
+    counts = {name: side.count() for name, side in sides.items()}
+    sizes = {name: side.bytes_for(counts[name]) for name, side in sides.items()}
     task = _Search(kernel, k, decimals, queries.key, corpus.key)
     schema = _out_schema(queries, corpus)
-
-    def small(side: Side) -> bool:
-        return side.size() <= limits.broadcast_bytes
-
-    def queries_fit() -> bool:
-        return n_queries * k <= limits.partial_rows and small(queries)
+    fits = {name: size <= limits.broadcast_bytes for name, size in sizes.items()}
+    fits["queries"] &= counts["queries"] * k <= limits.partial_rows
 
     if strategy == "auto":
-        first, second = ("queries", "corpus") if n_queries < n_corpus else ("corpus", "queries")
-        fits = {"queries": queries_fit, "corpus": lambda: small(corpus)}
-        strategy = first if fits[first]() else second if fits[second]() else "grid"
-    elif strategy == "queries" and not queries_fit() or strategy == "corpus" and not small(corpus):
+        smaller_first = sorted(sides, key=lambda name: (counts[name], name))
+        strategy = next((name for name in smaller_first if fits[name]), "grid")
+    elif strategy not in ("queries", "corpus", "grid"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    elif not fits.get(strategy, True):
         raise ValueError(f"the {strategy} side is too large to broadcast")
 
-    n_pairs = n_queries * n_corpus
-    context = queries.rows.sparkSession.sparkContext
+    at_most = counts["queries"] * k
     if strategy == "grid":
-        rows = _rank(_grid(task, queries, corpus, schema, limits), k)
-    elif strategy == "queries":
-        held = context.broadcast(
-            task.load([queries.rows.select(queries.key, *kernel.columns).toArrow()], queries.key)
-        )
-        spread = _tasks_needed(n_pairs, n_corpus * 64, limits)
-        rows = _rank(
-            _stream(corpus, kernel.columns, lambda t: task.all_queries(held.value, t), schema, spread), k
-        )
-    elif strategy == "corpus":
-        held = context.broadcast(
-            task.load([corpus.rows.select(corpus.key, *kernel.columns).toArrow()], corpus.key)
+        return Matches(_rank(_grid(task, queries, corpus, sizes, schema, limits), k), at_most)
+
+    held_side = sides[strategy]
+    moving = "corpus" if strategy == "queries" else "queries"
+    spread = _tasks_needed(counts["queries"] * counts["corpus"], sizes[moving], limits)
+    collected = held_side.rows.select(held_side.key, *kernel.columns).toArrow()
+    held = queries.rows.sparkSession.sparkContext.broadcast(task.load([collected], held_side.key))
+    if strategy == "queries":
+        partial = _stream(
+            corpus, kernel.columns, lambda tables: task.all_queries(held.value, tables), schema, spread
         )
-        spread = _tasks_needed(n_pairs, n_queries * 64, limits)
-        rows = _stream(queries, kernel.columns, lambda t: task.each_query(held.value, t), schema, spread)
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    return Matches(rows, n_queries * k)
+        return Matches(_rank(partial, k), at_most)
+    complete = _stream(
+        queries, kernel.columns, lambda tables: task.each_query(held.value, tables), schema, spread
+    )
+    return Matches(complete, at_most)

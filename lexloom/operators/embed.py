@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions.vectors import l2_normalise
+from lexloom.session import spread_small_input
 
 Encoder = Callable[[np.ndarray], np.ndarray]
 
@@ -36,5 +37,5 @@ def embed_texts(
     encode = predict_batch_udf(
         make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
     )
-    encoded = df.withColumn(vector, encode(F.coalesce(F.col(text), F.lit(""))))
+    encoded = spread_small_input(df).withColumn(vector, encode(F.coalesce(F.col(text), F.lit(""))))
     return encoded.withColumn(vector, l2_normalise(F.col(vector)))

@@ -13,6 +13,7 @@ from lexloom.functions.languages import (
 )
 from lexloom.functions.text import first_chunks, n_dropped, paragraph_chunks, sentence_chunks, strip
 from lexloom.operators.chunking import explode_chunks
+from lexloom.session import spread_small_input
 
 TRANSLATION_LIMIT = 900
 SPEECH_LIMIT = 480
@@ -98,9 +99,11 @@ def translation_requests(
 
     Texts that pass through unchanged have no rows here; they are never chunked.
     """
-    routed = texts.select(key, text, source.alias("source"), target.alias("target"),
-                          needs_translation(F.col(text), source, target, has_key).alias("wanted"))
-    chunks = explode_chunks(routed.where("wanted"), paragraph_chunks(F.col(text), limit), key, "source", "target")
+    wanted = needs_translation(F.col(text), source, target, has_key)
+    routed = texts.where(wanted).select(key, text, source.alias("source"), target.alias("target"))
+    chunks = explode_chunks(
+        spread_small_input(routed), paragraph_chunks(F.col(text), limit), key, "source", "target"
+    )
     return chunks.select(
         key, "chunk_no", translation_payload(F.col("chunk"), F.col("source"), F.col("target")).alias("payload")
     )
@@ -118,7 +121,8 @@ def speech_requests(
 
     Texts without a sentence have no request.
     """
-    chunked = texts.select(key, locale.alias("locale"), sentence_chunks(F.col(text), limit).alias("chunks"))
+    spoken = spread_small_input(texts.select(key, locale.alias("locale"), text))
+    chunked = spoken.select(key, "locale", sentence_chunks(F.col(text), limit).alias("chunks"))
     settings = [F.lit(value).alias(name) for name, value in SPEECH.items()]
     payload = F.struct(
         first_chunks(F.col("chunks"), max_chunks).alias("inputs"),

@@ -14,7 +14,13 @@ def dense_side(df: DataFrame, key: str, vector: str) -> Side:
     rows = df.select(F.col(key), F.col(vector).cast("array<float>").alias("vector")).where(
         F.col("vector").isNotNull()
     )
-    return Side(rows, key, df, F.greatest(F.size(vector), F.lit(0)) * 4 + 8)
+
+    def bytes_for(n_rows: int) -> int:
+        # One vector tells the size of all: vectors of another length fail the search.
+        first = rows.select(F.size("vector")).first()
+        return n_rows * (4 * first[0] + 8) if first else 0
+
+    return Side(rows, key, df, bytes_for)
 
 
 def topk(

@@ -148,9 +148,12 @@ def topk_by_terms(
     vocabulary = vocabulary or build_vocabulary(documents, text, separators)
 
     def side(df: DataFrame, name: str, body: str) -> Side:
-        # A term needs two bytes of text and takes at most its own bytes, a weight and offsets.
-        bound = 8 * F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + 16
-        return Side(term_vectors(df, name, body, vocabulary, separators), name, df, bound)
+        def bytes_for(n_rows: int) -> int:
+            # A term needs two bytes of text and takes at most its own bytes, a weight and offsets.
+            length = df.agg(F.coalesce(F.sum(F.octet_length(body).cast("long")), F.lit(0))).first()[0]
+            return 8 * length + 16 * n_rows
+
+        return Side(term_vectors(df, name, body, vocabulary, separators), name, df, bytes_for)
 
     return search(
         side(queries, query_id, query_text),

@@ -68,16 +68,22 @@ def guidance(
     query_id: str = "request_id",
     query_text: str = "translated",
     vector: str = "embedding",
+    query_vectors: DataFrame | None = None,
+    records: DataFrame | None = None,
     **options,
 ) -> DataFrame:
     """``(query_id, messages, max_tokens)`` with the k nearest sections as context.
 
-    ``inputs`` carry their query vector; ``corpus`` is an embedding table with payload.
+    By default ``inputs`` carry their query vectors and ``corpus``, an embedding
+    table, its records. Where vectors are tables of their own, pass
+    ``query_vectors`` and ``records``: the search then reads vectors only, and
+    texts are joined once the matches are known.
     """
-    found = topk(inputs, corpus, k, query_id, key, vector, **options)
-    records = attach_records(found, corpus.select(key, name, text), key)
-    context = retrieval_context(records, "key", name, text)
-    return guidance_requests(inputs, context, query_id, query_text)
+    query_vectors = inputs if query_vectors is None else query_vectors
+    records = corpus if records is None else records
+    found = topk(query_vectors, corpus, k, query_id, key, vector, **options)
+    matched = attach_records(found, records.select(key, name, text), key)
+    return guidance_requests(inputs, retrieval_context(matched, "key", name, text), query_id, query_text)
 
 
 def explanations(inputs: DataFrame, query_id: str = "request_id", text: str = "resolved") -> DataFrame:
