@@ -18,7 +18,7 @@ def dense_side(df: DataFrame, key: str, vector: str) -> Side:
     def bytes_for(n_rows: int) -> int:
         # One vector tells the size of all: vectors of another length fail the search.
         first = rows.select(F.size("vector")).first()
-        return n_rows * (4 * first[0] + 8) if first else 0
+        return n_rows * (4 * first[0] + 64) if first else 0
 
     return Side(rows, key, df, bytes_for)
 

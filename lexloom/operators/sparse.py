@@ -12,8 +12,9 @@ from lexloom.session import shared_dir, spread_small_input
 
 # Letters and the marks that carry vowel signs; everything else separates tokens.
 SEPARATORS = r"[^\p{L}\p{M}]+"
-BROADCAST_TERMS = 500_000
+BROADCAST_BYTES = 64 << 20
 HOT_TERMS = 10_000
+HOT_TERM_BYTES = 256
 
 
 def tokens(text: Column, separators: str = SEPARATORS) -> Column:
@@ -54,7 +55,7 @@ class Vocabulary:
     """Terms that tell documents apart: ``(term, df, idf)``, idf above zero."""
 
     rows: DataFrame
-    n_terms: int
+    n_bytes: int
     n_documents: int
 
 
@@ -78,20 +79,23 @@ def build_vocabulary(documents: DataFrame, text: str, separators: str = SEPARATO
         .write.parquet(path)
     )
     rows = spark.read.parquet(path)
-    return Vocabulary(rows, rows.count(), n_documents)
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("term").cast("long") + 32), F.lit(0))).first()[0]
+    return Vocabulary(rows, n_bytes, n_documents)
 
 
-def _with_idf(entries: DataFrame, vocabulary: Vocabulary, broadcast_terms: int, hot_terms: int) -> DataFrame:
+def _with_idf(entries: DataFrame, vocabulary: Vocabulary, broadcast_bytes: int, hot_terms: int) -> DataFrame:
     """Give every (document, term) entry its idf; terms outside the vocabulary vanish.
 
     A vocabulary of checked size is broadcast. A larger one is shuffled on the
-    term, all but its ``hot_terms`` most frequent terms: those are broadcast, so
-    no term left for the shuffle holds more than one entry in ``hot_terms``.
+    term, all but its ``hot_terms`` most frequent terms of ordinary length: those
+    are broadcast, so that none of the terms every other text holds gathers in
+    one task.
     """
     idf = vocabulary.rows.select("term", "idf")
-    if vocabulary.n_terms <= broadcast_terms:
+    if vocabulary.n_bytes <= broadcast_bytes:
         return entries.join(F.broadcast(idf), "term")
-    hot = vocabulary.rows.orderBy(F.col("df").desc(), "term").limit(hot_terms).select("term", "idf")
+    short = vocabulary.rows.where(F.octet_length("term") <= HOT_TERM_BYTES)
+    hot = short.orderBy(F.col("df").desc(), "term").limit(hot_terms).select("term", "idf")
     cold = idf.join(F.broadcast(hot.select("term")), "term", "left_anti")
     rare = entries.join(F.broadcast(hot.select("term")), "term", "left_anti")
     return entries.join(F.broadcast(hot), "term").unionByName(rare.join(cold, "term"))
@@ -103,12 +107,12 @@ def term_vectors(
     text: str,
     vocabulary: Vocabulary,
     separators: str = SEPARATORS,
-    broadcast_terms: int = BROADCAST_TERMS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     hot_terms: int = HOT_TERMS,
 ) -> DataFrame:
     """``(key, terms, weights)``: unit TF-IDF vectors; texts without known terms are left out."""
     entries = spread_small_input(texts.select(key, text)).select(key, F.inline(term_counts(F.col(text), separators)))
-    weighted = _with_idf(entries, vocabulary, broadcast_terms, hot_terms).select(
+    weighted = _with_idf(entries, vocabulary, broadcast_bytes, hot_terms).select(
         key, "term", (F.col("tf") * F.col("idf")).alias("weight")
     )
     gathered = weighted.groupBy(key).agg(

@@ -233,7 +233,7 @@ def test_hot_terms_are_split_off_without_changing_vectors(spark):
     df = spark.createDataFrame(sparse_texts(80, 10, hot=True), "id long, text string")
     vocabulary = sparse.build_vocabulary(df, "text")
     plain = sparse.term_vectors(df, "id", "text", vocabulary)
-    split = sparse.term_vectors(df, "id", "text", vocabulary, broadcast_terms=0, hot_terms=3)
+    split = sparse.term_vectors(df, "id", "text", vocabulary, broadcast_bytes=0, hot_terms=3)
     assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect()))
 
 
