@@ -31,7 +31,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lexloom.session import FULL_SPLIT
 
 TILE_ROWS = 2048
-HELD_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -41,7 +40,7 @@ class Limits:
     broadcast_bytes: int = 128 << 20
     partial_rows: int = 4_000_000
     block_bytes: int = 32 << 20
-    pairs_per_task: int = 2_000_000_000
+    pairs_per_task: int = 50_000_000
     max_tasks: int = 20_000
 
 
@@ -173,16 +172,28 @@ def _tiles(tables: Iterable[pa.Table], key: str) -> Iterator[pa.Table]:
             yield piece.take(pc.sort_indices(piece.column(key)))
 
 
-def best_cells(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the k best finite scores of each row; equal scores favour the earlier column."""
-    keep = np.isfinite(scores)
-    if scores.shape[1] > k and keep.sum() > k:
-        place = scores.shape[1] - k
-        kth = np.partition(scores, place, axis=1)[:, place, None]
-        above, level = scores > kth, scores == kth
+def best_cells(
+    scores: np.ndarray, k: int, decimals: int, floor: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and rounded values of the k best finite scores of each row.
+
+    Equal scores favour the earlier column. ``floor`` is a value per row below
+    which nothing is wanted; only rows in which more than k scores pass it are
+    searched for their k-th value.
+    """
+    lowest = np.finfo(np.float64).min
+    least = lowest if floor is None else np.maximum(floor - 10.0**-decimals, lowest)[:, None]
+    keep = scores >= least
+    crowded = np.flatnonzero(np.count_nonzero(keep, axis=1) > k)
+    if len(crowded):
+        rivals = np.round(np.where(keep[crowded], scores[crowded], -np.inf), decimals)
+        place = rivals.shape[1] - k
+        kth = np.partition(rivals, place, axis=1)[:, place, None]
+        above, level = rivals > kth, rivals == kth
         room = k - above.sum(axis=1, keepdims=True)
-        keep &= above | (level & (np.cumsum(level, axis=1) <= room))
-    return np.nonzero(keep)
+        keep[crowded] = above | (level & (np.cumsum(level, axis=1) <= room))
+    rows, columns = np.nonzero(keep)
+    return rows, columns, np.round(scores[rows, columns], decimals)
 
 
 def _ranked(candidates: list[pd.DataFrame], k: int) -> pd.DataFrame:
@@ -209,16 +220,10 @@ class _Search:
         """The best pairs of two tiles; ``floor`` is what each query already has at rank k."""
         query_ids, queries = query_tile
         keys, corpus = corpus_tile
-        scores = np.round(self.kernel.score(queries, corpus), self.decimals)
-        if floor is not None:
-            scores[scores < floor[:, None]] = -np.inf
-        at_query, at_key = best_cells(scores, self.k)
+        scores = self.kernel.score(queries, corpus)
+        at_query, at_key, values = best_cells(scores, self.k, self.decimals, floor)
         return pd.DataFrame(
-            {
-                "query_id": query_ids[at_query],
-                "key": keys[at_key],
-                "similarity": scores[at_query, at_key],
-            }
+            {"query_id": query_ids[at_query], "key": keys[at_key], "similarity": values}
         )
 
     def all_queries(self, query_tiles, corpus: Iterable[pa.Table]) -> Iterator[pd.DataFrame]:
@@ -231,7 +236,7 @@ class _Search:
                 for query_tile, floor in zip(query_tiles, floors):
                     held.append(self.meet(query_tile, tile, floor))
                     n_held += len(held[-1])
-                if n_held > 2 * self.k * n_queries + HELD_ROWS:
+                if n_held > 3 * self.k * n_queries:
                     held = [_ranked(held, self.k)]
                     n_held = len(held[0])
                     full = held[0][held[0]["rank"] == self.k].set_index("query_id")["similarity"]
@@ -315,11 +320,14 @@ def _grid(
     return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(run, schema)
 
 
-def _tasks_needed(n_pairs: int, moving_bytes: int, limits: Limits) -> int | None:
-    """How far to spread the streaming side: only if its natural splits would each score too much."""
-    wanted = math.ceil(n_pairs / limits.pairs_per_task)
+def _tasks_needed(n_pairs: int, moving_bytes: int, cores: int, limits: Limits) -> int | None:
+    """How far to spread the streaming side, if its natural splits would leave cores idle.
+
+    A side of at least one full split per core is never shuffled for this.
+    """
     natural = max(1, moving_bytes // FULL_SPLIT)
-    return min(wanted, limits.max_tasks) if wanted > 4 * natural else None
+    wanted = min(math.ceil(n_pairs / limits.pairs_per_task), 4 * cores)
+    return wanted if natural < min(cores, wanted) else None
 
 
 def search(
@@ -360,9 +368,11 @@ def search(
 
     held_side = sides[strategy]
     moving = "corpus" if strategy == "queries" else "queries"
-    spread = _tasks_needed(counts["queries"] * counts["corpus"], sizes[moving], limits)
+    context = queries.rows.sparkSession.sparkContext
+    n_pairs = counts["queries"] * counts["corpus"]
+    spread = _tasks_needed(n_pairs, sizes[moving], context.defaultParallelism, limits)
     collected = held_side.rows.select(held_side.key, *kernel.columns).toArrow()
-    held = queries.rows.sparkSession.sparkContext.broadcast(task.load([collected], held_side.key))
+    held = context.broadcast(task.load([collected], held_side.key))
     if strategy == "queries":
         partial = _stream(
             corpus, kernel.columns, lambda tables: task.all_queries(held.value, tables), schema, spread

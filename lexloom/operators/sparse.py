@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexloom.operators.blocks import Limits, Matches, Side, SparseKernel, search
 from lexloom.session import shared_dir, spread_small_input
@@ -83,22 +89,77 @@ def build_vocabulary(documents: DataFrame, text: str, separators: str = SEPARATO
     return Vocabulary(rows, n_bytes, n_documents)
 
 
-def _with_idf(entries: DataFrame, vocabulary: Vocabulary, broadcast_bytes: int, hot_terms: int) -> DataFrame:
-    """Give every (document, term) entry its idf; terms outside the vocabulary vanish.
-
-    A vocabulary of checked size is broadcast. A larger one is shuffled on the
-    term, all but its ``hot_terms`` most frequent terms of ordinary length: those
-    are broadcast, so that none of the terms every other text holds gathers in
-    one task.
+def _weigh_in_place(counted: DataFrame, key: str, vocabulary: Vocabulary) -> DataFrame:
+    """Weigh whole rows against a broadcast vocabulary; nothing is exploded or shuffled."""
+    known = vocabulary.rows.select("term", "idf").toArrow().combine_chunks()
+    held = counted.sparkSession.sparkContext.broadcast(
+        (known.column("term").combine_chunks(), known.column("idf").to_numpy())
+    )
+    schema = T.StructType(
+        [
+            counted.schema[key],
+            T.StructField("terms", T.ArrayType(T.StringType())),
+            T.StructField("weights", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    arrow_schema = to_arrow_schema(schema)
+
+    def lists(lengths: np.ndarray, values: pa.Array, kind: pa.DataType) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), values).cast(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = held.value
+        for batch in batches:
+            counts = batch.column("counts")
+            lengths = pc.fill_null(pc.list_value_length(counts), 0).to_numpy(zero_copy_only=False)
+            entries = counts.flatten()
+            place = pc.index_in(entries.field("term"), value_set=terms)
+            found = place.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lengths)), lengths)[found]
+            tf = entries.field("tf").to_numpy(zero_copy_only=False)[found]
+            weight = tf * idf[place.drop_null().to_numpy(zero_copy_only=False)]
+            norm = np.sqrt(np.bincount(row, weight * weight, len(lengths)))
+            size = np.bincount(row, minlength=len(lengths))
+            fields = [
+                batch.column(key).filter(pa.array(size > 0)),
+                lists(size[size > 0], entries.field("term").filter(pa.array(found)), arrow_schema.field(1).type),
+                lists(size[size > 0], pa.array(weight / norm[row]), arrow_schema.field(2).type),
+            ]
+            yield pa.RecordBatch.from_arrays(fields, schema=arrow_schema)
+
+    return counted.mapInArrow(run, schema)
+
+
+def _weigh_by_join(counted: DataFrame, key: str, vocabulary: Vocabulary, hot_terms: int) -> DataFrame:
+    """Weigh against a vocabulary of any size by a join on the term.
+
+    The ``hot_terms`` most frequent terms of ordinary length are broadcast and
+    only the others shuffled, so that none of the terms every other text holds
+    gathers in one task.
     """
+    entries = counted.select(key, F.inline("counts"))
     idf = vocabulary.rows.select("term", "idf")
-    if vocabulary.n_bytes <= broadcast_bytes:
-        return entries.join(F.broadcast(idf), "term")
     short = vocabulary.rows.where(F.octet_length("term") <= HOT_TERM_BYTES)
     hot = short.orderBy(F.col("df").desc(), "term").limit(hot_terms).select("term", "idf")
     cold = idf.join(F.broadcast(hot.select("term")), "term", "left_anti")
     rare = entries.join(F.broadcast(hot.select("term")), "term", "left_anti")
-    return entries.join(F.broadcast(hot), "term").unionByName(rare.join(cold, "term"))
+    weighted = entries.join(F.broadcast(hot), "term").unionByName(rare.join(cold, "term"))
+    gathered = (
+        weighted.select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("entries"))
+    )
+    squares = F.aggregate(
+        "entries", F.lit(0.0), lambda total, entry: total + entry["weight"] * entry["weight"]
+    )
+    weights = F.transform(
+        F.array(F.sqrt(squares)),
+        lambda norm: F.transform("entries", lambda entry: entry["weight"] / norm),
+    )[0]
+    return gathered.select(
+        key, F.transform("entries", lambda entry: entry["term"]).alias("terms"), weights.alias("weights")
+    )
 
 
 def term_vectors(
@@ -110,24 +171,16 @@ def term_vectors(
     broadcast_bytes: int = BROADCAST_BYTES,
     hot_terms: int = HOT_TERMS,
 ) -> DataFrame:
-    """``(key, terms, weights)``: unit TF-IDF vectors; texts without known terms are left out."""
-    entries = spread_small_input(texts.select(key, text)).select(key, F.inline(term_counts(F.col(text), separators)))
-    weighted = _with_idf(entries, vocabulary, broadcast_bytes, hot_terms).select(
-        key, "term", (F.col("tf") * F.col("idf")).alias("weight")
-    )
-    gathered = weighted.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("entries"),
-    )
-    squares = F.aggregate(
-        "entries", F.lit(0.0), lambda total, entry: total + entry["weight"] * entry["weight"]
-    )
-    weights = F.transform(
-        F.array(F.sqrt(squares)),
-        lambda norm: F.transform("entries", lambda entry: entry["weight"] / norm),
-    )[0]
-    return gathered.select(
-        key, F.transform("entries", lambda entry: entry["term"]).alias("terms"), weights.alias("weights")
+    """``(key, terms, weights)``: unit TF-IDF vectors; texts without known terms are left out.
+
+    Keys must be unique.
+    """
+    counted = spread_small_input(texts.select(key, text)).select(
+        key, term_counts(F.col(text), separators).alias("counts")
     )
+    if vocabulary.n_bytes <= broadcast_bytes:
+        return _weigh_in_place(counted, key, vocabulary)
+    return _weigh_by_join(counted, key, vocabulary, hot_terms)
 
 
 def topk_by_terms(

@@ -135,8 +135,15 @@ def test_records_join_the_same_with_and_without_broadcast(spark, monkeypatch):
 
 
 def test_best_cells_prefers_the_earlier_column():
-    scores = np.array([[1.0, 3.0, 3.0, 3.0], [2.0, -np.inf, -np.inf, -np.inf]])
-    assert [tuple(map(int, cell)) for cell in zip(*best_cells(scores, 2))] == [(0, 1), (0, 2), (1, 0)]
+    scores = np.array([[1.0, 3.0, 3.0, 3.0], [2.0, -np.inf, -np.inf, np.nan]])
+    rows, columns, values = best_cells(scores, 2, 9)
+    assert list(zip(rows.tolist(), columns.tolist(), values.tolist())) == [(0, 1, 3.0), (0, 2, 3.0), (1, 0, 2.0)]
+
+
+def test_best_cells_keep_what_rounds_up_to_the_floor():
+    scores = np.array([[0.49996, 0.5, 0.4994, 0.4]])
+    rows, columns, values = best_cells(scores, 3, 4, floor=np.array([0.5]))
+    assert (columns.tolist(), values.tolist()) == ([0, 1], [0.5, 0.5])
 
 
 def test_unit_vectors_and_inner_product(spark):
