@@ -15,8 +15,14 @@ ELLIPSIS = "…"
 
 
 def flatten_line_breaks(text: Column) -> Column:
-    """Each CRLF, CR or LF becomes one space; runs are not collapsed."""
-    return F.regexp_replace(text, r"\r\n?|\n", " ")
+    """Each CRLF, CR or LF becomes one space; runs are not collapsed.
+
+    Plain replacements cost little where a filter on the result makes Catalyst
+    evaluate it twice.
+    """
+    for line_break in ("\r\n", "\r", "\n"):
+        text = F.replace(text, F.lit(line_break), F.lit(" "))
+    return text
 
 
 def strip(text: Column) -> Column:
@@ -116,7 +122,7 @@ def sentence_chunks(text: Column, limit: int = 480) -> Column:
     ``limit + 1`` characters.
     """
     sentences = F.filter(
-        F.transform(F.split(F.translate(text, "\n", " "), r"\."), strip),
+        F.transform(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), r"\."), strip),
         lambda sentence: sentence != "",
     )
     return F.transform(pack(sentences, ". ", limit), lambda chunk: F.concat(chunk, F.lit(".")))

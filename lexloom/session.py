@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,11 @@ def build_session(app_name: str = "lexloom", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+@cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="lexloom-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path that every executor can reach.
 
@@ -48,8 +54,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

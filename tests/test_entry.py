@@ -74,7 +74,7 @@ def test_chunks_are_cut_once_and_without_a_shuffle(spark):
     documents = catalog.table(spark, FOLDER, "documents")
     listed = documents.select("doc_id", text.sentence_chunks(F.col("text")).alias("c"))
     plan = plan_of(chunking.explode_chunks(listed, F.col("c"), "doc_id"))
-    assert plan.count("translate(") == 1 and "Exchange" not in plan
+    assert plan.count("split(replace(") == 1 and "Exchange" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
