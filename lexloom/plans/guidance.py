@@ -6,7 +6,10 @@ the requests that the job before it wrote.
 1. :func:`inputs_to_translate` — requests to translation requests into English;
 2. :func:`english_inputs` and :func:`guidance` — translations to chat requests;
 3. :func:`answers`, :func:`answers_to_translate`, :func:`final_answers` — chat responses to
-   results in the user's language.
+   results in the user's language, then :func:`answers_to_speak` and :func:`score_answers`.
+
+Write each job's tables before the next one reads them: sizes are measured where
+a side may be broadcast, and that should not run a whole job twice.
 """
 
 from __future__ import annotations
@@ -15,11 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.languages import ENGLISH_LOCALE
-from lexloom.functions.responses import chat_content, translated_text
+from lexloom.functions.responses import chat_content, transcript, translated_text
 from lexloom.operators.chunking import join_chunks
 from lexloom.operators.context import explanation_requests, guidance_requests, retrieval_context
 from lexloom.operators.language import Profile, detect_language, score_by_language_name
-from lexloom.operators.requests import accepted, plan_languages, resolve_requests, translation_requests
+from lexloom.operators.requests import (
+    SPEECH_CHUNKS,
+    accepted,
+    plan_languages,
+    resolve_requests,
+    speech_requests,
+    translation_requests,
+)
 from lexloom.operators.retrieval import attach_records, topk
 
 
@@ -31,6 +41,12 @@ def prepare_requests(requests: DataFrame) -> DataFrame:
     return plan_languages(accepted(resolve_requests(requests, "typed", "transcript")), "language", "has_key")
 
 
+def attach_transcripts(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Add ``transcript`` from ``(request_id, response)``; empty where speech failed or none was sent."""
+    spoken = responses.select("request_id", transcript(F.col("response")).alias("transcript"))
+    return requests.join(spoken, "request_id", "left").fillna({"transcript": ""})
+
+
 def inputs_to_translate(prepared: DataFrame) -> DataFrame:
     """``(request_id, chunk_no, payload)`` for requests in another language than English."""
     return translation_requests(
@@ -106,6 +122,13 @@ def final_answers(answered: DataFrame, sent: DataFrame, responses: DataFrame) ->
     return apply_translations(answered, "request_id", "answer", sent, responses)
 
 
+def answers_to_speak(final: DataFrame, max_chunks: int = SPEECH_CHUNKS) -> DataFrame:
+    """``(request_id, payload, n_dropped)`` for the answers that were translated."""
+    return speech_requests(
+        final.where("multilingual"), "request_id", "translated", F.col("locale"), max_chunks
+    )
+
+
 def score_answers(final: DataFrame, profile: Profile) -> DataFrame:
     """Language scores of the answers that were translated."""
     judged = detect_language(

@@ -12,6 +12,7 @@ from lexloom.functions.hints import OFFENSES
 from lexloom.operators import language, retrieval
 from lexloom.plans import guidance as plan
 from lexloom.plans.index import build_index
+from lexloom.plans.search import retrieve
 from lexloom.sources.vectors import read_embedding_table
 from lexloom.streaming.retrieval import stream_guidance, stream_topk
 
@@ -55,21 +56,27 @@ def test_smoke_queries_find_their_section(spark, corpus):
     asked = spark.createDataFrame(
         [(1, "someone stole my bicycle"), (2, "my wife and dowry"), (3, "bank money is gone")], "q int, t string"
     )
-    matches = retrieval.topk(embedded(asked, "t"), corpus, 1, query_id="q", key="Section")
-    assert {r["query_id"]: r["key"] for r in matches.rows.collect()} == {1: "303", 2: "80", 3: "318"}
+    found = retrieve(asked, corpus, load_word_model, 1, query_id="q", text="t", key="Section").collect()
+    assert {r["query_id"]: (r["key"], r["Section_name"]) for r in found} == {
+        1: ("303", "Theft"), 2: ("80", "Dowry death"), 3: ("318", "Cheating")
+    }
+    assert all(0 < r["similarity"] <= 1 and r["rank"] == 1 for r in found)
 
 
 def test_requests_become_scored_answers(spark, corpus):
     requests = spark.createDataFrame(
         [
-            ("r1", "English", True, " my bicycle ", None),
-            ("r2", "Hindi", True, "", "साइकिल"),
-            ("r3", "Hindi", False, "dowry", None),
-            ("r4", "Tamil", True, "  ", ""),
+            ("r1", "English", True, " my bicycle "),
+            ("r2", "Hindi", True, ""),
+            ("r3", "Hindi", False, "dowry"),
+            ("r4", "Tamil", True, "  "),
         ],
-        "request_id string, language string, has_key boolean, typed string, transcript string",
+        "request_id string, language string, has_key boolean, typed string",
+    )
+    heard = spark.createDataFrame(
+        [("r2", '{"transcript":"साइकिल"}'), ("r4", "failed")], "request_id string, response string"
     )
-    prepared = plan.prepare_requests(requests)
+    prepared = plan.prepare_requests(plan.attach_transcripts(requests, heard))
     sent = plan.inputs_to_translate(prepared)
     assert [(r["request_id"], r["payload"]["input"]) for r in sent.collect()] == [("r2", "साइकिल")]
 
@@ -110,6 +117,10 @@ def test_requests_become_scored_answers(spark, corpus):
     assert [(r["request_id"], r["detected"], r["expected"], r["composite"]) for r in scores] == [
         ("r2", "hi", "hi", 100)
     ]
+    spoken = plan.answers_to_speak(final).collect()
+    assert [(r["request_id"], r["payload"]["inputs"], r["payload"]["target_language_code"]) for r in spoken] == [
+        ("r2", ["पहला कदम."], "hi-IN")
+    ]
     assert plan.explanations(prepared).count() == 3
 
 
