@@ -282,8 +282,8 @@ def oracles() -> dict[str, str]:
         "index_build": """
             SELECT doc_id, coalesce(source, '') || '. ' || coalesce(text, '') AS embedding_text,
                    len(embedding)::INTEGER AS dimension,
-                   round((embedding[1] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))::FLOAT::DOUBLE,
-                         4) AS first_element
+                   round((embedding[1] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))
+                         ::FLOAT::DOUBLE, 4) AS first_element
             FROM documents JOIN embeddings ON doc_id = vec_id""",
         "count_rows": 'SELECT count(*) AS "rows" FROM documents',
         "count_by_source_asc": "SELECT source, count(*) AS sections FROM documents GROUP BY source ORDER BY source",

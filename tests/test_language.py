@@ -14,7 +14,8 @@ TEXTS = {
 
 @pytest.fixture(scope="module")
 def profile(spark):
-    df = spark.createDataFrame([(t, code) for code, t in TEXTS.items() if code in ("en", "fr")], "text string, lang string")
+    rows = [(TEXTS[code], code) for code in ("en", "fr")]
+    df = spark.createDataFrame(rows, "text string, lang string")
     return language.train_profile(df, "text", "lang", ["fr", "en"])
 
 
