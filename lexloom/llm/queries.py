@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import mixing, neardup, repetition, vafile
+from lexloom.llm import linededup, mixing, neardup, quality, repetition, toxicity, vafile
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,6 +21,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_line_dedup(spark, folder):
+    found = linededup.line_dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "text", "lines_removed")
+
+
+@query
+def op2_quality_classifier(spark, folder):
+    found = quality.classify_quality(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    )
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op4_va_top_k(spark, folder):
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
@@ -52,3 +66,11 @@ def op8_minhash_near_dedup(spark, folder):
 @query
 def op9_repetition_rules(spark, folder):
     return repetition.repetition_rules(table(spark, folder, "documents")).drop("longest_repeat")
+
+
+@query
+def op10_toxicity(spark, folder):
+    found = toxicity.classify_toxicity(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    )
+    return found.select("doc_id", "held_out", "score", "predicted")
