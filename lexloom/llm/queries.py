@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import linededup, mixing, neardup, quality, repetition, toxicity, vafile
+from lexloom.llm import linededup, mixing, neardup, ngrams, pieces, quality, repetition, toxicity, vafile
+
+#: Where the public tokenizer files are installed on every machine.
+TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
+PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,6 +40,14 @@ def op2_quality_classifier(spark, folder):
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op3_sentencepiece(spark, folder):
+    encoded = pieces.encode_pieces(table(spark, folder, "documents").select("doc_id", "text"), PIECE_MODEL)
+    both = pieces.decode_pieces(encoded, PIECE_MODEL)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return both.select("doc_id", "pieces", F.size("pieces").alias("n_pieces"), same.alias("round_trip"))
+
+
 @query
 def op4_va_top_k(spark, folder):
     rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
@@ -45,6 +58,11 @@ def op4_va_top_k(spark, folder):
     return vafile.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
+@query
+def op5_ngram_scores(spark, folder):
+    return ngrams.score_texts(table(spark, folder, "documents"))
+
+
 @query
 def op7_mix_sources(spark, folder):
     mixed = mixing.mix_sources(table(spark, folder, "documents"))
