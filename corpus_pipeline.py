@@ -1,9 +1,76 @@
-"""The corpus pipeline."""
+"""From raw documents to encoded training text: five stages, each one operator of ``lexloom.llm``.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet before the next
+one reads it. All but the last return the columns of ``documents``. ``run`` applies them in order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.llm import linededup, mixing, neardup, pieces, quality
+from lexloom.llm.queries import PIECE_MODEL, table
+from lexloom.llm.storage import stored
+
+KEEP_FROM = 0.7
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose quality score is below ``KEEP_FROM``; the rest stay as they are."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, column="__score")
+    return scored.where(F.col("__score") >= KEEP_FROM).drop("__score")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove multi-line chunks that stand in an earlier place; a document left without a word goes.
+
+    Only a document that lost lines can go: all its words then stand in other documents.
+    """
+    columns = docs.columns
+    deduped = linededup.line_dedup(docs.drop("lines_removed"))
+    left = F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
+    kept = deduped.where((F.col("lines_removed") == 0) | left)
+    if "n_chars" in columns:
+        changed = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+        kept = kept.withColumn("n_chars", changed)
+    return kept.select(*columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest key of every group of near-duplicates."""
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("id").alias("__id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emit every document as often as its source's rate asks for."""
+    return mixing.emit_copies(mixing.mix_sources(docs))
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece numbers of each text, and whether they decode to it."""
+    encoded = pieces.encode_pieces(docs.select("doc_id", "source", "text"), PIECE_MODEL)
+    both = pieces.decode_pieces(encoded, PIECE_MODEL)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return both.select("doc_id", "source", "pieces", F.size("pieces").alias("n_pieces"), same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", drop_repeated_lines),
+    ("near duplicates", keep_one_of_each),
+    ("source mixing", mix),
+    ("sentencepiece", to_pieces),
+]
+
+#: The classifier's scores and the hashes of the line chunks have no SQL form; tests compare with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import linededup, mixing, neardup, ngrams, pieces, quality, repetition, toxicity, vafile
+from lexloom.llm import extraction, linededup, mixing, neardup, ngrams, pieces, quality, repetition, toxicity, vafile
 
 #: Where the public tokenizer files are installed on every machine.
 TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
@@ -63,6 +63,11 @@ def op5_ngram_scores(spark, folder):
     return ngrams.score_texts(table(spark, folder, "documents"))
 
 
+@query
+def op6_html_extraction(spark, folder):
+    return extraction.extract_text(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op7_mix_sources(spark, folder):
     mixed = mixing.mix_sources(table(spark, folder, "documents"))
