@@ -1,12 +1,12 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
 A text's set holds its distinct word shingles. Its sketch is the ``k`` smallest hashes of the
-set. Two sets of Jaccard similarity s share each of their jointly smallest
-values with probability s, so for a link (s >= 0.75) the chance that the ``listed`` smallest values of
-the two have none in common is below 0.25 ** listed, about 2e-10 for 16. The inverted lists
-of those values therefore give the candidates; the sketches of both sides, merged, estimate the
-similarity and drop pairs more than six standard deviations below the limit; the sets
-themselves decide.
+set. Two linked sets (Jaccard similarity 0.75 or more) share at least ``need`` values of their sketches: all
+sets small enough to be whole in the sketch exactly, others but for six standard deviations, one
+pair in a billion. So they also share one of the ``k - need + 1`` values of each sketch that are
+rarest in the corpus. The inverted lists of those values give the candidates: a passage that many
+texts hold is no candidate unless it makes up most of them. The sketches of both sides, merged, estimate
+the similarity and drop pairs six standard deviations below the limit; the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ class Rule:
     width: int = 5
     percent: int = 75
     k: int = 64
-    listed: int = 16
     short_list: int = 48
 
     def enough(self, size: float) -> float:
@@ -43,6 +42,18 @@ class Rule:
         s = self.percent / 100
         return s * size - 6 * (s * (1 - s) * size) ** 0.5
 
+    def listed(self, n: Column) -> Column:
+        """How many of the rarest values of the sketch of a set of ``n`` are listed.
+
+        Up to percent / 100 * k both sets of a linked pair are whole in their sketches.
+        """
+        size = F.least(n, F.lit(self.k))
+        s = self.percent / 100
+        likely = F.ceil(F.lit(s) * size - 6 * F.sqrt(F.lit(s * (1 - s)) * size))
+        exact = F.ceil(size * self.percent / 100)
+        need = F.when(100 * n <= self.percent * self.k, exact).otherwise(F.greatest(likely, F.lit(1)))
+        return (size - need + 1).cast("int")
+
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of every distinct shingle, sorted by row and hash."""
@@ -107,24 +118,36 @@ def _similar_size(a: str, b: str, rule: Rule) -> Column:
     return 100 * F.least(a, b) >= rule.percent * F.greatest(a, b)
 
 
-def _estimate_passes(rule: Rule) -> Column:
-    merged = F.array_sort(F.array_union("sketch_a", "sketch_b"))
-    size = F.least(F.lit(rule.k), F.size(merged))
-    common = F.filter(F.array_intersect("sketch_a", "sketch_b"), lambda x: x <= F.element_at(F.col("merged"), F.col("size")))
+def _estimate(rule: Rule):
     s = rule.percent / 100
-    slack = F.when((F.col("n_a") <= rule.k) & (F.col("n_b") <= rule.k), 0.0).otherwise(
-        6 * F.sqrt(F.lit(s * (1 - s)) * F.col("size"))
-    )
-    return merged, size, F.size(common) + slack >= s * F.col("size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(c) for c in ("sketch_a", "sketch_b")]
+            row = np.concatenate([np.repeat(np.arange(batch.num_rows), np.asarray(x.value_lengths())) for x in lists])
+            value = np.concatenate([x.flatten().to_numpy() for x in lists])
+            order = np.lexsort((value, row))
+            row, value = row[order], value[order]
+            again = np.concatenate(([False], (row[1:] == row[:-1]) & (value[1:] == value[:-1])))[: len(row)]
+            kinds = np.cumsum(~again) - 1
+            first = np.concatenate(([0], np.cumsum(np.bincount(row[~again], minlength=batch.num_rows))))
+            whole = (batch.column("n_a").to_numpy() <= rule.k) & (batch.column("n_b").to_numpy() <= rule.k)
+            low = whole[row] | (kinds - first[row] < rule.k)
+            size = np.where(whole, np.diff(first), np.minimum(np.diff(first), rule.k))
+            common = np.bincount(row[again & low], minlength=batch.num_rows)
+            slack = np.where(whole, 0.0, 6 * np.sqrt(s * (1 - s) * size))
+            likely = pa.array(common + slack + 1e-9 >= s * size)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(likely) for c in ("a", "b")], ["a", "b"])
+
+    return run
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs whose merged sketches leave a link possible. For sets within a sketch the estimate is exact."""
+    """Pairs whose merged sketches leave a link possible. The ``k`` smallest values of both sketches together
+    are a sketch of the union; for sets that are whole in their sketches all values count."""
     side = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    merged, size, passes = _estimate_passes(rule)
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(_similar_size("n_a", "n_b", rule))
-    joined = joined.withColumn("merged", merged).withColumn("size", size)
-    return joined.where(passes).select("a", "b").distinct()
+    return joined.mapInArrow(_estimate(rule), "a long, b long").distinct()
 
 
 def shingle_set(text: str | None, width: int) -> frozenset[tuple[str, ...]]:
@@ -182,10 +205,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 def _inverted(nodes: DataFrame, rule: Rule) -> DataFrame:
     """Entries of the inverted lists that hold two sets or more, each with its list's length and hub.
 
-    The hub is the set whose values have the longest lists: in a family of edited copies
-    that is the text they were made from, as each edit brings values that no other has.
+    A set is listed under the rarest values of its sketch. Values that no other sketch has are the
+    rarest of all and need no list. The hub of a list is the set whose values have the longest
+    lists: in a family of edited copies that is the text they were made from, as each edit
+    brings values that no other has.
     """
-    entries = nodes.select("id", "n", F.explode(F.slice("sketch", 1, rule.listed)).alias("value"))
+    values = nodes.select("id", "n", F.explode("sketch").alias("value"))
+    known = stored(values.groupBy("value").agg(F.count("*").alias("known")).where("known > 1"), "lists")
+    shared = values.join(known, "value").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("known", "value"))).alias("shared"))
+    alone = F.least(F.col("n"), F.lit(rule.k)).cast("int") - F.size("shared")
+    listed = F.slice("shared", 1, F.greatest(rule.listed(F.col("n")) - alone, F.lit(0)))
+    entries = stored(shared.select("id", "n", F.explode(F.transform(listed, lambda x: x["value"])).alias("value")), "lists")
     length = stored(entries.groupBy("value").agg(F.count("*").alias("length")).where("length > 1"), "lists")
     entries = stored(entries.join(length, "value"), "lists")
     weight = stored(entries.groupBy("id").agg(F.sum("length").alias("weight")), "lists")

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from lexloom.llm.words import Words, pieces as slices, text_buffers
 
@@ -231,7 +232,7 @@ def encode_pieces(documents: DataFrame, model: str, text: str = "text", column:
     pieces. Repeated rows get equal pieces. An empty table gives no rows. A column of that name is replaced. Texts are
     encoded whole in the task that scans them; nothing is shuffled.
     """
-    return _mapped(documents, text, column, "array<int>", lambda texts: encode(texts, automaton_of(model)))
+    return _mapped(documents, text, column, T.ArrayType(T.IntegerType()), lambda texts: encode(texts, automaton_of(model)))
 
 
 def decode_pieces(encoded: DataFrame, model: str, pieces: str = "pieces", column: str = "decoded") -> DataFrame:
@@ -240,17 +241,17 @@ def decode_pieces(encoded: DataFrame, model: str, pieces: str = "pieces", column
     def text_of(ids: pa.Array) -> pa.Array:
         return decode(ids.fill_null([]) if ids.null_count else ids, automaton_of(model).vocabulary).cast(pa.string())
 
-    return _mapped(encoded, pieces, column, "string", text_of)
+    return _mapped(encoded, pieces, column, T.StringType(), text_of)
 
 
-def _mapped(frame: DataFrame, source: str, column: str, kind: str, make) -> DataFrame:
+def _mapped(frame: DataFrame, source: str, column: str, kind: T.DataType, make) -> DataFrame:
     kept = [c for c in frame.columns if c != column]
     place = kept.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             whole = whole.rename_columns([str(i) for i in range(whole.num_columns)])
-            parts = slices(whole, str(place)) if kind != "string" else (whole.slice(i, 256) for i in range(0, whole.num_rows, 256))
+            parts = slices(whole, str(place)) if kind != T.StringType() else (whole.slice(i, 256) for i in range(0, whole.num_rows, 256))
             for batch in parts:
                 yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(place))], [*kept, column])
 
