@@ -15,6 +15,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from lexloom.llm.htmltree import N_EDGE, N_FEATURES, Forest, Page, forest, parse
 from lexloom.llm.labelpages import labelled_pages
@@ -109,9 +110,11 @@ def extract_text(pages: DataFrame, html: str = "html", column: str = "text", wei
     makes others. A page is parsed whole in the task that scans it; nothing is shuffled.
     """
     w = weights or default_weights()
-    kept = [c for c in pages.columns if c not in (column, "n_chars")]
+    source = pages.drop(column, "n_chars")
+    kept = source.columns
     place = kept.index(html)
-    schema = pages.select(*kept).schema.add(column, "string").add("n_chars", "long")
+    added = [T.StructField(column, T.StringType()), T.StructField("n_chars", T.LongType())]
+    schema = T.StructType([*source.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -121,4 +124,4 @@ def extract_text(pages: DataFrame, html: str = "html", column: str = "text", wei
                 sizes = pa.array([len(t) for t in texts], pa.int64())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), sizes], [*kept, column, "n_chars"])
 
-    return pages.select(*kept).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)

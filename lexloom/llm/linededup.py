@@ -91,7 +91,7 @@ def line_dedup(
     rows = rows.join(stored(repeated, "chunks"), ["hash", "lines"])
 
     own = rows.groupBy("__key", "__hash").agg(F.collect_list(F.struct("first", "lines", "hash")).alias("chunks"))
-    texts = source.join(own.withColumnsRenamed({"__key": "k", "__hash": "h"}), _same("__key", "__hash", "k", "h"))
+    texts = source.join(own.withColumnsRenamed({"__key": "__k", "__hash": "__h"}), _same("__key", "__hash", "__k", "__h"))
     body = F.array_join(F.slice("__lines", F.col("c.first") + 1, F.col("c.lines")), "\n")
     placed = texts.select("__key", "__hash", "__lines", F.explode("chunks").alias("c")).select(
         F.struct("__key", "__hash", F.col("c.first").alias("first")).alias("place"),
@@ -105,13 +105,13 @@ def line_dedup(
         earliest.select("hash", "lines", F.col("e.place").alias("earliest"), F.col("e.body").alias("bytes")), "chunks"
     )
     doomed = placed.join(earliest, ["hash", "lines"]).where((F.col("body") == F.col("bytes")) & (F.col("place") != F.col("earliest")))
-    ranges = doomed.groupBy(F.col("place.__key").alias("k"), F.col("place.__hash").alias("h")).agg(
+    ranges = doomed.groupBy(F.col("place.__key").alias("__k"), F.col("place.__hash").alias("__h")).agg(
         F.collect_set(F.struct(F.col("place.first").alias("first"), "lines")).alias("__ranges")
     )
     ranges = stored(ranges, "ranges")
 
     named = documents.withColumns({"__key": F.col(key), "__hash": identity})
-    joined = named.join(ranges, _same("__key", "__hash", "k", "h"), "left")
+    joined = named.join(ranges, _same("__key", "__hash", "__k", "__h"), "left")
     gone = lambda i: F.exists("__ranges", lambda r: (i >= r["first"]) & (i < r["first"] + r["lines"]))
     lines = F.split(F.col(text), "\n", -1)
     left = F.filter(lines, lambda _, i: ~gone(i))
@@ -122,7 +122,7 @@ def line_dedup(
             "lines_removed": F.when(hit, F.size(lines) - F.size("__left")).otherwise(F.lit(0)).cast("long"),
             text: F.when(hit, F.array_join("__left", "\n")).otherwise(F.col(text)),
         }
-    ).drop("__key", "__hash", "k", "h", "__ranges", "__left")
+    ).drop("__key", "__hash", "__k", "__h", "__ranges", "__left")
 
 
 def _same(key: str, hash_: str, other_key: str, other_hash: str) -> Column:

@@ -85,7 +85,9 @@ def mix_sources(
     joined back on the source, where a hot source is only ever streamed past its one
     row: its partition splits under the adaptive skew join.
     """
-    sized = documents.withColumn("mix_size", word_count(F.col(text)))
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
+    draw = unit_draw(F.concat_ws("\u0002", F.col(key), digest), seed)
+    sized = documents.withColumns({"mix_size": word_count(F.col(text)), "__draw": draw})
     sources = sized.groupBy(F.col(source).alias("source")).agg(F.sum("mix_size").alias("source_size"))
     targets = source_targets(sources, weights, max_rate).select(
         F.col("source").alias("__source"),
@@ -95,17 +97,14 @@ def mix_sources(
     joined = sized.join(targets, sized[source].eqNullSafe(targets["__source"]))
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(1.0))
     whole = F.floor(rate)
-    draw = unit_draw(F.concat_ws("\u0002", F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")))), seed)
-    copies = whole + F.when(draw < rate - whole, F.lit(1)).otherwise(F.lit(0))
-    return (
-        joined.withColumns(
-            {
-                "mix_source_size": F.col("__source_size"),
-                "mix_target": F.col("__target"),
-                "mix_copies": copies.cast("long"),
-            }
-        ).drop("__source", "__source_size", "__target")
-    )
+    copies = whole + F.when(F.col("__draw") < rate - whole, F.lit(1)).otherwise(F.lit(0))
+    return joined.withColumns(
+        {
+            "mix_source_size": F.col("__source_size"),
+            "mix_target": F.col("__target"),
+            "mix_copies": copies.cast("long"),
+        }
+    ).drop("__source", "__source_size", "__target", "__draw")
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:

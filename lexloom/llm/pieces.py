@@ -245,7 +245,8 @@ def decode_pieces(encoded: DataFrame, model: str, pieces: str = "pieces", column
 
 
 def _mapped(frame: DataFrame, source: str, column: str, kind: T.DataType, make) -> DataFrame:
-    kept = [c for c in frame.columns if c != column]
+    rows = frame.drop(column)
+    kept = rows.columns
     place = kept.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,4 +256,4 @@ def _mapped(frame: DataFrame, source: str, column: str, kind: T.DataType, make)
             for batch in parts:
                 yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(place))], [*kept, column])
 
-    return frame.select(*kept).mapInArrow(run, frame.select(*kept).schema.add(column, kind))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(column, kind)]))

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexloom.llm.labelled import fold, summed, training_rows
 from lexloom.llm.words import Words, pieces, split_classes, split_words
@@ -228,9 +229,9 @@ def score(documents: DataFrame, model, text: str = "text", column: str = "score"
     without words. Repeated rows get equal scores. A column of that name is replaced.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in documents.columns if c != column]
-    schema = documents.select(*kept).schema.add(column, "double")
-    names = [*kept, column]
+    source = documents.drop(column)
+    kept, names = source.columns, [*source.columns, column]
+    schema = T.StructType([*source.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = kept.index(text)
@@ -240,7 +241,7 @@ def score(documents: DataFrame, model, text: str = "text", column: str = "score"
                 found = pa.array(np.asarray(sent.value.score(batch.column(place)), np.float64))
                 yield pa.RecordBatch.from_arrays([*batch.columns, found], names)
 
-    return documents.select(*kept).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def classify_quality(
