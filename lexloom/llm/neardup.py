@@ -242,74 +242,106 @@ def _pairs_in_short_lists(entries: DataFrame, rule: Rule) -> DataFrame:
     return met.select("a", "b")
 
 
+def _whole_sets(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                row, value = shingle_hashes(batch.column("text"), rule.width)
+                offsets = np.searchsorted(row, np.arange(batch.num_rows + 1))
+                sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(value.view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sets], [*batch.schema.names[:-1], "values"])
+
+    return run
+
+
 def _pairs_in_blocks(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            found: set[tuple[int, int]] = set()
             for at in range(batch.num_rows):
-                left, right = (batch.column(i)[at].values for i in (0, 1))
-                found += _block_pairs(left, right, rule)
-            pairs = sorted(set(found))
+                found |= _block_links(*(batch.column(i)[at].values for i in (0, 1)), rule)
+            pairs = sorted(found)
             yield pa.RecordBatch.from_pydict({"a": [x[0] for x in pairs], "b": [x[1] for x in pairs]}, schema=_LINK)
 
     return run
 
 
-def _block_pairs(left: pa.StructArray, right: pa.StructArray, rule: Rule) -> list[tuple[int, int]]:
-    sides = []
-    for block in (left, right):
-        lists = block.field("sketch")
-        values = lists.flatten().to_numpy()
-        row = np.repeat(np.arange(len(block)), np.asarray(lists.value_lengths()))
-        sides.append((*(block.field(f).to_numpy() for f in ("id", "n", "component")), row, values))
-    (id_a, n_a, of_a, row_a, val_a), (id_b, n_b, of_b, row_b, val_b) = sides
-    known, number = np.unique(val_a, return_inverse=True)
-    place = np.minimum(np.searchsorted(known, val_b), len(known) - 1)
-    hit = known[place] == val_b
-    one, two = np.zeros((len(left), len(known)), np.float32), np.zeros((len(right), len(known)), np.float32)
-    one[row_a, number] = 1
-    two[row_b[hit], place[hit]] = 1
-    common = one @ two.T
-    least, most = np.minimum(n_a[:, None], n_b), np.maximum(n_a[:, None], n_b)
-    need = np.array([max(1.0, rule.enough(x)) for x in range(rule.k + 1)])[np.minimum(least, rule.k)]
-    likely = (common >= need) & (100 * least >= rule.percent * most) & (of_a[:, None] != of_b)
-    return [(int(min(id_a[i], id_b[j])), int(max(id_a[i], id_b[j]))) for i, j in zip(*np.nonzero(likely), strict=True)]
-
-
-BLOCK = 256
-
-
-def _pairs_in_long_lists(entries: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of sketches that may be linked, from different components within long lists.
-
-    In each list the largest component is set aside: its members need no comparison with one
-    another, only with the others, and those are compared with all. Both sides are dealt into blocks of
-    bounded size and each pair of blocks is one row of work, so no list gathers in a
-    task and only likely pairs become rows.
+CELLS = 4_000_000
+
+
+def _block_links(left: pa.StructArray, right: pa.StructArray, rule: Rule) -> set[tuple[int, int]]:
+    """Similar sets of different components in two blocks; per left set one of each other component.
+
+    A few left sets at a time are laid out over the values they hold, and the values of the right
+    sets that meet them are added up set by set.
     """
-    long_ = entries.where(F.col("length") > rule.short_list)
-    size = long_.groupBy("value", "component").agg(F.count("*").alias("size"))
-    largest = size.groupBy("value").agg(
-        F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("total")
-    )
+    (id_a, of_a), (id_b, of_b) = ([x.field(f).to_numpy() for f in ("id", "component")] for x in (left, right))
+    sets = [x.field("values") for x in (left, right)]
+    size_a, size_b = (np.asarray(x.value_lengths(), dtype=np.int64) for x in sets)
+    values_a, values_b = (x.flatten().to_numpy() for x in sets)
+    first_a = np.concatenate(([0], np.cumsum(size_a)))
+    row_b = np.repeat(np.arange(len(right)), size_b)
+    height = int(max(1, min(64, (CELLS / max(1, size_a.max(initial=1))) ** 0.5)))
+    found: set[tuple[int, int]] = set()
+    for top in range(0, len(left), height):
+        end = min(top + height, len(left))
+        known, number = np.unique(values_a[first_a[top] : first_a[end]], return_inverse=True)
+        table = np.zeros((end - top, len(known)), np.float32)
+        table[np.repeat(np.arange(end - top), size_a[top:end]), number] = 1
+        place = np.minimum(np.searchsorted(known, values_b), len(known) - 1)
+        hit = np.flatnonzero(known[place] == values_b)
+        common = np.zeros((end - top, len(right)))
+        for part in np.array_split(hit, max(1, len(hit) * (end - top) // CELLS)):
+            if len(part):
+                rows, starts = np.unique(row_b[part], return_index=True)
+                common[:, rows] += np.add.reduceat(table[:, place[part]], starts, axis=1)
+        union = size_a[top:end, None] + size_b - common
+        linked = (100 * common >= rule.percent * union) & (of_a[top:end, None] != of_b)
+        seen: set[tuple[int, int]] = set()
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            a, b, other = int(id_a[top + i]), int(id_b[j]), int(of_b[j])
+            if (a, other) not in seen:
+                seen.add((a, other))
+                found.add((min(a, b), max(a, b)))
+    return found
+
+
+BLOCK_VALUES = 250_000
+
+
+def _pairs_in_long_lists(entries: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Links between different components of the sets that share a long list, by their whole sets.
+
+    Lists of one hub are taken together. In each such group the largest component is set aside: its members need no
+    comparison with one another, only with the others, and those are compared with all. Both
+    sides are dealt into blocks of bounded size and each pair of blocks is one row of work,
+    so no group gathers in a task and only links become rows.
+    """
+    long_ = entries.where(F.col("length") > rule.short_list).select("hub", "id", "n", "component").distinct()
+    long_ = stored(long_, "groups")
+    size = long_.groupBy("hub", "component").agg(F.count("*").alias("size"), F.sum("n").alias("values"))
+    largest = size.groupBy("hub").agg(F.max(F.struct("size", "component", "values")).alias("top"), F.sum("values").alias("total"))
     largest = stored(
         largest.select(
-            "value",
+            "hub",
             F.col("top.component").alias("main"),
-            F.ceil((F.col("total") - F.col("top.size")) / BLOCK).cast("int").alias("parts_a"),
-            F.ceil(F.col("total") / BLOCK).cast("int").alias("parts_b"),
-        ),
-        "lists",
+            F.ceil((F.col("total") - F.col("top.values")) / BLOCK_VALUES).cast("int").alias("parts_a"),
+            F.ceil(F.col("total") / BLOCK_VALUES).cast("int").alias("parts_b"),
+        ).where("parts_a > 0"),
+        "groups",
     )
-    rows = long_.join(largest, "value").join(nodes.select("id", "sketch"), "id")
-    item = F.struct("id", "n", "component", "sketch").alias("item")
+    members = stored(long_.join(largest, "hub"), "groups")
+    known = members.join(texts, "id").select("hub", "main", "parts_a", "parts_b", "id", "component", "text")
+    kind = "hub long, main long, parts_a int, parts_b int, id long, component long, values array<long>"
+    rows = stored(known.mapInArrow(_whole_sets(rule), kind), "sets")
+    item = F.struct("id", "component", "values").alias("item")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = rows.where("component <> main").select("value", part("parts_a").alias("part_a"), item)
-    left = left.groupBy("value", "part_a").agg(F.collect_list("item").alias("left"))
-    right = rows.select("value", part("parts_b").alias("part_b"), "parts_a", item)
-    right = stored(right.groupBy("value", "part_b", "parts_a").agg(F.collect_list("item").alias("right")), "lists")
+    left = rows.where("component <> main").select("hub", part("parts_a").alias("part_a"), item)
+    left = left.groupBy("hub", "part_a").agg(F.collect_list("item").alias("left"))
+    right = rows.select("hub", part("parts_b").alias("part_b"), "parts_a", item)
+    right = stored(right.groupBy("hub", "part_b", "parts_a").agg(F.collect_list("item").alias("right")), "groups")
     right = right.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)))
-    met = stored(left, "lists").join(right, ["value", "part_a"]).select("left", "right")
+    met = stored(left, "groups").join(right, ["hub", "part_a"]).select("left", "right")
     return met.mapInArrow(_pairs_in_blocks(rule), "a long, b long")
 
 
@@ -344,7 +376,7 @@ def near_duplicates(
     links = _confirmed(_likely(pairs, nodes, rule), texts, rule)
     labels = components(links)
     apart = _split_lists(entries, labels)
-    more = _pairs_in_short_lists(apart, rule).union(_pairs_in_long_lists(apart, nodes, rule)).distinct()
+    more = _pairs_in_short_lists(apart, rule).union(_pairs_in_long_lists(apart, texts, rule)).distinct()
     more_links = _confirmed(_likely(more, nodes, rule), texts, rule)
     if more_links.limit(1).count():
         labels = components(links.union(more_links))
