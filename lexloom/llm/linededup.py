@@ -74,7 +74,8 @@ def line_dedup(
 
     Only hashes and places are shuffled to find repeats. The bytes of chunks whose hash repeats
     follow, then each text meets its removed ranges once. A frequent chunk is joined to the one row
-    of its first place, which the adaptive skew join can split.
+    of its first place, which the adaptive skew join can split. What repeats has no bound, so none of it is
+    broadcast.
     """
     identity = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     source = documents.select(
@@ -88,10 +89,11 @@ def line_dedup(
     )
     rows = stored(rows.distinct(), "chunks")
     repeated = rows.groupBy("hash", "lines").agg(F.count("*").alias("n")).where("n > 1").select("hash", "lines")
-    rows = rows.join(stored(repeated, "chunks"), ["hash", "lines"])
+    rows = rows.join(stored(repeated, "chunks").hint("merge"), ["hash", "lines"])
 
     own = rows.groupBy("__key", "__hash").agg(F.collect_list(F.struct("first", "lines", "hash")).alias("chunks"))
-    texts = source.join(own.withColumnsRenamed({"__key": "__k", "__hash": "__h"}), _same("__key", "__hash", "__k", "__h"))
+    own = own.withColumnsRenamed({"__key": "__k", "__hash": "__h"}).hint("merge")
+    texts = source.join(own, _same("__key", "__hash", "__k", "__h"))
     body = F.array_join(F.slice("__lines", F.col("c.first") + 1, F.col("c.lines")), "\n")
     placed = texts.select("__key", "__hash", "__lines", F.explode("chunks").alias("c")).select(
         F.struct("__key", "__hash", F.col("c.first").alias("first")).alias("place"),
@@ -104,11 +106,11 @@ def line_dedup(
     earliest = stored(
         earliest.select("hash", "lines", F.col("e.place").alias("earliest"), F.col("e.body").alias("bytes")), "chunks"
     )
-    doomed = placed.join(earliest, ["hash", "lines"]).where((F.col("body") == F.col("bytes")) & (F.col("place") != F.col("earliest")))
+    doomed = placed.join(earliest.hint("merge"), ["hash", "lines"]).where((F.col("body") == F.col("bytes")) & (F.col("place") != F.col("earliest")))
     ranges = doomed.groupBy(F.col("place.__key").alias("__k"), F.col("place.__hash").alias("__h")).agg(
         F.collect_set(F.struct(F.col("place.first").alias("first"), "lines")).alias("__ranges")
     )
-    ranges = stored(ranges, "ranges")
+    ranges = stored(ranges, "ranges").hint("merge")
 
     named = documents.withColumns({"__key": F.col(key), "__hash": identity})
     joined = named.join(ranges, _same("__key", "__hash", "__k", "__h"), "left")
