@@ -114,8 +114,8 @@ def topk(k: int) -> str:
     return f"WITH {matches(k)} SELECT query_id, rank, key, similarity FROM matches"
 
 
-LINE = "'- Section ' || key || ' (' || source || '): ' || left(text, 300) || '…'"
-RECORDS = "matches JOIN documents ON doc_id = key"
+LINE = "'- Section ' || key || ' (' || coalesce(source, '') || '): ' || left(coalesce(text, ''), 300) || '…'"
+RECORDS = "matches LEFT JOIN documents ON doc_id = key"
 HINTS = "||chr(10)||".join(literal(f"- {offense}: {reference}") for offense, reference in OFFENSES.items())
 
 
@@ -134,7 +134,7 @@ def chat_requests() -> str:
     return f"""
         WITH {contexts()},
         asked AS (SELECT d.doc_id AS query_id, {user} AS content
-                  FROM documents d JOIN embeddings ON d.doc_id = vec_id LEFT JOIN context ON query_id = d.doc_id)
+                  FROM documents d LEFT JOIN context ON query_id = d.doc_id)
         SELECT query_id, 0 AS pos, 'system' AS role, {literal(GUIDANCE_ROLE)} AS content,
                {GUIDANCE_TOKENS} AS max_tokens FROM asked
         UNION ALL SELECT query_id, 1, 'user', content, {GUIDANCE_TOKENS} FROM asked"""
@@ -249,6 +249,18 @@ def letters() -> str:
         FROM normed WHERE norm > 0"""
 
 
+def index_counts() -> str:
+    body = "coalesce(source, '') || '. ' || coalesce(text, '')"
+    counts = ", ".join(f"length(body) - length(replace(body, '{chr(97 + i)}', ''))" for i in range(26))
+    return f"""
+        WITH texts AS (SELECT doc_id, {body} AS body FROM documents),
+        counted AS (SELECT doc_id, [{counts}]::DOUBLE[] AS n FROM texts),
+        normed AS (SELECT doc_id, n, sqrt(list_dot_product(n, n)) AS norm FROM counted)
+        SELECT doc_id, len(n)::INTEGER AS dimension, round((n[5] / norm)::FLOAT::DOUBLE, 4) AS fifth_element,
+               count(*) FILTER (norm > 0) OVER () AS stored, count(*) FILTER (norm = 0) OVER () AS rejected
+        FROM normed QUALIFY norm > 0"""
+
+
 def shown(column: str) -> str:
     value = f"{column}::VARCHAR"
     return f"CASE WHEN length({value}) > 80 THEN left({value}, 77) || '...' ELSE {value} END AS {column}"
@@ -275,16 +287,12 @@ def oracles() -> dict[str, str]:
             WHERE length(p_name) > 5""",
         "table_roundtrip": "SELECT * FROM part",
         "table_statistics": part_statistics(),
-        "compact_table": "SELECT * FROM part",
+        "compact_table": """
+            SELECT *, 'p_brand' AS partitioned_by, 'true' AS optimize, true AS measured FROM part""",
         "table_preview": f"""
             SELECT {", ".join(shown(c) for c in ("doc_id", "text", "lang", "source", "n_chars"))}
             FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 10)""",
-        "index_build": """
-            SELECT doc_id, coalesce(source, '') || '. ' || coalesce(text, '') AS embedding_text,
-                   len(embedding)::INTEGER AS dimension,
-                   round((embedding[1] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))
-                         ::FLOAT::DOUBLE, 4) AS first_element
-            FROM documents JOIN embeddings ON doc_id = vec_id""",
+        "index_build": index_counts(),
         "count_rows": 'SELECT count(*) AS "rows" FROM documents',
         "count_by_source_asc": "SELECT source, count(*) AS sections FROM documents GROUP BY source ORDER BY source",
         "count_by_lang_desc": """
@@ -303,6 +311,16 @@ def oracles() -> dict[str, str]:
             SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], f::DOUBLE[]), 6) AS product
             FROM embeddings JOIN first USING (label)""",
         **{f"topk_cosine_k{k}": topk(k) for k in (3, 5, 7, 10)},
+        **{f"topk_cosine_k5_{way}": topk(5) for way in ("queries", "corpus", "waves")},
+        "sparse_retrieval_k5_waves": sparse_retrieval(5),
+        "topk_per_request": f"""
+            WITH {matches(10)} SELECT query_id, rank, key, similarity FROM matches WHERE rank <= query_id % 8 + 3""",
+        "guidance_answers": """
+            SELECT q.conv_id || '-' || q.turn AS request_id, q.text AS resolved, a.text AS answer,
+                   CASE WHEN a.conv_id IS NULL THEN 'missing' WHEN a.text IS NULL THEN 'empty' ELSE 'answered' END AS status
+            FROM conversations q LEFT JOIN conversations a
+              ON a.conv_id = q.conv_id AND a.turn - 1 = q.turn AND a.role = 'assistant'
+            WHERE q.role = 'user'""",
         "topk_short_corpus": f"""
             WITH few AS (SELECT * FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
             {matches(100, "few")} SELECT query_id, rank, key, similarity FROM matches""",
@@ -311,7 +329,7 @@ def oracles() -> dict[str, str]:
         "match_display": f"""
             WITH {matches(5)}
             SELECT query_id, rank, key::VARCHAR AS section, source AS name, printf('%.3f', similarity) AS cosine,
-                   left(text, 400) || '…' AS excerpt
+                   left(coalesce(text, ''), 400) || '…' AS excerpt
             FROM {RECORDS}""",
         "retrieval_hit_rate": f"""
             WITH {matches(5, others=True)},

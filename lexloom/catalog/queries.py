@@ -13,11 +13,12 @@ from lexloom.functions import languages as lang
 from lexloom.functions import responses, text, vectors
 from lexloom.functions.hints import hint_block_column
 from lexloom.operators import chunking, clean, context, embed, language, profile, requests, retrieval, sparse
-from lexloom.operators.blocks import Matches
-from lexloom.plans.guidance import guidance
+from lexloom.operators.blocks import Limits, Matches
+from lexloom.plans.guidance import answers, guidance
+from lexloom.plans.index import build_index
 from lexloom.session import shared_dir, spread_small_input
 from lexloom.sources import csv, tables
-from lexloom.sources.vectors import read_embedding_table, write_embedding_table
+from lexloom.sources.vectors import read_embedding_table
 from lexloom.streaming.retrieval import stream_guidance, stream_topk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,10 +90,10 @@ def csv_plain_scan(spark, folder):
     )
 
 
-def _written_part(spark: SparkSession, folder: str) -> str:
+def _written_part(spark: SparkSession, folder: str, **options) -> str:
     schema = f"lexloom_{uuid.uuid4().hex[:12]}"
     tables.ensure_schema(spark, schema, shared_dir(spark, "schema"))
-    tables.write_table(table(spark, folder, "part"), f"{schema}.part")
+    tables.write_table(table(spark, folder, "part"), f"{schema}.part", **options)
     return f"{schema}.part"
 
 
@@ -112,10 +113,17 @@ def table_statistics(spark, folder):
 
 @query
 def compact_table(spark, folder):
-    name = _written_part(spark, folder)
+    name = _written_part(spark, folder, partition_by=("p_brand",))
     tables.set_write_properties(spark, name, {"write.optimize": "true"})
+    tables.compute_statistics(spark, name)
     tables.compact_table(spark, name)
-    return tables.read_table(spark, name)
+    return tables.read_table(spark, name).withColumns(
+        {
+            "partitioned_by": F.lit(",".join(tables.partition_columns(spark, name))),
+            "optimize": F.lit(tables.write_properties(spark, name).get("write.optimize")),
+            "measured": F.lit(tables.has_statistics(spark, name)),
+        }
+    )
 
 
 @query
@@ -126,19 +134,13 @@ def table_preview(spark, folder):
 @query
 def index_build(spark, folder):
     path = shared_dir(spark, "embeddings")
-    documents = table(spark, folder, "documents")
-    scaled = table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x * 3).alias("embedding")
-    )
-    rows = documents.join(scaled, "doc_id").select(
-        "doc_id", text.embedding_text(F.col("source"), F.col("text")).alias("embedding_text"), "embedding"
-    )
-    write_embedding_table(rows, path)
+    counts = build_index(table(spark, folder, "documents"), path, _load_letter_model, "source", "text")
     return read_embedding_table(spark, path).select(
         "doc_id",
-        "embedding_text",
         F.size("embedding").alias("dimension"),
-        F.round(F.get("embedding", F.lit(0)).cast("double"), 4).alias("first_element"),
+        F.round(F.get("embedding", F.lit(4)).cast("double"), 4).alias("fifth_element"),
+        F.lit(counts["stored"]).alias("stored"),
+        F.lit(counts["rejected"]).alias("rejected"),
     )
 
 
@@ -231,6 +233,39 @@ for _k in (3, 5, 7, 10):
     _register_topk(_k)
 
 
+# The same search by each way of bringing the sides together, whatever their sizes.
+WAYS = {
+    "queries": {"strategy": "queries"},
+    "corpus": {"strategy": "corpus"},
+    "waves": {"strategy": "waves", "limits": Limits(broadcast_bytes=100_000)},
+}
+
+
+def _register_ways(way: str) -> None:
+    def dense(spark, folder):
+        embeddings = table(spark, folder, "embeddings")
+        return retrieval.topk(embeddings, embeddings, 5, query_id="vec_id", key="vec_id", **WAYS[way]).rows
+
+    def by_terms(spark, folder):
+        asked, documents = table(spark, folder, "benchmark"), table(spark, folder, "documents")
+        return sparse.topk_by_terms(asked, documents, 5, query_id="item_id", key="doc_id", **WAYS[way]).rows
+
+    REGISTERED[f"topk_cosine_k5_{way}"] = dense
+    if way == "waves":
+        REGISTERED[f"sparse_retrieval_k5_{way}"] = by_terms
+
+
+for _way in WAYS:
+    _register_ways(_way)
+
+
+@query
+def topk_per_request(spark, folder):
+    embeddings = table(spark, folder, "embeddings")
+    asking = embeddings.withColumn("k", F.col("vec_id") % 8 + 3)
+    return retrieval.topk_per_request(asking, embeddings, "k", query_id="vec_id", key="vec_id").rows
+
+
 @query
 def topk_short_corpus(spark, folder):
     embeddings = table(spark, folder, "embeddings")
@@ -282,7 +317,7 @@ def chat_requests(spark, folder):
     documents = table(spark, folder, "documents")
     inputs = documents.select(F.col("doc_id").alias("request_id"), "text")
     sent = guidance(
-        inputs.join(query_vectors.select("request_id"), "request_id", "left_semi"),
+        inputs,
         _vectors(spark, folder, "doc_id"),
         "doc_id",
         "source",
@@ -453,6 +488,20 @@ def response_extract(spark, folder):
     )
 
 
+@query
+def guidance_answers(spark, folder):
+    """Users' turns are requests; the assistant's next turn responds to them, if there is one."""
+    turns = table(spark, folder, "conversations")
+    name = F.concat_ws("-", "conv_id", F.col("turn"))
+    asked = turns.where("role = 'user'").select(name.alias("request_id"), F.col("text").alias("resolved"))
+    message = F.struct(F.struct(F.col("text").alias("content")).alias("message"))
+    earlier = F.concat_ws("-", "conv_id", F.col("turn") - 1)
+    responded = turns.where("role = 'assistant'").select(
+        earlier.alias("request_id"), F.to_json(F.struct(F.array(message).alias("choices"))).alias("response")
+    )
+    return answers(asked, responded).select("request_id", "resolved", "answer", "status")
+
+
 @query
 def response_defaults(spark, folder):
     props = F.col("props")
@@ -534,7 +583,7 @@ def stream_chat_requests(spark, folder):
         typed = batch.select("doc_id", F.col("text").alias("typed"), F.lit("").alias("transcript"))
         resolved = requests.accepted(requests.resolve_requests(typed, "typed", "transcript", trim_typed=False))
         named = resolved.select(F.col("doc_id").alias("request_id"), "resolved")
-        return named.join(_vectors(spark, folder, "request_id"), "request_id")
+        return named.join(_vectors(spark, folder, "request_id"), "request_id", "left")
 
     running = stream_guidance(
         _request_stream(spark, folder, "documents"),

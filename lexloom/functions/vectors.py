@@ -16,7 +16,8 @@ def inner_product(left: Column, right: Column) -> Column:
 
 
 def l2_normalise(vector: Column) -> Column:
-    """The unit vector as ``array<float>``; NULL for a zero vector.
+    """The unit vector as ``array<float>``; NULL for a zero vector and for one with
+    elements that are NaN or infinite.
 
     The norm sits in a one-element array so that it is evaluated once per row
     and not once per element.
@@ -25,7 +26,7 @@ def l2_normalise(vector: Column) -> Column:
     scaled = F.transform(
         F.array(norm),
         lambda length: F.when(
-            length > 0, F.transform(vector, lambda x: (x.cast("double") / length).cast("float"))
+            (length > 0) & (length < float("inf")), F.transform(vector, lambda x: (x.cast("double") / length).cast("float"))
         ),
     )
     return F.get(scaled, F.lit(0))

@@ -8,16 +8,17 @@ sides meet depends on their measured sizes:
              in place, and the per-task top-k rows are merged by query;
 ``corpus``   the corpus is small: it is broadcast and each query is finished in
              its own task, without any shuffle;
-``grid``     both are large: each side is hashed into blocks of bounded size, every
-             query block is sent to every corpus block, and a co-group scores one
-             pair of blocks at a time.
+``waves``    both are large: the smaller side is cut into slices of bounded size that are
+             broadcast one after the other, and the larger side is read in place for
+             each; it is never shuffled.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,13 +36,11 @@ TILE_ROWS = 2048
 
 @dataclass(frozen=True)
 class Limits:
-    """Sizes beyond which a side is not broadcast, and the size of one grid block."""
+    """Sizes beyond which a side, or a slice of it, is not broadcast."""
 
     broadcast_bytes: int = 128 << 20
     partial_rows: int = 4_000_000
-    block_bytes: int = 32 << 20
     pairs_per_task: int = 50_000_000
-    max_tasks: int = 20_000
 
 
 @dataclass(frozen=True)
@@ -85,6 +84,8 @@ class DenseKernel:
         if len(lengths) > 1:
             raise ValueError(f"vectors of different lengths: {sorted(lengths.to_pylist())}")
         flat = column.flatten().to_numpy(zero_copy_only=False)
+        if not np.isfinite(flat).all():
+            raise ValueError("vectors hold NaN or infinite elements")
         return flat.reshape(len(column), -1)
 
     def score(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -290,34 +291,33 @@ def _rank(candidates: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "rank", "key", "similarity")
 
 
-def _grid(
-    search: _Search, queries: Side, corpus: Side, sizes: dict[str, int], schema: T.StructType, limits: Limits
-) -> DataFrame:
-    arrow_schema = to_arrow_schema(schema)
-    n_query_blocks = max(1, math.ceil(sizes["queries"] / limits.block_bytes))
-    n_corpus_blocks = max(1, math.ceil(sizes["corpus"] / limits.block_bytes))
-    tasks = min(n_query_blocks * n_corpus_blocks, limits.max_tasks)
-
-    def blocks(side: Side, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        """Rows with their own block number, once for each block of the other side."""
-        numbers = F.sequence(F.lit(0), F.lit(n_other - 1))
-        fields = [F.col(name).alias(name) for name in (side.key, *search.kernel.columns)]
-        return side.rows.select(
-            *fields,
-            F.pmod(F.xxhash64(side.key), F.lit(n_own)).cast("int").alias(own),
-            F.explode(numbers).alias(other),
-        ).repartition(tasks, "query_block", "corpus_block")
-
-    pair = ("query_block", "corpus_block")
-    left = blocks(queries, "query_block", n_query_blocks, "corpus_block", n_corpus_blocks)
-    right = blocks(corpus, "corpus_block", n_corpus_blocks, "query_block", n_query_blocks)
+def _waves(search: _Search, queries: Side, corpus: Side, sizes, schema: T.StructType, limits: Limits) -> DataFrame:
+    """Partial answers when neither side fits: slices of the smaller side are broadcast in turn.
 
-    def run(query_block: pa.Table, corpus_block: pa.Table) -> pa.Table:
-        query_tiles = search.load([query_block], search.query_key)
-        frames = list(search.all_queries(query_tiles, [corpus_block])) if query_tiles else []
-        return _to_arrow(frames[0], arrow_schema) if frames else arrow_schema.empty_table()
-
-    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(run, schema)
+    The larger side stays where it lies and is read once per slice; only the k best
+    rows per query leave a task.
+    """
+    slice_queries = sizes["queries"] <= sizes["corpus"]
+    cut, moving = (queries, corpus) if slice_queries else (corpus, queries)
+    size = sizes["queries" if slice_queries else "corpus"]
+    context = cut.rows.sparkSession.sparkContext
+    n_waves = max(1, math.ceil(2 * size / limits.broadcast_bytes))
+    parts = []
+    for number in range(n_waves):
+        own = cut.rows.where(F.pmod(F.xxhash64(cut.key), F.lit(n_waves)) == number)
+        collected = own.select(cut.key, *search.kernel.columns).toArrow()
+        if not collected.num_rows:
+            continue
+        if n_waves > 1 and collected.nbytes > 4 * limits.broadcast_bytes:
+            raise ValueError(f"a slice of {collected.nbytes} bytes is too large to broadcast")
+        held = context.broadcast(search.load([collected], cut.key))
+        work = search.all_queries if slice_queries else search.each_query
+        parts.append(
+            _stream(moving, search.kernel.columns, lambda tables, held=held, work=work: work(held.value, tables), schema, None)
+        )
+    if not parts:
+        return cut.rows.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _tasks_needed(n_pairs: int, moving_bytes: int, cores: int, limits: Limits) -> int | None:
@@ -343,9 +343,10 @@ def search(
 
     Similarities are rounded to ``decimals`` before ranking so that the answer
     does not depend on how rows were grouped into blocks. Keys must be unique
-    on either side. A side is broadcast only when its measured size is within
+    on either side; rows without a key never match. A side is broadcast only when its measured size is within
     ``limits``; a requested strategy that breaks them raises.
     """
+    queries, corpus = (replace(side, rows=side.rows.where(F.col(side.key).isNotNull())) for side in (queries, corpus))
     sides = {"queries": queries, "corpus": corpus}
     counts = {name: side.count() for name, side in sides.items()}
     sizes = {name: side.bytes_for(counts[name]) for name, side in sides.items()}
@@ -356,15 +357,15 @@ def search(
 
     if strategy == "auto":
         smaller_first = sorted(sides, key=lambda name: (counts[name], name))
-        strategy = next((name for name in smaller_first if fits[name]), "grid")
-    elif strategy not in ("queries", "corpus", "grid"):
+        strategy = next((name for name in smaller_first if fits[name]), "waves")
+    elif strategy not in ("queries", "corpus", "waves"):
         raise ValueError(f"unknown strategy {strategy!r}")
     elif not fits.get(strategy, True):
         raise ValueError(f"the {strategy} side is too large to broadcast")
 
     at_most = counts["queries"] * k
-    if strategy == "grid":
-        return Matches(_rank(_grid(task, queries, corpus, sizes, schema, limits), k), at_most)
+    if strategy == "waves":
+        return Matches(_rank(_waves(task, queries, corpus, sizes, schema, limits), k), at_most)
 
     held_side = sides[strategy]
     moving = "corpus" if strategy == "queries" else "queries"

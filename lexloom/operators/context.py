@@ -15,14 +15,11 @@ ORIGINAL_PREVIEW = 120
 EXPLAIN_TOKENS = 1024
 GUIDANCE_TOKENS = 1200
 
-EXPLAIN_ROLE = (
-    "Explain legal text to a reader of fifteen. Keep sentences short, use plain words and "
-    "one everyday comparison, and close with a single line on what it means for the reader. "
-    "Answer in English."
-)
+EXPLAIN_ROLE = "Input: a passage of law. Output: a plain English paragraph that a school pupil understands."
 GUIDANCE_ROLE = (
-    "Help a citizen prepare a police report. Name the offense, list the sections that apply "
-    "and why in plain language, and say what to do next. Be kind and clear. Answer in English."
+    "Input: an incident, sections of law found for it, and a list of offenses. "
+    "Output, in plain English and under three headings: applicable sections with a reason each; "
+    "facts a police report still lacks; next steps."
 )
 
 
@@ -124,5 +121,5 @@ def explanation_requests(
 def message_rows(requests: DataFrame) -> DataFrame:
     """``(query_id, pos, role, content, max_tokens)``, one row per message."""
     return requests.select(
-        "query_id", "max_tokens", F.posexplode("messages").alias("pos", "message")
+        "query_id", "max_tokens", F.posexplode_outer("messages").alias("pos", "message")
     ).select("query_id", "pos", "message.role", "message.content", "max_tokens")

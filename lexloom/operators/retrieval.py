@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.operators.blocks import DenseKernel, Limits, Matches, Side, search
+from lexloom.session import shared_dir
 
 BROADCAST_MATCHES = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
 def dense_side(df: DataFrame, key: str, vector: str) -> Side:
@@ -62,18 +64,42 @@ def topk_others(queries: DataFrame, corpus: DataFrame, k: int = 5, **options) ->
 
 
 def attach_records(matches: Matches, records: DataFrame, key: str) -> DataFrame:
-    """Each match with the record it points to.
+    """Each match with the record it points to; NULL columns where there is no such record.
 
     The join comes after the search, so it sees at most k rows per query. When
-    that bound is small the matches are broadcast and the record table is
-    scanned in place. Otherwise both sides are shuffled on the key, and a record
-    that very many queries point to is split by the adaptive skew join, which
-    can divide the match side since record keys are unique.
+    their number and their measured keys are small, the matches are written, broadcast,
+    and the record table is scanned in place; the hits then join the matches, which
+    keeps those without a record. Otherwise both sides are shuffled on the key, and a
+    record that very many queries point to is split by the adaptive skew join,
+    which can divide the match side since record keys are unique.
     """
-    found = matches.rows
-    if matches.at_most <= BROADCAST_MATCHES:
-        found = F.broadcast(found)
-    return records.withColumnRenamed(key, "key").join(found, "key")
+    named = records.withColumnRenamed(key, "key")
+    if matches.at_most > BROADCAST_MATCHES:
+        return matches.rows.join(named, "key", "left")
+    path = shared_dir(records.sparkSession, "matches")
+    matches.rows.write.parquet(path)
+    found = records.sparkSession.read.schema(matches.rows.schema).parquet(path)
+    ids = F.octet_length(F.col("key").cast("string")) + F.octet_length(F.col("query_id").cast("string"))
+    size = found.agg(F.coalesce(F.sum(ids.cast("long") + 32), F.lit(0))).first()[0]
+    if size > BROADCAST_BYTES:
+        return found.join(named, "key", "left")
+    hits = named.join(F.broadcast(found.select("key").distinct()), "key", "left_semi")
+    return found.join(hits, "key", "left")
+
+
+def topk_per_request(
+    queries: DataFrame, corpus: DataFrame, k: str, query_id: str = "query_id", **options
+) -> Matches:
+    """As :func:`topk` with the number of matches in column ``k`` of each query.
+
+    The search takes the largest number and each query keeps its own. A query whose number is
+    NULL or below 1 has no match.
+    """
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(k).alias("asked")).where("asked >= 1")
+    most = asked.agg(F.max("asked")).first()[0] or 1
+    found = topk(queries, corpus, most, query_id=query_id, **options)
+    own = found.rows.join(asked, "query_id").where("rank <= asked").drop("asked")
+    return Matches(own, found.at_most)
 
 
 def hit_rate(matches: Matches, labels: DataFrame, key: str, label: str) -> DataFrame:

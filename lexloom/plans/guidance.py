@@ -59,15 +59,22 @@ def apply_translations(
 ) -> DataFrame:
     """``texts`` with ``translated``: the answered chunks rejoined, or the text where none were sent.
 
-    ``responses`` holds ``(key, chunk_no, response)``. A chunk whose response is
+    ``n_untranslated`` counts the chunks sent that came back without a translation. ``responses`` holds ``(key, chunk_no, response)``. A chunk whose response is
     missing or carries no translation keeps its source text.
     """
+    own = F.lit(None).cast("string")
     answered = sent.join(responses, [key, "chunk_no"], "left").select(
-        key, "chunk_no", translated_text(F.col("response"), F.col("payload.input")).alias("chunk")
+        key,
+        "chunk_no",
+        translated_text(F.col("response"), F.col("payload.input")).alias("chunk"),
+        translated_text(F.col("response"), own).isNull().alias("kept"),
     )
     joined = join_chunks(answered, key).withColumnRenamed("text", "rejoined")
-    merged = texts.join(joined, key, "left")
-    return merged.withColumn("translated", F.coalesce("rejoined", text)).drop("rejoined")
+    kept = answered.groupBy(key).agg(F.count_if("kept").alias("n_untranslated"))
+    merged = texts.join(joined, key, "left").join(kept, key, "left")
+    return merged.withColumns(
+        {"translated": F.coalesce("rejoined", text), "n_untranslated": F.coalesce("n_untranslated", F.lit(0))}
+    ).drop("rejoined")
 
 
 def english_inputs(prepared: DataFrame, sent: DataFrame, responses: DataFrame) -> DataFrame:
@@ -107,9 +114,17 @@ def explanations(inputs: DataFrame, query_id: str = "request_id", text: str = "r
 
 
 def answers(prepared: DataFrame, responses: DataFrame) -> DataFrame:
-    """Requests with their English ``answer``; ``responses`` holds ``(request_id, response)``."""
-    content = responses.select("request_id", chat_content(F.col("response")).alias("answer"))
-    return prepared.join(content, "request_id")
+    """Every request with its English ``answer`` and its ``status``.
+
+    ``responses`` holds ``(request_id, response)``. The status is ``answered``, ``empty`` for a response
+    without content, or ``missing``; the last two have a NULL answer and stay in the table.
+    """
+    content = responses.select(
+        "request_id", chat_content(F.col("response")).alias("answer"), F.lit(True).alias("responded")
+    )
+    status = F.when(F.col("responded").isNull(), "missing").when(F.col("answer").isNull(), "empty")
+    joined = prepared.join(content, "request_id", "left")
+    return joined.withColumn("status", status.otherwise("answered")).drop("responded")
 
 
 def answers_to_translate(answered: DataFrame) -> DataFrame:

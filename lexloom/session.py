@@ -9,7 +9,6 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 FULL_SPLIT = 128 << 20
-TINY_INPUT = 256 << 10
 
 
 def build_session(app_name: str = "lexloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,13 +58,11 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Give text-heavy work one task per core when the input has fewer full splits than that.
+    """Give text-heavy work one task per core when the input has fewer partitions than that.
 
     A small table often arrives as one file that a single task would read and
-    then work through alone. Its rows are dealt out first; at most one split per
-    core is shuffled. Larger inputs keep the splits they are read in. The size
-    is the optimizer's estimate and decides about speed only.
+    then work through alone. Its rows are dealt out first. An input of at least one
+    partition per core keeps the partitions it has, whatever its size.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if TINY_INPUT < size < cores * FULL_SPLIT else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+#: Stands for NULL while reading, so that a quoted empty field is not taken for one; an unquoted empty field is NULL.
+NO_TEXT = "\u0000"
+
+
 def string_schema(*names: str) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
@@ -25,7 +29,8 @@ def read_quoted_csv(
     """A UTF-8 file whose quoted fields may hold line breaks and doubled quotes.
 
     Such a file cannot be split, so one file is one task: supply many files,
-    or pass ``spread`` to redistribute the rows before heavier work. Without a
+    or pass ``spread`` to redistribute the rows before heavier work. An empty field is
+    NULL, a quoted empty field is an empty string. Without a
     schema the header of one file is read to name the columns.
     """
     reader = (
@@ -33,6 +38,8 @@ def read_quoted_csv(
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("nullValue", NO_TEXT)
+        .option("emptyValue", "")
         .option("encoding", "UTF-8")
     )
     rows = (reader.schema(schema) if schema else reader).csv(path)
@@ -45,7 +52,8 @@ def write_csv(df: DataFrame, path: str) -> None:
         df.write.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
-        .option("quoteAll", True)
+        .option("nullValue", "")
+        .option("emptyValue", '""')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .mode("overwrite")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.session import shared_dir
+
 
 def ensure_schema(spark: SparkSession, name: str, location: str | None = None) -> None:
     place = f" LOCATION '{location}'" if location else ""
@@ -21,6 +22,7 @@ def write_table(
     fmt: str = "parquet",
     metrics: dict[str, Column] | None = None,
     rebalance: bool = False,
+    partition_by: Sequence[str] = (),
 ) -> dict:
     """Replace ``table`` by ``df``, schema included, and return the metrics of the written rows.
 
@@ -30,11 +32,13 @@ def write_table(
     """
     observed = Observation()
     named = [column.alias(name) for name, column in (metrics or {}).items()]
-    out = df.hint("rebalance") if rebalance else df
+    out = df.hint("rebalance", *partition_by) if rebalance else df
     out = out.observe(observed, F.count(F.lit(1)).alias("rows"), *named)
     writer = out.write.format(fmt).mode("overwrite")
     if fmt == "delta":
         writer = writer.option("overwriteSchema", True)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(table)
     return observed.get
 
@@ -73,17 +77,39 @@ def set_write_properties(spark: SparkSession, table: str, properties: dict[str,
     spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({pairs})")
 
 
-def compact_table(spark: SparkSession, table: str, fmt: str = "parquet") -> dict:
+def partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [column.name for column in spark.catalog.listColumns(table) if column.isPartition]
+
+
+def write_properties(spark: SparkSession, table: str) -> dict[str, str]:
+    """The properties a user has set on a table."""
+    rows = spark.sql(f"SHOW TBLPROPERTIES {table}").collect()
+    return {r["key"]: r["value"] for r in rows if not r["key"].startswith(("transient_", "spark.sql.", "numFiles", "totalSize"))}
+
+
+def has_statistics(spark: SparkSession, table: str) -> bool:
+    """Whether the catalog keeps row counts of a table, as ANALYZE leaves them."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Statistics'").collect()
+    return any("rows" in (r["data_type"] or "") for r in rows)
+
+
+def compact_table(spark: SparkSession, table: str) -> dict:
     """Rewrite ``table`` into evenly sized files.
 
-    The rows go to a new table which then takes the old one's name, so the
-    source is never overwritten while being read. Readers should be quiet
-    during the two renames; the old table is dropped last.
+    The rows are copied to the shared folder first, so the table is never overwritten while
+    being read and the copy stays if the second write fails. They are then inserted
+    over the old ones: partitioning, properties, comment and location belong to
+    the table and stay. Statistics are taken again where there were some. Readers
+    should be quiet during the second write.
     """
-    suffix = uuid.uuid4().hex[:8]
-    fresh, old = f"{table}_new_{suffix}", f"{table}_old_{suffix}"
-    result = write_table(spark.table(table), fresh, fmt, rebalance=True)
-    spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
-    spark.sql(f"DROP TABLE {old}")
-    return result
+    by, measured = partition_columns(spark, table), has_statistics(spark, table)
+    columns = spark.table(table).columns
+    path = shared_dir(spark, "compact")
+    seen = Observation()
+    spark.table(table).observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    copy = spark.read.schema(spark.table(table).schema).parquet(path).select(*columns)
+    copy.hint("rebalance", *by).write.insertInto(table, overwrite=True)
+    spark.catalog.refreshTable(table)
+    if measured:
+        compute_statistics(spark, table)
+    return seen.get

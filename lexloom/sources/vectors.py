@@ -6,16 +6,19 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import vectors
+from lexloom.session import shared_dir
 
 
 def write_embedding_table(df: DataFrame, path: str, vector: str = "embedding") -> dict:
     """Store unit ``array<float>`` vectors beside their rows.
 
-    Zero and missing vectors cannot be searched and are left out; their count
-    is returned with the count of stored rows and the vector length. Vectors of
-    different lengths raise after the write, before anyone reads the table.
+    Zero, missing and non-finite vectors cannot be searched and are left out; their count
+    is returned with the count of stored rows and the vector length. Rows are written
+    beside the table and checked first: vectors of different lengths raise and leave the
+    table as it was.
     """
     seen = Observation()
+    fresh = shared_dir(df.sparkSession, "embeddings")
     unit = df.withColumn(vector, vectors.l2_normalise(F.col(vector)))
     (
         unit.observe(
@@ -26,12 +29,12 @@ def write_embedding_table(df: DataFrame, path: str, vector: str = "embedding") -
             F.max(F.size(vector)).alias("dimension"),
         )
         .where(F.col(vector).isNotNull())
-        .write.mode("overwrite")
-        .parquet(path)
+        .write.parquet(fresh)
     )
     counts = seen.get
     if counts["stored"] and counts["shortest"] != counts["dimension"]:
         raise ValueError(f"vectors of {counts['shortest']} to {counts['dimension']} elements in one table")
+    df.sparkSession.read.parquet(fresh).write.mode("overwrite").parquet(path)
     return {name: counts[name] for name in ("stored", "rejected", "dimension")}
 
 

@@ -124,6 +124,15 @@ def test_requests_become_scored_answers(spark, corpus):
     assert plan.explanations(prepared).count() == 3
 
 
+def test_unanswered_requests_stay_with_their_status(spark):
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "request_id string")
+    replies = [("a", '{"choices":[{"message":{"content":"yes"}}]}'), ("b", "failed")]
+    found = plan.answers(asked, spark.createDataFrame(replies, "request_id string, response string"))
+    assert sorted((r["request_id"], r["answer"], r["status"]) for r in found.collect()) == [
+        ("a", "yes", "answered"), ("b", None, "empty"), ("c", None, "missing"),
+    ]
+
+
 def test_missing_responses_keep_the_source_chunk(spark):
     texts = spark.createDataFrame([("a", "x" * 800 + "\n" + "y" * 800)], "request_id string, t string")
     from lexloom.operators.requests import translation_requests

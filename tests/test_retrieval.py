@@ -9,7 +9,7 @@ from lexloom.operators import retrieval, sparse
 from lexloom.operators.blocks import Limits, best_cells
 
 SCHEMA = "id long, embedding array<float>, label int"
-SMALL_BLOCKS = Limits(block_bytes=2_000)
+SMALL_BLOCKS = Limits(broadcast_bytes=2_000)
 
 
 def unit_rows(n, dim=8, seed=0, start=0):
@@ -33,7 +33,7 @@ def found(matches):
     return sorted((r["query_id"], r["rank"], r["key"]) for r in matches.rows.collect())
 
 
-@pytest.mark.parametrize("strategy", ["queries", "corpus", "grid", "auto"])
+@pytest.mark.parametrize("strategy", ["queries", "corpus", "waves", "auto"])
 def test_topk_equals_brute_force(spark, strategy):
     queries, corpus = unit_rows(70, seed=1), unit_rows(230, seed=2, start=1000)
     # A third of the corpus is one vector, so ties decide.
@@ -45,13 +45,13 @@ def test_topk_equals_brute_force(spark, strategy):
         query_id="id",
         key="id",
         strategy=strategy,
-        limits=SMALL_BLOCKS,
+        limits=SMALL_BLOCKS if strategy == "waves" else Limits(),
     )
     assert found(matches) == brute_force(queries, corpus, 4)
     assert matches.at_most == 280
 
 
-@pytest.mark.parametrize("strategy", ["queries", "corpus", "grid"])
+@pytest.mark.parametrize("strategy", ["queries", "corpus", "waves"])
 def test_more_than_one_tile_and_string_keys(spark, strategy):
     queries, corpus = unit_rows(3, dim=2, seed=3), unit_rows(5000, dim=2, seed=4)
     named = [(f"k{key:05d}", vector, label) for key, vector, label in corpus]
@@ -62,7 +62,7 @@ def test_more_than_one_tile_and_string_keys(spark, strategy):
         query_id="id",
         key="id",
         strategy=strategy,
-        limits=Limits(block_bytes=20_000),
+        limits=Limits(broadcast_bytes=20_000) if strategy == "waves" else Limits(),
     )
     assert found(matches) == brute_force(queries, named, 3)
 
@@ -70,7 +70,7 @@ def test_more_than_one_tile_and_string_keys(spark, strategy):
 def test_short_corpus_is_returned_whole_and_null_vectors_never_match(spark):
     queries = unit_rows(2)
     corpus = unit_rows(3, seed=5) + [(99, None, 0)]
-    for strategy in ("queries", "corpus", "grid"):
+    for strategy in ("queries", "corpus", "waves"):
         matches = retrieval.topk(
             spark.createDataFrame(queries, SCHEMA),
             spark.createDataFrame(corpus, SCHEMA),
@@ -82,12 +82,12 @@ def test_short_corpus_is_returned_whole_and_null_vectors_never_match(spark):
         assert found(matches) == brute_force(queries, corpus[:3], 10)
 
 
-def test_sides_too_large_to_broadcast_go_to_the_grid(spark):
+def test_sides_too_large_to_broadcast_go_in_waves(spark):
     queries, corpus = unit_rows(20), unit_rows(40, seed=6)
-    tight = Limits(broadcast_bytes=100, block_bytes=300)
+    tight = Limits(broadcast_bytes=100)
     q, c = spark.createDataFrame(queries, SCHEMA), spark.createDataFrame(corpus, SCHEMA)
     matches = retrieval.topk(q, c, 2, query_id="id", key="id", limits=tight)
-    assert "FlatMapCoGroupsInArrow" in matches.rows._jdf.queryExecution().toString()
+    assert "Union" in matches.rows._jdf.queryExecution().toString()
     assert found(matches) == brute_force(queries, corpus, 2)
     with pytest.raises(ValueError, match="too large"):
         retrieval.topk(q, c, 2, query_id="id", key="id", strategy="corpus", limits=tight)
@@ -106,7 +106,40 @@ def test_mixed_dimensions_raise(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0, 0.0], 0)]
     df = spark.createDataFrame(rows, SCHEMA)
     with pytest.raises(Exception, match="different lengths"):
-        retrieval.topk(df, df, 1, query_id="id", key="id", strategy="grid").rows.collect()
+        retrieval.topk(df, df, 1, query_id="id", key="id", strategy="waves").rows.collect()
+
+
+def test_rows_without_a_key_never_match_and_keys_stay_exact(spark):
+    large = 2**53 + 1
+    queries = [(large, [1.0, 0.0], 0), (None, [1.0, 0.0], 0)]
+    for strategy in ("queries", "corpus", "waves"):
+        q, c = spark.createDataFrame(queries, SCHEMA), spark.createDataFrame([*queries, (large + 2, [0.0, 1.0], 0)], SCHEMA)
+        matches = retrieval.topk(q, c, 2, query_id="id", key="id", strategy=strategy)
+        assert found(matches) == [(large, 1, large), (large, 2, large + 2)]
+
+
+def test_vectors_that_are_not_finite_raise(spark):
+    df = spark.createDataFrame([(1, [1.0, float("nan")], 0)], SCHEMA)
+    with pytest.raises(Exception, match="NaN"):
+        retrieval.topk(df, df, 1, query_id="id", key="id").rows.collect()
+
+
+def test_a_match_without_a_record_is_kept(spark):
+    df = spark.createDataFrame(unit_rows(6), SCHEMA)
+    matches = retrieval.topk(df, df, 2, query_id="id", key="id")
+    records = df.where("id < 3").selectExpr("id", "'r' AS payload")
+    for at_most in (matches.at_most, retrieval.BROADCAST_MATCHES + 1):
+        rows = retrieval.attach_records(retrieval.Matches(matches.rows, at_most), records, "id").collect()
+        assert len(rows) == 12 and all((r["payload"] is None) == (r["key"] >= 3) for r in rows)
+
+
+def test_number_of_matches_per_request(spark):
+    rows = unit_rows(20)
+    df = spark.createDataFrame(rows, SCHEMA)
+    asking = df.withColumn("k", (df["id"] % 4).cast("int"))
+    matches = retrieval.topk_per_request(asking, df, "k", query_id="id", key="id")
+    want = [row for row in brute_force(rows, rows, 3) if row[1] <= row[0] % 4]
+    assert found(matches) == want
 
 
 def test_others_leave_out_the_query_itself(spark):
@@ -197,7 +230,7 @@ def sparse_texts(n, seed, hot=False):
     return texts + [(n, ""), (n + 1, None), (n + 2, "zzz 123")]
 
 
-@pytest.mark.parametrize("strategy", ["queries", "corpus", "grid", "auto"])
+@pytest.mark.parametrize("strategy", ["queries", "corpus", "waves", "auto"])
 def test_sparse_topk_equals_brute_force(spark, strategy):
     queries, documents = sparse_texts(15, 7), sparse_texts(60, 8, hot=True)
     schema = "id long, text string"
@@ -208,7 +241,7 @@ def test_sparse_topk_equals_brute_force(spark, strategy):
         query_id="id",
         key="id",
         strategy=strategy,
-        limits=Limits(block_bytes=3_000),
+        limits=Limits(broadcast_bytes=100_000) if strategy == "waves" else Limits(),
     )
     assert found(matches) == expected_sparse(queries, documents, 4)
 

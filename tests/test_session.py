@@ -22,17 +22,13 @@ def test_only_a_local_master_may_use_a_temporary_folder():
         session.shared_dir(fake("spark://host:7077"), "csv")
 
 
-def test_only_inputs_below_one_split_per_core_are_dealt_out(spark, tmp_path, monkeypatch):
+def test_only_inputs_of_fewer_partitions_than_cores_are_dealt_out(spark, tmp_path):
     path = str(tmp_path / "t")
-    spark.range(100_000).selectExpr("id", "repeat(uuid(), 3) AS text").coalesce(1).write.parquet(path)
+    spark.range(1000).selectExpr("id", "repeat(uuid(), 3) AS text").coalesce(1).write.parquet(path)
     rows = spark.read.parquet(path)
 
     def exchanges(df):
         return df._jdf.queryExecution().executedPlan().toString().count("RoundRobinPartitioning(4)")
 
     assert exchanges(session.spread_small_input(rows)) == 1
-    monkeypatch.setattr(session, "FULL_SPLIT", 1 << 20)
-    assert exchanges(session.spread_small_input(rows)) == 0
-    monkeypatch.setattr(session, "FULL_SPLIT", 128 << 20)
-    monkeypatch.setattr(session, "TINY_INPUT", 1 << 30)
-    assert exchanges(session.spread_small_input(rows)) == 0
+    assert exchanges(session.spread_small_input(spark.range(0, 1000, 1, 40))) == 0

@@ -45,7 +45,7 @@ def test_plain_csv_with_crlf(spark, tmp_path):
 
 
 def test_csv_round_trip_is_lossless(spark, tmp_path):
-    rows = [(' "quoted" ', "a\nb\\"), ("comma, ", None), ("é😀", "tab\t")]
+    rows = [(' "quoted" ', "a\nb\\"), ("comma, ", None), ("é😀", "tab\t"), ("", "empty"), (None, "")]
     df = spark.createDataFrame(rows, "a string, b string")
     csv.write_csv(df, str(tmp_path / "out"))
     back = csv.read_quoted_csv(spark, str(tmp_path / "out"))
@@ -104,4 +104,23 @@ def test_embedding_table_is_normalised_and_counts_rejects(spark, tmp_path):
     assert {r["key"]: r["embedding"] for r in stored.collect()}["d"] == [0.0, 1.0]
     mixed = df.unionByName(spark.createDataFrame([("e", [1.0])], df.schema))
     with pytest.raises(ValueError, match="1 to 2 elements"):
-        write_embedding_table(mixed, str(tmp_path / "w"))
+        write_embedding_table(mixed, str(tmp_path / "v"))
+    assert read_embedding_table(spark, str(tmp_path / "v")).count() == 2
+
+
+def test_vectors_that_are_not_finite_are_rejected(spark, tmp_path):
+    rows = [("a", [1.0, float("nan")]), ("b", [float("inf"), 1.0]), ("c", [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "key string, embedding array<double>")
+    assert write_embedding_table(df, str(tmp_path / "v")) == {"stored": 1, "rejected": 2, "dimension": 2}
+
+
+def test_compaction_keeps_partitions_properties_and_statistics(spark, schema):
+    table = f"{schema}.parted"
+    rows = spark.range(0, 1000, 1, 8).selectExpr("id", "id % 3 AS g")
+    tables.write_table(rows, table, partition_by=["g"])
+    tables.set_write_properties(spark, table, {"owner.team": "x"})
+    tables.compute_statistics(spark, table)
+    tables.compact_table(spark, table)
+    assert tables.partition_columns(spark, table) == ["g"]
+    assert tables.write_properties(spark, table)["owner.team"] == "x"
+    assert tables.has_statistics(spark, table) and spark.table(table).count() == 1000
