@@ -56,19 +56,33 @@ def embedding_text(name: Column, body: Column) -> Column:
     return F.concat(F.coalesce(name, F.lit("")), F.lit(". "), F.coalesce(body, F.lit("")))
 
 
-def _text_list() -> Column:
-    return F.array().cast("array<string>")
+#: Finished chunks are gathered in blocks of this many, as appending to a list copies it.
+BLOCK = 128
 
 
-def _open_chunk(done: Column, current: Column) -> Column:
-    return F.struct(done.alias("done"), current.alias("current"))
+def _state(blocks: Column, done: Column, current: Column) -> Column:
+    return F.struct(blocks.alias("blocks"), done.alias("done"), current.alias("current"))
 
 
-def _close(state: Column) -> Column:
-    """The finished chunks plus the one still open, if it holds anything."""
-    return F.when(state["current"] == "", state["done"]).otherwise(
-        F.concat(state["done"], F.array(state["current"]))
-    )
+def _no_chunks() -> Column:
+    empty = F.array().cast("array<string>")
+    return _state(F.array().cast("array<array<string>>"), empty, F.lit(""))
+
+
+def _finish(state: Column, more: Column, current: Column) -> Column:
+    """Add finished chunks ``more``, full blocks first set aside, and open ``current``."""
+    return F.when(
+        F.size(state["done"]) >= BLOCK, _state(F.concat(state["blocks"], F.array(state["done"])), more, current)
+    ).otherwise(_state(state["blocks"], F.concat(state["done"], more), current))
+
+
+def _opened(state: Column) -> Column:
+    """The open chunk as a list, empty if it holds nothing."""
+    return F.when(state["current"] == "", F.array().cast("array<string>")).otherwise(F.array(state["current"]))
+
+
+def _all_chunks(state: Column) -> Column:
+    return F.flatten(F.concat(state["blocks"], F.array(state["done"], _opened(state))))
 
 
 def _add_piece(state: Column, piece: Column, joiner: str, limit: int) -> Column:
@@ -76,8 +90,8 @@ def _add_piece(state: Column, piece: Column, joiner: str, limit: int) -> Column:
     extended = F.when(state["current"] == "", piece).otherwise(
         F.concat(state["current"], F.lit(joiner), piece)
     )
-    return F.when(F.length(extended) <= limit, _open_chunk(state["done"], extended)).otherwise(
-        _open_chunk(_close(state), piece)
+    return F.when(F.length(extended) <= limit, _state(state["blocks"], state["done"], extended)).otherwise(
+        _finish(state, _opened(state), piece)
     )
 
 
@@ -87,10 +101,7 @@ def pack(pieces: Column, joiner: str, limit: int) -> Column:
     A single piece beyond the limit stays whole.
     """
     return F.aggregate(
-        pieces,
-        _open_chunk(_text_list(), F.lit("")),
-        lambda state, piece: _add_piece(state, piece, joiner, limit),
-        _close,
+        pieces, _no_chunks(), lambda state, piece: _add_piece(state, piece, joiner, limit), _all_chunks
     )
 
 
@@ -105,13 +116,10 @@ def paragraph_chunks(text: Column, limit: int = 900) -> Column:
     def add_line(state: Column, line: Column) -> Column:
         packed = pack(F.split(line, r"\. "), ". ", limit)
         return F.when(
-            F.length(line) > limit,
-            _open_chunk(F.concat(_close(state), packed), F.lit("")),
+            F.length(line) > limit, _finish(state, F.concat(_opened(state), packed), F.lit(""))
         ).otherwise(_add_piece(state, line, "\n", limit))
 
-    chunks = F.aggregate(
-        F.split(text, "\n"), _open_chunk(_text_list(), F.lit("")), add_line, _close
-    )
+    chunks = F.aggregate(F.split(text, "\n"), _no_chunks(), add_line, _all_chunks)
     return F.filter(F.transform(chunks, strip), lambda chunk: chunk != "")
 
 

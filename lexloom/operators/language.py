@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,12 +64,10 @@ def train_profile(
         .write.parquet(path)
     )
     counts = spark.read.parquet(path)
-    kept = None
-    for code in languages:
-        frequent = (
-            counts.where(F.col(code) > 0).orderBy(F.col(code).desc(), "gram").limit(top_n).select("gram")
-        )
-        kept = frequent if kept is None else kept.unionByName(frequent)
+    each = F.array(*[F.struct(F.lit(code).alias("language"), F.col(code).alias("n")) for code in languages])
+    long_ = counts.select("gram", F.explode(each).alias("c")).select("gram", "c.language", "c.n").where("n > 0")
+    order = Window.partitionBy("language").orderBy(F.col("n").desc(), "gram")
+    kept = long_.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_n).select("gram")
     totals = counts.agg(*[F.sum(code).alias(code) for code in languages]).first()
     rows = counts.join(F.broadcast(kept.distinct()), "gram", "left_semi").select(
         "gram",
@@ -89,10 +87,39 @@ def _gram_codes(text: str) -> np.ndarray:
     return points[:-2] | points[1:-1] << np.uint64(21) | points[2:] << np.uint64(42)
 
 
+def _parts(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about ``most`` characters together."""
+    begin, size = 0, 0
+    for place, body in enumerate(texts):
+        if size and size + len(body) > most:
+            yield texts[begin:place]
+            begin, size = place, 0
+        size += len(body)
+    yield texts[begin:]
+
+
+def _part_sums(texts: list[str], codes: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Known trigrams of each text, and the sum of their logs per language, in one pass over all texts."""
+    n, sizes = len(texts), np.array([len(body) for body in texts], np.int64)
+    joined = "\0".join(texts)
+    totals = np.zeros((n, logs.shape[1]), np.int64)
+    if len(joined) < 3 or not len(codes):
+        return np.zeros(n, np.int64), totals
+    grams = _gram_codes(joined)
+    row = np.repeat(np.arange(n), sizes + 1)[: len(grams)]
+    ends = np.cumsum(sizes + 1) - 1
+    place = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
+    hit = np.flatnonzero((codes[place] == grams) & (np.arange(len(grams)) + 2 < ends[row]))
+    row, place = row[hit], place[hit]
+    for column in range(logs.shape[1]):
+        totals[:, column] = np.bincount(row, weights=logs[place, column], minlength=n)
+    return np.bincount(row, minlength=n), totals
+
+
 def _profile_sums(profile: Profile) -> Callable[[Column], Column]:
     """A function giving the sum of log-probabilities per language, NULL without a known trigram.
 
-    A text is looked up as a whole in numpy, against the bounded profile: as rows,
+    Texts are looked up in numpy, many at once, against the bounded profile: as rows,
     every character of the corpus would pass through a join and an aggregation.
     """
     known = profile.rows.orderBy("gram").toPandas()
@@ -103,15 +130,11 @@ def _profile_sums(profile: Profile) -> Callable[[Column], Column]:
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def sums(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> np.ndarray | None:
-            if not text or not len(codes):
-                return None
-            grams = _gram_codes(text)
-            place = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
-            hits = place[codes[place] == grams]
-            return np.bincount(hits, minlength=len(codes)) @ logs if len(hits) else None
-
-        return texts.map(one, na_action=None)
+        found: list[np.ndarray | None] = []
+        for part in _parts(texts.fillna("").to_list()):
+            n_hits, totals = _part_sums(part, codes, logs)
+            found += [total if n else None for n, total in zip(n_hits, totals)]
+        return pd.Series(found, dtype=object)
 
     return sums
 
