@@ -177,7 +177,7 @@ def trigrams(table: str, columns: str, condition: str = "") -> str:
         FROM (SELECT *, regexp_extract_all(lower(text), '(?s).') AS c FROM {table}) {condition}"""
 
 
-def detection(table: str, keys: str) -> str:
+def detection(table: str, keys: str, learned: str = "documents") -> str:
     counts = ", ".join(f"count(*) FILTER (lang = '{code}') AS {code}" for code in LANGUAGES)
     totals = ", ".join(f"sum({code}) AS total_{code}" for code in LANGUAGES)
     kept = " UNION ".join(
@@ -193,7 +193,7 @@ def detection(table: str, keys: str) -> str:
     most = "greatest(" + ", ".join(votes.values()) + ")"
     by_script = " ".join(f"WHEN {vote} = {most} THEN '{code}'" for code, vote in votes.items())
     return f"""
-        counts AS (SELECT gram, {counts} FROM ({trigrams("documents", "lang")}) GROUP BY gram),
+        counts AS (SELECT gram, {counts} FROM ({trigrams(learned, "lang")}) GROUP BY gram),
         totals AS (SELECT {totals} FROM counts),
         profile AS (SELECT gram, {logs} FROM counts, totals WHERE gram IN ({kept})),
         sums AS (SELECT {keys}, {sums} FROM ({trigrams(table, keys)}) JOIN profile USING (gram) GROUP BY {keys}),
@@ -203,8 +203,16 @@ def detection(table: str, keys: str) -> str:
             FROM {table} LEFT JOIN sums USING ({keys}))"""
 
 
+def half(number: int) -> str:
+    return f"(SELECT * FROM documents WHERE doc_id % 2 = {number})"
+
+
+def detected_by_other_half(number: int) -> str:
+    return f"(WITH {detection(half(number), 'doc_id', half(1 - number))} SELECT doc_id, detected FROM detected)"
+
+
 SCORES = f"""
-    WITH {detection("documents", "doc_id")},
+    WITH detected AS ({detected_by_other_half(0)} UNION ALL {detected_by_other_half(1)}),
     judged AS (
         SELECT doc_id, detected, CASE WHEN lang = 'en' THEN '' ELSE lang END AS expected
         FROM detected JOIN documents USING (doc_id)),
@@ -230,6 +238,7 @@ def part_statistics() -> str:
     for name, (kind, width) in STATISTIC_COLUMNS.items():
         figures = {"num_nulls": f"count(*) FILTER ({name} IS NULL)"}
         figures["max_col_len"] = f"max({width})" if width else f"max(strlen({name}))"
+        figures["avg_col_len"] = f"max({width})" if width else f"ceil(avg(strlen({name})))::BIGINT"
         if width:
             figures |= {"min": f"min({name})", "max": f"max({name})"}
         parts += [
