@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexloom.functions.hints import OFFENSES
 from lexloom.functions.languages import LOCALES, SCRIPT_BLOCKS, script_pattern
 from lexloom.functions.text import UNICODE_SPACES
+from lexloom.operators.requests import TRANSCRIPT_MODEL
 from lexloom.operators.context import EXPLAIN_ROLE, EXPLAIN_TOKENS, GUIDANCE_ROLE, GUIDANCE_TOKENS
 
 SPACES = "||".join(f"chr({ord(char)})" for char in UNICODE_SPACES)
@@ -324,6 +325,18 @@ def oracles() -> dict[str, str]:
         "sparse_retrieval_k5_waves": sparse_retrieval(5),
         "topk_per_request": f"""
             WITH {matches(10)} SELECT query_id, rank, key, similarity FROM matches WHERE rank <= query_id % 8 + 3""",
+        "rejected_requests": """
+            SELECT doc_id, CASE lang WHEN 'fr' THEN 'Urdu' WHEN 'de' THEN 'hindi' END AS language,
+                   NULL::VARCHAR AS locale, false AS supported, false AS multilingual
+            FROM documents WHERE lang IS NULL OR lang <> 'en'""",
+        "transcript_requests": f"""
+            WITH kinds AS (
+                SELECT conv_id || '-' || turn AS request_id,
+                       CASE role WHEN 'user' THEN 'wav' ELSE 'webm' END AS kind
+                FROM conversations WHERE role = 'user' OR (role = 'assistant' AND length(text) > 0))
+            SELECT request_id, 'audio.' || kind AS file_name, 'audio/' || kind AS media_type,
+                   {literal(LOCALES["Hindi"])} AS language_code, {literal(TRANSCRIPT_MODEL)} AS model
+            FROM kinds""",
         "guidance_answers": """
             SELECT q.conv_id || '-' || q.turn AS request_id, q.text AS resolved, a.text AS answer,
                    CASE WHEN a.conv_id IS NULL THEN 'missing' WHEN a.text IS NULL THEN 'empty' ELSE 'answered' END AS status

@@ -456,6 +456,25 @@ def translate_plan(spark, folder):
     )
 
 
+@query
+def rejected_requests(spark, folder):
+    named = table(spark, folder, "documents").select(
+        "doc_id", by_lang({"en": "English", "fr": "Urdu", "de": "hindi"}).alias("language")
+    )
+    return requests.unsupported(requests.plan_languages(named, "language"))
+
+
+@query
+def transcript_requests(spark, folder):
+    """Users' turns stand for wave files, the assistant's for other sound, the system's have none."""
+    sound = F.when(F.col("role") == "user", F.concat(F.lit("RIFF"), "text")).when(F.col("role") == "assistant", F.col("text"))
+    turns = table(spark, folder, "conversations").withColumns(
+        {"request_id": F.concat_ws("-", "conv_id", "turn"), "sound": sound.cast("binary")}
+    )
+    sent = requests.transcript_requests(turns, "request_id", "sound", lang.locale_code(F.lit("Hindi")))
+    return sent.select("request_id", "payload.*")
+
+
 @query
 def translate_requests(spark, folder):
     documents = table(spark, folder, "documents")

@@ -84,8 +84,8 @@ def is_multilingual(language: Column, has_key: Column | None = None) -> Column:
 
 
 def needs_translation(text: Column, source: Column, target: Column, has_key: Column | None = None) -> Column:
-    """False where the text passes through unchanged: same language, blank, or no key."""
-    wanted = ~source.eqNullSafe(target) & ~is_blank(text)
+    """False where the text passes through unchanged: same or unsupported language, blank, or no key."""
+    wanted = F.coalesce(source != target, F.lit(False)) & ~is_blank(text)
     return wanted if has_key is None else wanted & has_key
 
 

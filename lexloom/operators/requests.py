@@ -28,6 +28,9 @@ INTO_ENGLISH = {
 }
 FROM_ENGLISH = {"model": "sarvam-translate:v1", "enable_preprocessing": False}
 
+# Fixed value: the model of the transcription service.
+TRANSCRIPT_MODEL = "saarika:v2.5"
+
 # Settings the speech service expects.
 SPEECH = {
     "speaker": "anushka",
@@ -55,11 +58,28 @@ def resolve_requests(
 
 
 def plan_languages(requests: DataFrame, language: str, has_key: str | None = None) -> DataFrame:
-    """Add ``locale`` and ``multilingual`` to requests that name their language."""
+    """Add ``locale``, ``supported`` and ``multilingual`` to requests that name their language.
+
+    A language that is missing or not in the table is not supported: it has no locale, and nothing
+    is translated for it. Such requests stay here; :func:`unsupported` finds them.
+    """
     key = F.col(has_key) if has_key else None
-    return requests.withColumns(
-        {"locale": locale_code(F.col(language)), "multilingual": is_multilingual(F.col(language), key)}
+    locale = locale_code(F.col(language))
+    multilingual = locale.isNotNull() & F.coalesce(is_multilingual(F.col(language), key), F.lit(False))
+    return requests.withColumns({"locale": locale, "supported": locale.isNotNull(), "multilingual": multilingual})
+
+
+def transcript_requests(requests: DataFrame, key: str, sound: str, locale: Column) -> DataFrame:
+    """``(key, payload)`` for every request that carries sound; the bytes stay in the request table."""
+    is_wave = F.substring(F.col(sound), 1, 4) == F.lit(b"RIFF")
+    kind = F.when(is_wave, F.lit("wav")).otherwise(F.lit("webm"))
+    payload = F.struct(
+        F.concat(F.lit("audio."), kind).alias("file_name"),
+        F.concat(F.lit("audio/"), kind).alias("media_type"),
+        locale.alias("language_code"),
+        F.lit(TRANSCRIPT_MODEL).alias("model"),
     )
+    return requests.where(F.octet_length(sound) > 0).select(key, payload.alias("payload"))
 
 
 def _settings(values: dict, names: list[str]) -> list[Column]:
@@ -138,6 +158,11 @@ def accepted(requests: DataFrame) -> DataFrame:
     return requests.where("accepted")
 
 
+def unsupported(planned: DataFrame) -> DataFrame:
+    """Requests of :func:`plan_languages` in a language that no service handles."""
+    return planned.where(~F.col("supported"))
+
+
 def rejected(requests: DataFrame) -> DataFrame:
     return requests.where(~F.col("accepted"))
 
