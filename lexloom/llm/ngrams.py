@@ -94,10 +94,10 @@ def _shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
 
 _ASK = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("level", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ASK_DDL = "shard int, part int, level int, keys binary, counts binary"
-_ANSWER = pa.schema(
-    [("part", pa.int32()), ("shard", pa.int32()), ("level", pa.int32()), ("totals", pa.binary()), ("kinds", pa.int64()), ("tokens", pa.int64())]
-)
-_ANSWER_DDL = "part int, shard int, level int, totals binary, kinds long, tokens long"
+_ANSWER = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("level", pa.int32()), ("totals", pa.binary())])
+_ANSWER_DDL = "part int, shard int, level int, totals binary"
+_SIZE = pa.schema([("kinds", pa.int64()), ("tokens", pa.int64())])
+_SIZE_DDL = "kinds long, tokens long"
 
 
 def _ask(shards: int):
@@ -120,35 +120,41 @@ def _ask(shards: int):
     return run
 
 
-def _answer(parts: int):
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {1: [], 2: []}
-        for batch in batches:
-            for part, level, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "level", "keys", "counts")), strict=True):
+def _asked(batches: Iterator[pa.RecordBatch], levels: tuple[int, ...]) -> dict[int, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Part, keys and counts of each row of a shard, by level."""
+    asked: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {level: [] for level in levels}
+    for batch in batches:
+        for part, level, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "level", "keys", "counts")), strict=True):
+            if level in asked:
                 asked[level].append((part, np.cumsum(_from_planes(keys)), _from_planes(counts)))
-        shard = key[0].as_py()
-        kinds = seen = 0
-        for level, rows in asked.items():
-            if not rows:
-                continue
-            number = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)[1]
-            totals = np.bincount(number, weights=np.concatenate([r[2] for r in rows]).astype(np.float64))
-            if level == 1:
-                kinds, seen = int((totals > 0).sum()), int(totals.sum())
-            at = 0
-            for part, keys, _ in rows:
-                mine = totals[number[at : at + len(keys)]].astype(np.uint64)
-                at += len(keys)
-                yield pa.RecordBatch.from_pydict(
-                    {"part": [part], "shard": [shard], "level": [level], "totals": [_planes(mine)], "kinds": [0], "tokens": [0]}, schema=_ANSWER
-                )
-        # every part learns how many words and tokens the shard has
-        yield pa.RecordBatch.from_pydict(
-            {"part": range(parts), "shard": [shard] * parts, "level": [0] * parts, "totals": [b"\1"] * parts, "kinds": [kinds] * parts, "tokens": [seen] * parts},
-            schema=_ANSWER,
-        )
+    return asked
 
-    return run
+
+def _totals(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each key among the shard's, and the count of each number over all parts."""
+    number = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)[1]
+    return number, np.bincount(number, weights=np.concatenate([r[2] for r in rows]).astype(np.float64))
+
+
+def _answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for level, rows in _asked(batches, (1, 2)).items():
+        if not rows:
+            continue
+        number, totals = _totals(rows)
+        at = 0
+        for part, keys, _ in rows:
+            mine = totals[number[at : at + len(keys)]].astype(np.uint64)
+            at += len(keys)
+            yield pa.RecordBatch.from_pydict(
+                {"part": [part], "shard": [key[0].as_py()], "level": [level], "totals": [_planes(mine)]}, schema=_ANSWER
+            )
+
+
+def _size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct trained words and trained tokens of a shard."""
+    rows = _asked(batches, (1,))[1]
+    totals = _totals(rows)[1] if rows else np.zeros(0)
+    yield pa.RecordBatch.from_pydict({"kinds": [int((totals > 0).sum())], "tokens": [int(totals.sum())]}, schema=_SIZE)
 
 
 class Quantised:
@@ -209,7 +215,7 @@ def _score(s: Settings, kind: str):
         found = tokens(texts["text"].combine_chunks())
         rows = sorted(zip(*(answers[c].to_pylist() for c in ("level", "shard", "totals")), strict=True), key=lambda r: r[:2])
         counts = {k: np.concatenate([_from_planes(t) for level, _, t in rows if level == k]).astype(np.float64) for k in (1, 2)}
-        kinds, seen = (int(np.sum(answers[c].to_numpy())) for c in ("kinds", "tokens"))
+        kinds, seen = (answers[c][0].as_py() for c in ("kinds", "tokens"))
 
         keys, word = np.unique(found.word, return_inverse=True)
         start = len(keys)  # the start of a text is one more context, as frequent as ends are
@@ -271,6 +277,11 @@ def score_texts(documents: DataFrame, folds: int = 10, held_out: int = 0, s: Set
         F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts)).cast("int").alias("part"),
     )
     asked = dealt.groupBy("part").applyInArrow(_ask(parts), _ASK_DDL)
-    answers = asked.groupBy("shard").applyInArrow(_answer(parts), _ANSWER_DDL)
+    by_shard = asked.groupBy("shard")
+    answers = by_shard.applyInArrow(_answer, _ANSWER_DDL)
+    # the same shuffle gives the size of the training text, which goes along with every answer
+    size = by_shard.applyInArrow(_size, _SIZE_DDL)
+    whole = size.agg(F.struct(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).alias("size")).scalar()
+    answers = answers.withColumn("size", whole).select("part", "shard", "level", "totals", "size.kinds", "size.tokens")
     run, ddl = _score(s, pa.int64())
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, ddl)
