@@ -252,7 +252,7 @@ def _mapped(frame: DataFrame, source: str, column: str, kind: T.DataType, make)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             whole = whole.rename_columns([str(i) for i in range(whole.num_columns)])
-            parts = slices(whole, str(place)) if kind != T.StringType() else (whole.slice(i, 256) for i in range(0, whole.num_rows, 256))
+            parts = slices(whole, str(place), 1 << 20) if kind != T.StringType() else (whole.slice(i, 256) for i in range(0, whole.num_rows, 256))
             for batch in parts:
                 yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(place))], [*kept, column])
 
