@@ -66,38 +66,33 @@ class EliasFano:
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value, the first of equal ones, or -1.
 
-        Zeros of the bit vector give the run of its upper part; the lower bits are compared
-        along the run.
+        Zeros of the bit vector give the run of its upper part; the lower bits are searched
+        within the run by halving.
         """
         high = values >> self.low_bits
         low = (values & ((1 << self.low_bits) - 1)).astype(np.uint64)
         begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - (high - 1), 0)
         end = self._select(high, False) - high
-        out = np.full(len(values), -1)
-        open_ = np.flatnonzero(begin < end)
+        first, last, end_of = begin, end.copy(), end
+        open_ = np.flatnonzero(first < last)
         while len(open_):
-            at = begin[open_]
-            seen = _unpack(self.low, at, self.low_bits)
-            hit = seen == low[open_]
-            out[open_[hit]] = at[hit]
-            begin[open_] += 1
-            more = (seen < low[open_]) & (begin[open_] < end[open_])
-            open_ = open_[more]
+            middle = (first[open_] + last[open_]) // 2
+            below = _unpack(self.low, middle, self.low_bits) < low[open_]
+            first[open_[below]] = middle[below] + 1
+            last[open_[~below]] = middle[~below]
+            open_ = open_[first[open_] < last[open_]]
+        found = np.flatnonzero(first < end_of)
+        out = np.full(len(values), -1)
+        hit = found[_unpack(self.low, first[found], self.low_bits) == low[found]]
+        out[hit] = first[hit]
         return out
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Values of ``width`` bits one after the other, with 8 spare bytes at the end."""
-    out = np.zeros(-(-len(values) * width // 8) + 16, np.uint8)
-    if width:
-        place = np.arange(len(values), dtype=np.int64) * width
-        byte, shift = place >> 3, (place & 7).astype(np.uint64)
-        shifted = values << shift
-        spill = np.where(shift > 0, values >> (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-        for step in range(8):
-            np.bitwise_or.at(out, byte + step, ((shifted >> np.uint64(8 * step)) & np.uint64(255)).astype(np.uint8))
-        np.bitwise_or.at(out, byte + 8, spill.astype(np.uint8))
-    return out
+    """Values of ``width`` bits one after the other, with 16 spare bytes at the end."""
+    raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : -(-width // 8)]
+    bits = np.unpackbits(raw, axis=1, bitorder="little")[:, :width]
+    return np.concatenate((np.packbits(bits.ravel(), bitorder="little"), np.zeros(16, np.uint8)))
 
 
 def _unpack(packed: np.ndarray, index: np.ndarray, width: int) -> np.ndarray:
@@ -106,7 +101,7 @@ def _unpack(packed: np.ndarray, index: np.ndarray, width: int) -> np.ndarray:
     place = index * width
     byte, shift = place >> 3, (place & 7).astype(np.uint64)
     value = np.zeros(len(index), np.uint64)
-    for step in range(8):
+    for step in range(min(8, width // 8 + 2)):
         value |= packed[byte + step].astype(np.uint64) << np.uint64(8 * step)
     value >>= shift
     if width > 56:

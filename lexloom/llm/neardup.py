@@ -37,11 +37,6 @@ class Rule:
     k: int = 64
     short_list: int = 48
 
-    def enough(self, size: float) -> float:
-        """Common values that a linked pair has among ``size`` merged ones, but for one case in a billion."""
-        s = self.percent / 100
-        return s * size - 6 * (s * (1 - s) * size) ** 0.5
-
     def listed(self, n: Column) -> Column:
         """How many of the rarest values of the sketch of a set of ``n`` are listed.
 
