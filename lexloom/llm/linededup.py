@@ -77,21 +77,37 @@ def line_dedup(
     of its first place, which the adaptive skew join can split. What repeats has no bound, so none of it is
     broadcast.
     """
-    identity = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    source = documents.select(
-        F.col(key).alias("__key"), identity.alias("__hash"), F.split(F.col(text), "\n", -1).alias("__lines")
-    )
+    source = _source(documents, key, text)
     hashes, rolling = rolling_hashes(F.col("__lines"), window)
     cut = source.where(F.size("__lines") > 1).withColumn("__hashes", hashes).withColumn("__rolling", rolling)
     chunks = F.array_distinct(F.flatten(F.array(*[_chunks(seed, one_in) for seed in range(seeds)])))
-    rows = cut.select("__key", "__hash", F.explode(chunks).alias("c")).select(
+    return _without_repeats(documents, key, text, source, cut.select("__key", "__hash", F.explode(chunks).alias("c")), apart=False)
+
+
+def _identity(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _source(documents: DataFrame, key: str, text: str) -> DataFrame:
+    return documents.select(
+        F.col(key).alias("__key"), _identity(text).alias("__hash"), F.split(F.col(text), "\n", -1).alias("__lines")
+    )
+
+
+def _without_repeats(documents: DataFrame, key: str, text: str, source: DataFrame, spans: DataFrame, apart: bool) -> DataFrame:
+    """The documents without those spans ``c`` (first line, lines, hash) whose bytes stood in an earlier place.
+
+    ``apart``: a span that overlaps the first one of its hash stays, and the lines inside a span have spans of
+    their own, so that its first and last line are all that it removes.
+    """
+    rows = spans.select(
         "__key", "__hash", F.col("c.first").alias("first"), F.col("c.lines").alias("lines"), F.col("c.hash").alias("hash")
     )
-    rows = stored(rows.distinct(), "chunks")
+    rows = stored(rows if apart else rows.distinct(), "chunks")
     repeated = rows.groupBy("hash", "lines").agg(F.count("*").alias("n")).where("n > 1").select("hash", "lines")
     rows = rows.join(stored(repeated, "chunks").hint("merge"), ["hash", "lines"])
 
-    own = rows.groupBy("__key", "__hash").agg(F.collect_list(F.struct("first", "lines", "hash")).alias("chunks"))
+    own = rows.groupBy("__key", "__hash").agg(F.collect_set(F.struct("first", "lines", "hash")).alias("chunks"))
     own = own.withColumnsRenamed({"__key": "__k", "__hash": "__h"}).hint("merge")
     texts = source.join(own, _same("__key", "__hash", "__k", "__h"))
     body = F.array_join(F.slice("__lines", F.col("c.first") + 1, F.col("c.lines")), "\n")
@@ -107,16 +123,23 @@ def line_dedup(
         earliest.select("hash", "lines", F.col("e.place").alias("earliest"), F.col("e.body").alias("bytes")), "chunks"
     )
     doomed = placed.join(earliest.hint("merge"), ["hash", "lines"]).where((F.col("body") == F.col("bytes")) & (F.col("place") != F.col("earliest")))
+    if apart:
+        one_text = _same("place.__key", "place.__hash", "earliest.__key", "earliest.__hash")
+        doomed = doomed.where(~one_text | (F.col("place.first") >= F.col("earliest.first") + F.col("lines")))
     ranges = doomed.groupBy(F.col("place.__key").alias("__k"), F.col("place.__hash").alias("__h")).agg(
         F.collect_set(F.struct(F.col("place.first").alias("first"), "lines")).alias("__ranges")
     )
     ranges = stored(ranges, "ranges").hint("merge")
 
-    named = documents.withColumns({"__key": F.col(key), "__hash": identity})
+    named = documents.withColumns({"__key": F.col(key), "__hash": _identity(text)})
     joined = named.join(ranges, _same("__key", "__hash", "__k", "__h"), "left")
     gone = lambda i: F.exists("__ranges", lambda r: (i >= r["first"]) & (i < r["first"] + r["lines"]))
     lines = F.split(F.col(text), "\n", -1)
     left = F.filter(lines, lambda _, i: ~gone(i))
+    if apart:  # by a set of places, as there may be as many spans as lines
+        ends = F.flatten(F.transform("__ranges", lambda r: F.array(r["first"], r["first"] + r["lines"] - 1)))
+        left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), ends), lambda i: F.get(F.col("__all"), i))
+        joined = joined.withColumn("__all", F.when(F.col("__ranges").isNotNull(), lines))
     hit = F.col("__ranges").isNotNull()
     result = joined.withColumn("__left", F.when(hit, left))
     return result.withColumns(
@@ -124,7 +147,61 @@ def line_dedup(
             "lines_removed": F.when(hit, F.size(lines) - F.size("__left")).otherwise(F.lit(0)).cast("long"),
             text: F.when(hit, F.array_join("__left", "\n")).otherwise(F.col(text)),
         }
-    ).drop("__key", "__hash", "__k", "__h", "__ranges", "__left")
+    ).drop("__key", "__hash", "__k", "__h", "__ranges", "__left", "__all")
+
+
+def _units(lines: Column) -> tuple[Column, Column]:
+    """Spans (first line from 0, number of lines, hash) that tell which lines a repeated run covers.
+
+    A unit is two filled lines in a row, a filled line with the blank lines after it up to one of them, or a
+    blank line with those after it up to the next filled line. Any run of two lines or more with a filled
+    line is covered by units inside it. There are at most two units a line; only a stretch of m blank lines
+    takes m * m steps. Reads the places of the filled lines, the first value returned, from ``__filled``.
+    """
+    n = F.size(lines)
+    filled = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.rlike(F.get(lines, i), F.lit(r"[^\x20\x09-\x0D]")))
+    span = lambda first, size: F.struct(first.alias("first"), size.alias("lines"))
+    none = F.array().cast("array<struct<first:int,lines:int>>")
+
+    def between(before: Column, after: Column) -> Column:
+        """Units of two neighbouring filled lines and the blank ones between; -1 and n stand for none."""
+        blanks = F.when(after - before > 1, F.sequence(before + 1, after - 1)).otherwise(F.array().cast("array<int>"))
+        ahead = F.when(before >= 0, F.transform(blanks, lambda b: span(before, b - before + 1))).otherwise(none)
+        behind = F.when(after < n, F.transform(blanks, lambda b: span(b, after - b + 1))).otherwise(none)
+        return F.when((after - before == 1) & (before >= 0) & (after < n), F.array(span(before, F.lit(2)))).otherwise(
+            F.concat(ahead, behind)
+        )
+
+    edges = F.arrays_zip(
+        F.concat(F.array(F.lit(-1)), F.col("__filled")).alias("before"),
+        F.concat(F.col("__filled"), F.array(n)).alias("after"),
+    )
+    spans = F.when(F.size("__filled") > 0, F.flatten(F.transform(edges, lambda e: between(e["before"], e["after"])))).otherwise(none)
+    return filled, F.transform(
+        spans,
+        lambda s: F.struct(
+            s["first"].alias("first"), s["lines"].alias("lines"), F.xxhash64(F.slice(lines, s["first"] + 1, s["lines"])).alias("hash")
+        ),
+    )
+
+
+def run_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Remove every run of two lines or more that occurred before anywhere in the table.
+
+    A line goes if it is part of a run of at least two lines, one of them not blank, whose bytes stand in an
+    earlier place that the run does not overlap, in the order of key and place. So repeated passages go whole,
+    whatever stands around them, and their first occurrence stays. A run is found by the units inside it
+    (see ``_units``), which need no boundaries: each is compared by bytes with the first of its hash.
+
+    Returns the same columns as ``line_dedup`` and treats nulls, blank lines, null keys, repeated rows, empty
+    tables and column names as it does: a removed line always stands in an earlier place, and of each line
+    one copy stays. Units are shuffled, compared and joined as the chunks there.
+    """
+    source = _source(documents, key, text)
+    cut = source.where(F.size("__lines") > 1)
+    filled, units = _units(F.col("__lines"))
+    cut = cut.withColumn("__filled", filled)
+    return _without_repeats(documents, key, text, source, cut.select("__key", "__hash", F.explode(units).alias("c")), apart=True)
 
 
 def _same(key: str, hash_: str, other_key: str, other_hash: str) -> Column:

@@ -28,7 +28,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 @query
 def op1_line_dedup(spark, folder):
-    found = linededup.line_dedup(table(spark, folder, "documents"))
+    found = linededup.run_dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "text", "lines_removed")
 
 

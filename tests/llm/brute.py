@@ -46,6 +46,26 @@ def line_dedup(documents, window=2, one_in=2, seeds=4, prime=2**31 - 1, base=482
     return out
 
 
+def run_dedup(documents):
+    """Text left and lines removed of each (key, text): every run with a filled line that stood before, at all lengths."""
+    first, gone = {}, defaultdict(set)
+    for key, text in sorted(documents):
+        lines = (text or "").split("\n")
+        for i in range(len(lines)):
+            for size in range(2, len(lines) - i + 1):
+                body = "\n".join(lines[i : i + size])
+                if not WORD.search(body):
+                    continue
+                doc, end = first.setdefault((size, body), (key, i + size))
+                if doc != key or i >= end:  # neither the first nor overlapping it
+                    gone[key] |= set(range(i, i + size))
+    out = {}
+    for key, text in documents:
+        kept = text if not gone[key] else "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone[key])
+        out[key] = (kept, len(gone[key]))
+    return out
+
+
 def shingles(text, width=5):
     words = WORD.findall(lower(text))
     if len(words) < width:

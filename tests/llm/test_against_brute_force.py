@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from lexloom.llm import eliasfano, extraction, linededup, mixing, neardup, ngrams, pieces, repetition, vafile
-from lexloom.llm.queries import PIECE_MODEL
+from lexloom.llm.queries import PIECE_MODEL, REGISTERED
 from lexloom.llm.words import split_words
 from pyspark.sql import functions as F
 
@@ -81,6 +81,43 @@ def test_line_dedup(spark, texts):
     assert all(f"own line {i} {j}" in got[5000 + i][0] for i in range(60) for j in range(5) if f"own line {i} {j}\n" in dict(rows)[5000 + i])
 
 
+def test_op1_removes_every_repeated_run(spark, texts, tmp_path):
+    r = random.Random(5)
+    rows = [(k, t) for k, t in texts if t is None or t.count("\n") < 150]
+    short = {n: [] for n in (2, 3, 4, 5, 8)}
+    for n, keys in short.items():
+        for i in range(40):
+            passage = [f"passage {n} {i} line {j}" for j in range(n)]
+            for copy in range(2):
+                own = [f"own {n} {i} {copy} {j}" for j in range(r.randint(0, 5))]
+                at = r.randint(0, len(own))
+                keys.append(10_000 * n + 2 * i + copy)
+                rows.append((keys[-1], "\n".join(own[:at] + passage + own[at:])))
+    # few kinds of line, so that runs overlap each other and themselves, and blank stretches of many sizes
+    rows += [(i, "\n".join(r.choice(["a", "b", "", "", " ", "c"]) for _ in range(r.randint(1, 14)))) for i in range(200_000, 200_150)]
+    rows += [(i, "\n".join([f"x{i}", *[""] * r.randint(0, 6), "y", *[" "] * r.randint(0, 6), f"z{i % 3}"])) for i in range(300_000, 300_040)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: (x["text"], x["lines_removed"]) for x in REGISTERED["op1_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == brute.run_dedup(rows)
+    for n, keys in short.items():
+        assert all("passage" not in got[k][0] and got[k][1] == n for k in keys[1::2])
+        assert all(got[k][1] == 0 for k in keys[::2])
+    chunks = brute.line_dedup(rows)
+    assert all(got[k][1] >= n for k, (_, n) in chunks.items())
+
+
+def test_op1_runs_no_python(spark):
+    plan = REGISTERED["op1_line_dedup"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan) and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_run_dedup_on_odd_rows(spark, odd_documents, no_documents):
+    rows = {r["doc_id"]: r for r in linededup.run_dedup(odd_documents).collect()}
+    assert rows[2]["text"] is None and rows[3]["text"] == "" and rows[4]["text"] == " \n\t \n" and rows[6]["lines_removed"] == 3
+    assert [rows[k]["lines_removed"] for k in (1, 4, 5, None)] == [0] * 4 and len(rows[5]["text"].split("\n")) == 9000
+    assert linededup.run_dedup(odd_documents).count() == 10 and linededup.run_dedup(no_documents).count() == 0
+
+
 def test_line_dedup_runs_no_python(spark, documents):
     plan = linededup.line_dedup(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan) and "CartesianProduct" not in plan and "NestedLoop" not in plan
