@@ -2,7 +2,8 @@
 
 The texts are dealt into parts of bounded size. Every part asks for the training counts of the
 words and word pairs it holds, each by a 64-bit hash, and contributes its own counts; shards
-of the hash range add them up over the whole corpus and answer. A part then builds the trie of what it
+of the hash range add them up over the whole corpus and answer. With order 3 a second round asks in the same way for the
+triples whose counts the first answers leave open. A part then builds the trie of what it
 asked for and scores its texts with it. So the counts cover everything, while no task ever holds more
 of the model than its own texts can use.
 """
@@ -23,6 +24,7 @@ from lexloom.llm.words import mix, pieces, split_words
 
 END, START = np.uint64(0x45A1B2C3D4E5F607), np.uint64(0x73AF00D15EA5E001)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_SEARCH = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -30,13 +32,18 @@ class Settings:
     """``strength``: how many observations the shorter context's distribution is worth.
 
     ``add``: constant added to word counts. ``part_bytes``: about the bytes of text of a part. ``levels``: number
-    of values a level's log probabilities are rounded to.
+    of values a level's log probabilities are rounded to. ``order``: 2 or 3, words that a score looks at, its own among them.
     """
 
     strength: float = 500.0
     add: float = 0.1
     part_bytes: int = 8 << 20
     levels: int = 65536
+    order: int = 2
+
+    def __post_init__(self):
+        if self.order not in (2, 3):
+            raise ValueError(f"order is 2 or 3, not {self.order}")
 
 
 @dataclass
@@ -51,6 +58,11 @@ class Tokens:
     def pair(self) -> np.ndarray:
         return mix(self.before * _SPREAD + self.word)
 
+    @property
+    def third(self) -> np.ndarray:
+        """Places of the tokens that have two before them, the start of the text among them."""
+        return np.flatnonzero(self.before != START)
+
 
 def tokens(texts: pa.Array) -> Tokens:
     counts, hashes = [], []
@@ -100,6 +112,17 @@ _SIZE = pa.schema([("kinds", pa.int64()), ("tokens", pa.int64())])
 _SIZE_DDL = "kinds long, tokens long"
 
 
+def _requests(part: int, level: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shard that has some of the sorted keys."""
+    edges = _shard_edges(keys, shards)
+    for shard in np.flatnonzero(np.diff(edges)):
+        own = slice(edges[shard], edges[shard + 1])
+        steps = np.diff(keys[own], prepend=np.uint64(0))
+        yield pa.RecordBatch.from_pydict(
+            {"shard": [shard], "part": [part], "level": [level], "keys": [_planes(steps)], "counts": [_planes(counts[own])]}, schema=_ASK
+        )
+
+
 def _ask(shards: int):
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -108,14 +131,7 @@ def _ask(shards: int):
         for level, every in ((1, found.word), (2, found.pair)):
             keys, number = np.unique(every, return_inverse=True)
             counts = np.bincount(number[learned], minlength=len(keys)).astype(np.uint64)
-            edges = _shard_edges(keys, shards)
-            for shard in np.flatnonzero(np.diff(edges)):
-                part = slice(edges[shard], edges[shard + 1])
-                steps = np.diff(keys[part], prepend=np.uint64(0))
-                yield pa.RecordBatch.from_pydict(
-                    {"shard": [shard], "part": [key[0].as_py()], "level": [level], "keys": [_planes(steps)], "counts": [_planes(counts[part])]},
-                    schema=_ASK,
-                )
+            yield from _requests(key[0].as_py(), level, keys, counts, shards)
 
     return run
 
@@ -136,18 +152,73 @@ def _totals(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return number, np.bincount(number, weights=np.concatenate([r[2] for r in rows]).astype(np.float64))
 
 
-def _answer(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for level, rows in _asked(batches, (1, 2)).items():
-        if not rows:
-            continue
-        number, totals = _totals(rows)
-        at = 0
-        for part, keys, _ in rows:
-            mine = totals[number[at : at + len(keys)]].astype(np.uint64)
-            at += len(keys)
-            yield pa.RecordBatch.from_pydict(
-                {"part": [part], "shard": [key[0].as_py()], "level": [level], "totals": [_planes(mine)]}, schema=_ANSWER
-            )
+def _answer(order: int):
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for level, rows in _asked(batches, (1, 2, 3)).items():
+            if not rows:
+                continue
+            number, totals = _totals(rows)
+            totals = totals.astype(np.uint64)
+            if order > 2 and level == 2:  # the lowest bit tells whether more parts than one hold the pair
+                totals = totals * np.uint64(2) + (np.bincount(number) > 1).astype(np.uint64)
+            at = 0
+            for part, keys, _ in rows:
+                mine = totals[number[at : at + len(keys)]]
+                at += len(keys)
+                yield pa.RecordBatch.from_pydict(
+                    {"part": [part], "shard": [key[0].as_py()], "level": [level], "totals": [_planes(mine)]}, schema=_ANSWER
+                )
+
+    return run
+
+
+def _answered(answers: pa.Table, levels: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """By level, what was answered for the sorted keys of a part."""
+    rows = sorted(zip(*(answers[c].to_pylist() for c in ("level", "shard", "totals")), strict=True), key=lambda r: r[:2])
+    none = [np.zeros(0, np.uint64)]
+    return {k: np.concatenate([_from_planes(t) for level, _, t in rows if level == k] or none) for k in levels}
+
+
+@dataclass
+class Triples:
+    """Distinct triples of a part in the order of their hashes: the pairs (by number) they begin and end with.
+
+    ``own``: how often the part learns from each. ``open_``: whether another part may hold it as well. A triple of a pair that
+    only this part holds, or that nothing was learned of, stands in no other part that is learned from, so ``own``
+    is its total.
+    """
+
+    keys: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+    number: np.ndarray
+    own: np.ndarray
+    open_: np.ndarray
+
+
+def _triples(found: Tokens, pairs: np.ndarray, pair: np.ndarray, learned: np.ndarray, answered: np.ndarray) -> Triples:
+    """``pairs``: hashes by number; ``pair``: number of each token's pair; ``answered``: of each number, with the lowest bit."""
+    at = found.third
+    keys, first, number = np.unique(mix(pairs[pair[at - 1]] * _SPREAD + found.word[at]), return_index=True, return_inverse=True)
+    head, tail = pair[at[first] - 1], pair[at[first]]
+    own = np.bincount(number[learned[at]], minlength=len(keys)).astype(np.uint64)
+    # both tests depend on the pair alone, so parts agree on which triples are asked for
+    common = (answered & np.uint64(1)).astype(bool) & (answered > np.uint64(1))
+    return Triples(keys, head, tail, number, own, common[head] & common[tail])
+
+
+def _ask_triples(shards: int):
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(texts):
+            return _ASK.empty_table()
+        found = tokens(texts["text"].combine_chunks())
+        pairs, pair = np.unique(found.pair, return_inverse=True)
+        learned = texts["learned"].to_numpy().astype(bool)[found.row]
+        triples = _triples(found, pairs, pair, learned, _answered(answers, (2,))[2])
+        keys, counts = triples.keys[triples.open_], triples.own[triples.open_]
+        return pa.Table.from_batches(_requests(key[0].as_py(), 3, keys, counts, shards), schema=_ASK)
+
+    return run
 
 
 def _size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,30 +249,68 @@ class Trie:
     The words are numbered in hash order, and successors of word c are stored as c * n_words + number, a
     monotone sequence; ``pointers`` tell where each word's successors begin. A pair is looked up
     relative to its context: its value is searched and must lie between the context's pointers.
+    ``deepen`` adds the successors of pairs, stored in the same way below the place of the pair.
     """
 
     def __init__(self, n_words: int, word: np.ndarray, context: np.ndarray, log_word, log_left, log_pair, levels: int):
-        self.n_words = n_words
-        value = context * n_words + word
-        order = np.argsort(value)
-        self.successors = EliasFano(value[order], n_words * n_words)
-        begins = np.concatenate(([0], np.cumsum(np.bincount(context, minlength=n_words))))
-        self.pointers = EliasFano(begins, len(word) + 1)
+        self.n_words, self.levels = n_words, levels
+        order, self.successors, self.pointers = self._below(context, word, n_words)
         self.words, self.left, self.pairs = Quantised(log_word, levels), Quantised(log_left, levels), Quantised(log_pair[order], levels)
-        owners = [(x, name) for x in (self.successors, self.pointers) for name in x.arrays()]
-        owners += [(x, name) for x in (self.words, self.left, self.pairs) for name in ("bins", "means")]
+        self._map(self.successors, self.pointers, self.words, self.left, self.pairs)
+
+    def deepen(self, head: np.ndarray, word: np.ndarray, log_triple, pair: np.ndarray, log_left):
+        """Add triples, by the place of the pair they begin with, and what the pair of each place leaves to shorter contexts."""
+        left = np.zeros(self.successors.n)
+        left[pair] = log_left
+        order, self.thirds, self.third_pointers = self._below(head, word, self.successors.n)
+        self.pair_left, self.triples = Quantised(left, self.levels), Quantised(log_triple[order], self.levels)
+        self._map(self.thirds, self.third_pointers, self.pair_left, self.triples)
+
+    def _below(self, context: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, EliasFano, EliasFano]:
+        value = context * self.n_words + word
+        order = np.argsort(value)
+        begins = np.concatenate(([0], np.cumsum(np.bincount(context, minlength=n))))
+        return order, EliasFano(value[order], n * self.n_words), EliasFano(begins, len(word) + 1)
+
+    def _map(self, *parts: EliasFano | Quantised) -> None:
+        owners = [(x, name) for x in parts for name in (x.arrays() if isinstance(x, EliasFano) else ("bins", "means"))]
         for (owner, name), array in zip(owners, mapped([getattr(o, n) for o, n in owners]), strict=True):
             setattr(owner, name, array)
 
-    def log_probability(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        place = self.successors.find(context * self.n_words + word) if self.successors.n else np.full(len(word), -1)
+    def _find(self, values: EliasFano, pointers: EliasFano, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Place of each word below its context, or -1; searched in order and by pieces, which stay in the cache."""
+        value = context * self.n_words + word
+        order = np.argsort(value)
+        out = np.full(len(word), -1)
+        for at in range(0, len(order) if values.n else 0, _SEARCH):
+            rows = order[at : at + _SEARCH]
+            place = values.find(value[rows])
+            hit = np.flatnonzero(place >= 0)
+            below = context[rows[hit]]
+            assert ((place[hit] >= pointers.get(below)) & (place[hit] < pointers.get(below + 1))).all()
+            out[rows] = place
+        return out
+
+    def pair_places(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return self._find(self.successors, self.pointers, context, word)
+
+    def log_probability(self, place: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of pairs at the given places, or -1."""
         hit = np.flatnonzero(place >= 0)
-        inside = (place[hit] >= self.pointers.get(context[hit])) & (place[hit] < self.pointers.get(context[hit] + 1))
-        assert inside.all()
         out = self.left.get(context) + self.words.get(word)
         out[hit] = self.pairs.get(place[hit])
         return out
 
+    def log_probability_of_third(self, head: np.ndarray, word: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Of words after the pairs at the places ``head``, or -1; ``shorter``: with one word of context."""
+        out = shorter.copy()
+        known = np.flatnonzero(head >= 0)
+        out[known] += self.pair_left.get(head[known])
+        place = self._find(self.thirds, self.third_pointers, head[known], word[known])
+        hit = np.flatnonzero(place >= 0)
+        out[known[hit]] = self.triples.get(place[hit])
+        return out
+
 
 def _score(s: Settings, kind: str):
     schema = pa.schema(
@@ -213,15 +322,15 @@ def _score(s: Settings, kind: str):
         if not n:
             return schema.empty_table()
         found = tokens(texts["text"].combine_chunks())
-        rows = sorted(zip(*(answers[c].to_pylist() for c in ("level", "shard", "totals")), strict=True), key=lambda r: r[:2])
-        counts = {k: np.concatenate([_from_planes(t) for level, _, t in rows if level == k]).astype(np.float64) for k in (1, 2)}
+        answered = _answered(answers, (1, 2, 3))
+        counts = {1: answered[1].astype(np.float64), 2: (answered[2] >> np.uint64(s.order > 2)).astype(np.float64)}
         kinds, seen = (answers[c][0].as_py() for c in ("kinds", "tokens"))
 
         keys, word = np.unique(found.word, return_inverse=True)
         start = len(keys)  # the start of a text is one more context, as frequent as ends are
         of_word = np.append(counts[1], counts[1][np.searchsorted(keys, END)])
         context = np.where(found.before == START, start, np.searchsorted(keys, found.before))
-        _, first, pair = np.unique(found.pair, return_index=True, return_inverse=True)
+        pairs, first, pair = np.unique(found.pair, return_index=True, return_inverse=True)
         p_word = (of_word + s.add) / (seen + s.add * (kinds + 1))
         trained = np.flatnonzero(counts[2] > 0)
         pair_word, pair_context = word[first], context[first]
@@ -230,7 +339,21 @@ def _score(s: Settings, kind: str):
         trie = Trie(
             start + 1, pair_word[trained], pair_context[trained], np.log10(p_word), np.log10(s.strength / whole), np.log10(p_pair[trained]), s.levels
         )
-        log_pair = trie.log_probability(pair_context, pair_word)
+        place = trie.pair_places(pair_context, pair_word)
+        log_pair = trie.log_probability(place, pair_context, pair_word)
+        log_token = log_pair[pair]
+        if s.order > 2:
+            learned = texts["learned"].to_numpy().astype(bool)[found.row]
+            triples = _triples(found, pairs, pair, learned, answered[2])
+            total = triples.own.astype(np.float64)
+            total[triples.open_] = answered[3]
+            head, tail = triples.head, triples.tail
+            whole = counts[2] + s.strength
+            p_triple = (total + s.strength * p_pair[tail]) / whole[head]
+            some = np.flatnonzero(total > 0)
+            trie.deepen(place[head[some]], pair_word[tail[some]], np.log10(p_triple[some]), place[trained], np.log10(s.strength / whole[trained]))
+            log_triple = trie.log_probability_of_third(place[head], pair_word[tail], log_pair[tail])
+            log_token[found.third] = log_triple[triples.number]
         sums = lambda weights: np.bincount(found.row, weights=weights, minlength=n)
         return pa.Table.from_arrays(
             [
@@ -240,7 +363,7 @@ def _score(s: Settings, kind: str):
                 pa.array(sums(of_word[word] > 0).astype(np.int64)),
                 pa.array(np.full(n, seen), pa.int64()),
                 pa.array(sums(np.log10(p_word)[word])),
-                pa.array(sums(log_pair[pair])),
+                pa.array(sums(log_token)),
             ],
             schema=schema,
         )
@@ -255,7 +378,8 @@ def score_texts(documents: DataFrame, folds: int = 10, held_out: int = 0, s: Set
     The model learns from texts outside the held-out fold of crc32(doc_id). Returns ``doc_id``, ``held_out``, ``n_tokens``
     (words and one end), ``n_known``, ``train_tokens``, ``base_score`` (words alone, ``s.add`` added to each count) and
     ``score``. A word w after h has probability (c(hw) + strength * p(w)) / (c(h) + strength), where p is
-    the distribution of the base score.
+    the distribution of the base score. With ``s.order`` 3, a word w after g h, where g may be the start of the
+    text, has (c(ghw) + strength * p(w | h)) / (c(gh) + strength), where p(w | h) is the former.
 
     Null and empty texts hold only the end. Rows with a null key are scored, not learned from, and not
     held out. Repeated rows are texts of their own. With nothing to learn from, every word is unknown. An
@@ -263,7 +387,8 @@ def score_texts(documents: DataFrame, folds: int = 10, held_out: int = 0, s: Set
 
     Parts are dealt by key and text, shards by hash, so neither depends on how often a word or text
     occurs: a shard gets at most one entry of a word from each part. The texts are shuffled
-    once and used twice.
+    once and used twice, or three times with order 3. Triples are asked for only if both pairs in them were learned
+    from and are held by more than one part; otherwise a part's own count is the total.
     """
     rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = fold(F.col("doc_id"), folds)
@@ -278,10 +403,13 @@ def score_texts(documents: DataFrame, folds: int = 10, held_out: int = 0, s: Set
     )
     asked = dealt.groupBy("part").applyInArrow(_ask(parts), _ASK_DDL)
     by_shard = asked.groupBy("shard")
-    answers = by_shard.applyInArrow(_answer, _ANSWER_DDL)
+    answers = by_shard.applyInArrow(_answer(s.order), _ANSWER_DDL)
     # the same shuffle gives the size of the training text, which goes along with every answer
     size = by_shard.applyInArrow(_size, _SIZE_DDL)
     whole = size.agg(F.struct(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).alias("size")).scalar()
+    if s.order > 2:
+        deeper = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_ask_triples(parts), _ASK_DDL)
+        answers = answers.unionByName(deeper.groupBy("shard").applyInArrow(_answer(s.order), _ANSWER_DDL))
     answers = answers.withColumn("size", whole).select("part", "shard", "level", "totals", "size.kinds", "size.tokens")
     run, ddl = _score(s, pa.int64())
     return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, ddl)

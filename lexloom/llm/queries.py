@@ -60,7 +60,7 @@ def op4_va_top_k(spark, folder):
 
 @query
 def op5_ngram_scores(spark, folder):
-    return ngrams.score_texts(table(spark, folder, "documents"))
+    return ngrams.score_texts(table(spark, folder, "documents"), s=ngrams.Settings(order=3))
 
 
 @query

@@ -159,3 +159,23 @@ def language_model(documents, strength, add=0.1):
         )
         out[key] = (len(own), sum(one[x] > 0 for x in own), n, base, score)
     return out
+
+
+def third_order_scores(documents, strength, add=0.1):
+    """Score of each (key, text) with two words of context."""
+    words = {key: WORD.findall(lower(text)) + [None] for key, text in documents}
+    learned = [w for key, w in words.items() if zlib.crc32(str(key).encode()) % 10]
+    one = Counter(x for w in learned for x in w)
+    two = Counter(p for w in learned for p in zip(["<s>"] + w[:-1], w))
+    three = Counter(t for w in learned for t in zip(["<s>"] + w[:-2], w[:-1], w[1:]))
+    total, starts = sum(one.values()) + add * (len(one) + 1), len(learned)
+
+    def second(h, x):
+        return (two[h, x] + strength * (one[x] + add) / total) / ((starts if h == "<s>" else one[h]) + strength)
+
+    out = {}
+    for key, own in words.items():
+        out[key] = math.log10(second("<s>", own[0]))
+        for g, h, x in zip(["<s>"] + own[:-2], own[:-1], own[1:]):
+            out[key] += math.log10((three[g, h, x] + strength * second(h, x)) / (two[g, h] + strength))
+    return out

@@ -189,6 +189,39 @@ def test_language_model(documents, texts):
             assert abs(row["score"] - score) < 0.02 * n
 
 
+def test_language_model_of_order_three(spark, texts, tmp_path):
+    r = random.Random(8)
+    some = r.sample([(k, t) for k, t in texts if len(t or "") < 5000], 60)
+    rows = some + [(9000 + i, " ".join(r.choices("abcdef", k=r.randint(0, 12)))) for i in range(150)]
+    # words that only held-out texts, only one part or only some parts hold
+    rows += [(10_000 + i, f"rare{i // 3} pair{i // 2} once{i // 4} rare{i // 3} pair{i // 2}") for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want, shorter = brute.third_order_scores(rows, 3.0), brute.language_model(rows, 3.0)
+    assert sum(abs(want[k] - shorter[k][4]) > 0.1 for k in want) > 200
+    for part_bytes in (2000, 20_000, 8 << 20):
+        got = ngrams.score_texts(frame, s=ngrams.Settings(strength=3.0, part_bytes=part_bytes, order=3)).collect()
+        assert len(got) == len(rows)
+        for row in got:
+            n, known, learned, base, _ = shorter[row["doc_id"]]
+            assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (n, known, learned)
+            assert row["base_score"] == pytest.approx(base, rel=1e-9) and abs(row["score"] - want[row["doc_id"]]) < 1e-3 * n
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute.third_order_scores(rows, 500.0)
+    for row in REGISTERED["op5_ngram_scores"](spark, str(tmp_path)).collect():
+        assert abs(row["score"] - want[row["doc_id"]]) < 1e-4 * row["n_tokens"]
+    with pytest.raises(ValueError, match="order"):
+        ngrams.Settings(order=4)
+
+
+def test_order_three_on_odd_rows(odd_documents, no_documents):
+    s = ngrams.Settings(order=3)
+    rows = ngrams.score_texts(odd_documents, s=s).collect()
+    assert len(rows) == 10 and all(np.isfinite(r["score"]) for r in rows)
+    assert ngrams.score_texts(no_documents, s=s).count() == 0
+    alone = ngrams.score_texts(odd_documents.where("doc_id is null"), s=s).collect()[0]
+    assert alone["train_tokens"] == alone["n_known"] == 0 and np.isfinite(alone["score"])
+
+
 def expected_text(html):
     article = re.search(r"<article>(.*?)(</article>|$)", html, re.S)[1]
     blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?p>|</?h1>|<br>", article)]
