@@ -2,8 +2,9 @@
 
 A text's set holds its distinct word shingles. Its sketch is the ``k`` smallest hashes of the
 set. Two linked sets (Jaccard similarity 0.75 or more) share at least ``need`` values of their sketches: all
-sets small enough to be whole in the sketch exactly, others but for six standard deviations, one
-pair in a billion. So they also share one of the ``k - need + 1`` values of each sketch that are
+sets small enough to be whole in the sketch exactly, others but for six standard deviations. With 64 values and a
+similarity of exactly 0.75 the binomial law puts 2.5e-8 below that, 25 pairs in a billion; more similar pairs miss less
+often. So they also share one of the ``k - need + 1`` values of each sketch that are
 rarest in the corpus. The inverted lists of those values give the candidates: a passage that many
 texts hold is no candidate unless it makes up most of them. The sketches of both sides, merged, estimate
 the similarity and drop pairs six standard deviations below the limit; the sets themselves decide.
