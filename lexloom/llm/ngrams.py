@@ -247,8 +247,8 @@ class Trie:
     """Words, and below each word its successors: numbers, pointers and quantised log10 probabilities.
 
     The words are numbered in hash order, and successors of word c are stored as c * n_words + number, a
-    monotone sequence; ``pointers`` tell where each word's successors begin. A pair is looked up
-    relative to its context: its value is searched and must lie between the context's pointers.
+    monotone sequence; ``pointers`` tell where each word's successors begin. A pair is looked up by its value in
+    the whole sequence; the pointers do not narrow the search, they only check that what is found lies below its context.
     ``deepen`` adds the successors of pairs, stored in the same way below the place of the pair.
     """
 
