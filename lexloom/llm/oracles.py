@@ -119,9 +119,125 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cove
 FROM base
 """
 
+
+OP11 = r"""
+WITH RECURSIVE bits(b, c, k) AS (
+    SELECT range, range, 0 FROM range(256)
+    UNION ALL SELECT b, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM bits WHERE k < 8
+), t AS (SELECT b, c FROM bits WHERE k = 8),
+runs AS (
+    SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+    WHERE length(run) >= 7 GROUP BY ALL
+), named AS (SELECT *, row_number() OVER () AS id, concat(doc_id, ':', run) AS name FROM runs),
+-- A checksum is the exclusive or of what each byte adds at its distance from the end, and of the checksum of zeros.
+share(d, b, c) AS (
+    SELECT 0, b, c FROM t
+    UNION ALL
+    SELECT s.d + 1, s.b, xor(s.c >> 8, t.c) FROM share s JOIN t ON t.b = s.c & 255
+    WHERE s.d < (SELECT max(strlen(name)) FROM named)
+), zeros(n, c) AS (
+    SELECT 0, 4294967295
+    UNION ALL
+    SELECT z.n + 1, xor(z.c >> 8, t.c) FROM zeros z JOIN t ON t.b = z.c & 255 WHERE z.n < (SELECT max(strlen(name)) FROM named)
+), bytes AS (
+    SELECT id, size, unnest(range(size)) AS i, x FROM (SELECT id, strlen(name) AS size, hex(encode(name)) AS x FROM named)
+), sums AS (
+    SELECT id, any_value(size) AS size, bit_xor(share.c::BIGINT)::BIGINT AS c
+    FROM bytes JOIN share ON share.d = size - 1 - i AND share.b = ('0x' || substr(x, 2 * i + 1, 2))::BIGINT GROUP BY id
+), checked AS (
+    SELECT run, named.n, xor(xor(sums.c, zeros.c::BIGINT), 4294967295::BIGINT) AS h
+    FROM named JOIN sums USING (id) JOIN zeros ON zeros.n = size
+), damaged AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n
+    FROM checked
+), words AS (SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM words, unnest(range(1, length(word) + 1)) AS r(i)),
+deleted AS (SELECT DISTINCT c.word AS long_word, w.word AS short_word FROM cuts c JOIN words w ON w.word = c.head || c.tail),
+near AS (
+    SELECT long_word AS word, short_word AS other FROM deleted
+    UNION ALL SELECT short_word, long_word FROM deleted
+    UNION ALL SELECT a.word, b.word FROM cuts a JOIN cuts b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+), best AS (
+    SELECT near.word, count(*) AS n_near, min({'less': -w.n, 'other': w.word}) AS best
+    FROM near JOIN words w ON w.word = near.other GROUP BY near.word
+), forms AS (
+    SELECT words.word, words.n, coalesce(n_near, 0) AS n_near,
+           CASE WHEN -best.less >= 10 * n THEN best.other END AS form, CASE WHEN -best.less >= 10 * n THEN -best.less END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), chain(word, last, step) AS (
+    SELECT word, word, 0 FROM forms
+    UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.last WHERE f.form IS NOT NULL
+), ends AS (SELECT word, arg_max(last, step) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM forms JOIN ends USING (word)
+"""
+
+_TERMS = r"""unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+
+OP12 = f"""
+WITH numbered AS (SELECT row_number() OVER () AS row_no, doc_id, text FROM documents),
+tf AS (SELECT row_no, doc_id, term, count(*) AS tf FROM (SELECT row_no, doc_id, {_TERMS} FROM numbered) GROUP BY ALL),
+sizes AS (SELECT row_no, sum(tf)::BIGINT AS n FROM tf GROUP BY row_no),
+whole AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+factor AS (SELECT row_no, 75 + (25 * n * n_docs) // n_terms AS m FROM sizes, whole),
+weight AS (
+    SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term
+),
+asked AS (SELECT item_no, item_id, {_TERMS} FROM (SELECT row_number() OVER () AS item_no, item_id, text FROM benchmark)),
+scored AS (
+    SELECT item_no, any_value(item_id) AS item_id, row_no, any_value(tf.doc_id) AS doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN factor USING (row_no) GROUP BY item_no, row_no
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def _found(place: int, kind: str, pattern: str, kept: str = "true", before: str = "") -> str:
+    """Rows of the spans of one kind: matches are put between two marks, and lengths between marks summed up."""
+    marked = rf"regexp_replace(text, '{before}({pattern})', '{chr(92) + '1' if before else ''}' || chr(57344) || '\{2 if before else 1}' || chr(57345), 'g')"
+    return f"""
+    SELECT row_no, {place} AS place, '{kind}' AS kind, start, start + length(found) AS stop FROM (
+        SELECT row_no, split_part(segs[i], chr(57345), 1) AS found,
+               (length(segs[1]) + coalesce(list_sum(list_transform(segs[2:i - 1], lambda s: length(s) - 1)), 0))::BIGINT AS start
+        FROM (SELECT row_no, string_split({marked}, chr(57344)) AS segs FROM texts), unnest(range(2, len(segs) + 1)) AS r(i)
+    ) WHERE {kept}"""
+
+
+_ANY_CASE = "|".join(
+    "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key")
+)
+_ASSIGN = rf"""(?:{_ANY_CASE})["'']?\x20*[:=]\x20*["'']?"""
+_KINDS = " UNION ALL ".join(
+    (
+        _found(0, "assign", _ASSIGN + "[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(found, '^{_ASSIGN}([A-Za-z0-9+/_.=-]+)', 1)) >= 6"),
+        _found(1, "access", "AKIA[A-Z0-9]+", "length(found) >= 20"),
+        _found(2, "hex", "[0-9a-f]+", "length(found) >= 24"),
+        _found(3, "keyblock", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*"),
+        _found(4, "webtoken", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*", before="(^|[^A-Za-z0-9_-])"),
+        _found(5, "vendor", r"gh[opsur]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"),
+    )
+)
+_LISTED = "coalesce(string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY start, place){}, '')"
+
+OP13 = f"""
+WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({_KINDS})
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access,
+       count(*) FILTER (place = 2) AS n_hex, sha256({_LISTED.format(" FILTER (place < 3)")}) AS base_sha256, {_LISTED.format(" FILTER (place >= 0)")} AS spans
+FROM texts LEFT JOIN spans USING (row_no) GROUP BY row_no
+"""
+
 ORACLES = {
     "op4_va_top_k": OP4,
     "op7_mix_sources": OP7,
     "op8_minhash_near_dedup": OP8,
     "op9_repetition_rules": OP9,
+    "op11_spelling_variants": OP11,
+    "op12_ranked_search": OP12,
+    "op13_secret_scan": OP13,
 }

@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import extraction, linededup, mixing, neardup, ngrams, pieces, quality, repetition, toxicity, vafile
+from lexloom.llm import (
+    extraction,
+    fpsearch,
+    linededup,
+    mixing,
+    neardup,
+    ngrams,
+    pieces,
+    quality,
+    repetition,
+    secretscan,
+    spelling,
+    toxicity,
+    vafile,
+)
 
 #: Where the public tokenizer files are installed on every machine.
 TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
@@ -97,3 +111,27 @@ def op10_toxicity(spark, folder):
         table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
     )
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op11_spelling_variants(spark, folder):
+    return spelling.group_spellings(table(spark, folder, "documents"))
+
+
+@query
+def op12_ranked_search(spark, folder):
+    return fpsearch.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_secret_scan(spark, folder):
+    rules = secretscan.RULES
+    found = secretscan.scan_secrets(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["place"] < len(secretscan.BASE_RULES))
+    of_kind = lambda place: F.size(F.filter("spans", lambda s: s["place"] == place)).cast("long")
+    return found.select(
+        "doc_id",
+        *(of_kind(place).alias(f"n_{rule.kind}") for place, rule in enumerate(secretscan.BASE_RULES)),
+        F.sha2(secretscan.written(base, rules), 256).alias("base_sha256"),
+        secretscan.written(F.col("spans"), rules).alias("spans"),
+    )
