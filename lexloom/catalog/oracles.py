@@ -59,15 +59,19 @@ def packed(pieces: str, joiner: str, limit: int, acc: str, item: str) -> str:
     return f"list_reduce({states(pieces)}, lambda {acc}, {item}: {body}, {EMPTY})"
 
 
-def paragraph_chunks_of(table: str, key: str) -> str:
-    long_line = packed("string_split(x.current, '. ')", "'. '", 900, "b", "y")
+def paragraph_chunks_of(table: str, key: str, limit: int = 900, hard: bool = False) -> str:
+    long_line = packed("string_split(x.current, '. ')", "'. '", limit, "b", "y")
     body = (
-        f"CASE WHEN length(x.current) > 900 "
+        f"CASE WHEN length(x.current) > {limit} "
         f"THEN {{'done': list_concat({closed('a')}, {closed(f'({long_line})')}), 'current': ''}} "
-        f"ELSE {added('a', 'x.current', 'chr(10)', 900)} END"
+        f"ELSE {added('a', 'x.current', 'chr(10)', limit)} END"
     )
     fold = f"list_reduce({states('string_split(text, chr(10))')}, lambda a, x: {body}, {EMPTY})"
-    kept = f"list_filter(list_transform({closed('state')}, lambda c: {stripped('c')}), lambda c: c <> '')"
+    whole = closed("state")
+    if hard:
+        cut = f"list_transform(range(0, length(c), {limit}), lambda i: substr(c, i + 1, {limit}))"
+        whole = f"flatten(list_transform({whole}, lambda c: {cut}))"
+    kept = f"list_filter(list_transform({whole}, lambda c: {stripped('c')}), lambda c: c <> '')"
     return (
         f"folded AS (SELECT {key}, {fold} AS state FROM {table}), "
         f"listed AS (SELECT {key}, {kept} AS chunks FROM folded), "
@@ -271,6 +275,91 @@ def index_counts() -> str:
         FROM normed QUALIFY norm > 0"""
 
 
+def sketch_columns() -> str:
+    parts = []
+    for name in ("doc_id", "text", "lang", "n_chars"):
+        number = name in ("doc_id", "n_chars")
+        bounds = f"min({name})::VARCHAR, max({name})::VARCHAR" if number else "NULL::VARCHAR, NULL::VARCHAR"
+        parts.append(
+            f"SELECT '{name}' AS \"column\", count(*) AS \"rows\", count(*) - count({name}) AS nulls, "
+            f"sum(strlen({name}::VARCHAR))::BIGINT AS bytes, {bounds}, count(DISTINCT {name}) AS distinct_exact, "
+            f"true AS distinct_close, {'true' if number else 'NULL::BOOLEAN'} AS median_close FROM documents"
+        )
+    columns = '"column", "rows", nulls, bytes, low, high, distinct_exact, distinct_close, median_close'
+    return f"WITH figures({columns}) AS ({' UNION ALL '.join(parts)}) SELECT * FROM figures"
+
+
+def index_update() -> str:
+    body = "coalesce(source, '') || '. ' || coalesce(text, '')"
+    counts = ", ".join(f"length(body) - length(replace(body, '{chr(97 + i)}', ''))" for i in range(26))
+    edits = {
+        "n_new": "doc_id % 11 = 3",
+        "n_changed": "doc_id % 11 <> 3 AND doc_id % 7 = 1",
+        "n_edited": "doc_id % 11 <> 3 AND doc_id % 7 <> 1 AND doc_id % 13 = 2 AND lang <> 'xx'",
+        "n_gone": "doc_id % 17 = 5",
+        "n_same": "doc_id % 11 <> 3 AND doc_id % 7 <> 1 AND doc_id % 13 <> 2",
+        "n_embedded": "doc_id % 11 = 3 OR doc_id % 7 = 1",
+    }
+    figures = ", ".join(f"(SELECT count(*) FROM documents WHERE {where}) AS {name}" for name, where in edits.items())
+    return f"""
+        WITH texts AS (SELECT doc_id, lang, {body} AS body FROM documents),
+        counted AS (SELECT doc_id, lang, [{counts}]::DOUBLE[] AS n FROM texts),
+        normed AS (SELECT *, sqrt(list_dot_product(n, n)) AS norm FROM counted)
+        SELECT doc_id, lang, len(n)::INTEGER AS dimension, round((n[5] / norm)::FLOAT::DOUBLE, 4) AS fifth_element, {figures}
+        FROM normed WHERE norm > 0"""
+
+
+LEDGER = """
+    WITH turns AS (SELECT *, (conv_id * 31 + turn) % 8 AS way FROM conversations),
+    tries AS (
+        SELECT text, role, conv_id, way, generate_subscripts(codes, 1) - 1 AS pos, unnest(codes) AS status
+        FROM (SELECT *, [[], [500, 200], [500, 503, 502], [400], [200, 200], [429], [200], [200, 500]][way + 1] AS codes FROM turns)),
+    came AS (
+        SELECT text, role, status, pos + 1 AS attempt, conv_id * 100 + pos AS received,
+               CASE WHEN way <> 6 THEN text || ' #' || pos END AS body FROM tries),
+    seen AS (
+        SELECT text, role, count(DISTINCT attempt) AS attempts, arg_max(status, {'r': received, 'a': attempt, 's': status}) AS last_status,
+               arg_max(body, {'r': received, 'a': attempt, 'b': body}) FILTER (status = 200 AND body IS NOT NULL) AS best
+        FROM came GROUP BY ALL),
+    asked AS (SELECT text, role, count(*) AS n_requests FROM turns GROUP BY ALL),
+    states AS (
+        SELECT text, role, n_requests, coalesce(attempts, 0) AS attempts, last_status, best,
+               CASE WHEN best IS NOT NULL THEN 'answered'
+                    WHEN coalesce(last_status, 200) IN (200, 408, 425, 429, 500, 502, 503, 504) AND coalesce(attempts, 0) < 3 THEN 'outstanding'
+                    ELSE 'dead' END AS state
+        FROM asked LEFT JOIN seen USING (text, role))
+    SELECT conv_id || '-' || turn AS request_id, state, attempts, last_status, best AS translated, state = 'dead' AS dead,
+           CASE WHEN state = 'outstanding' THEN n_requests END AS n_requests,
+           CASE WHEN state = 'outstanding' THEN attempts + 1 END AS next_attempt
+    FROM turns JOIN states USING (text, role)"""
+
+
+def stream_refresh() -> str:
+    def batch(number: int, corpus: str, source: str) -> str:
+        return f"""
+            SELECT query_id, rank::INTEGER AS rank, key, similarity, {source} AS source, {number}::INTEGER AS corpus_version, {number}::INTEGER AS records_version
+            FROM (SELECT q.vec_id AS query_id, c.vec_id AS key,
+                         round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS similarity,
+                         row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) DESC, c.vec_id) AS rank
+                  FROM embeddings q CROSS JOIN {corpus} c WHERE q.vec_id % 2 = {number} QUALIFY rank <= 5)
+            LEFT JOIN documents ON doc_id = key"""
+
+    even = "(SELECT * FROM embeddings WHERE label % 2 = 0)"
+    return f"{batch(0, even, repr('old ') + ' || source')} UNION ALL {batch(1, 'embeddings', 'source')}"
+
+
+TOKEN = r"""^["''“(\[]*([\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*)(\.?)["''”)\],;:!?]*$"""
+ABBREVIATIONS = rf"""
+    WITH flat AS (SELECT string_split(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS t FROM documents),
+    each AS (SELECT unnest(t) AS token, unnest(list_append(t[2:], '')) AS next FROM flat),
+    parts AS (
+        SELECT lower(regexp_extract(token, '{TOKEN}', 1)) AS word, regexp_extract(token, '{TOKEN}', 2) = '.' AS stop,
+               regexp_matches(next, '^[\p{{Ll}}\p{{Nd}}]') AS goes_on
+        FROM each)
+    SELECT word, count(*) AS places, count(*) FILTER (stop) AS stops, count(*) FILTER (stop AND goes_on) AS going_on
+    FROM parts WHERE word <> '' AND length(word) <= 6 GROUP BY word"""
+
+
 def shown(column: str) -> str:
     value = f"{column}::VARCHAR"
     return f"CASE WHEN length({value}) > 80 THEN left({value}, 77) || '...' ELSE {value} END AS {column}"
@@ -290,6 +379,11 @@ def oracles() -> dict[str, str]:
                 SELECT doc_id::VARCHAR AS doc_id, {flattened("text")} AS text, lang, trim(source) AS source
                 FROM documents)
             WHERE length(text) > 20""",
+        "csv_split_scan": f"""
+            SELECT * FROM (
+                SELECT doc_id::VARCHAR AS doc_id, {flattened("text")} AS text, lang, trim(source) AS source
+                FROM documents)
+            WHERE length(text) > 20""",
         "csv_plain_scan": """
             SELECT * FROM (
                 SELECT p_partkey::VARCHAR AS p_partkey, trim(p_name) AS p_name, p_brand, trim(p_type) AS p_type
@@ -299,6 +393,27 @@ def oracles() -> dict[str, str]:
         "table_statistics": part_statistics(),
         "compact_table": """
             SELECT *, 'p_brand' AS partitioned_by, 'true' AS optimize, true AS measured FROM part""",
+        "table_versions": """
+            SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, NULL::INTEGER AS p_area, 0 AS version, false AS is_current
+            FROM part
+            UNION ALL SELECT p_partkey, p_name, p_brand, NULL, p_size, p_retailprice, p_size * 2, 1, true FROM part WHERE p_size > 10""",
+        "table_compaction": """
+            WITH sizes AS (
+                SELECT p_brand, count(*) FILTER (p_size > 10) AS large, count(*) FILTER (p_size <= 10) AS small FROM part GROUP BY p_brand)
+            SELECT part.*, (CASE WHEN small > 0 THEN 2 ELSE 1 END)::BIGINT AS files, 1::BIGINT AS largest_kept,
+                   'p_brand' AS partitioned_by, 'catalog' AS owner
+            FROM part JOIN sizes USING (p_brand)""",
+        "column_sketches": sketch_columns(),
+        "etl_sections": f"""
+            WITH kept AS (
+                SELECT lang AS Chapter, trim(source) AS Chapter_name, NULL::VARCHAR AS Chapter_subtype, doc_id::VARCHAR AS Section,
+                       trim(source) AS Section_name, {flattened("text")} AS Description
+                FROM documents WHERE length({flattened("text")}) > 20)
+            SELECT *, count(*) OVER (PARTITION BY Chapter_name) AS in_chapter, count(*) OVER () AS loaded FROM kept""",
+        "etl_incidents": """
+            WITH kept AS (SELECT trim(p_type) AS offense_type FROM part WHERE length(trim(p_name)) > 5)
+            SELECT offense_type, count(*) AS "count", (SELECT count(*) FROM kept) AS loaded FROM kept GROUP BY offense_type""",
+        "index_update": index_update(),
         "table_preview": f"""
             SELECT {", ".join(shown(c) for c in ("doc_id", "text", "lang", "source", "n_chars"))}
             FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 10)""",
@@ -322,7 +437,7 @@ def oracles() -> dict[str, str]:
             FROM embeddings JOIN first USING (label)""",
         **{f"topk_cosine_k{k}": topk(k) for k in (3, 5, 7, 10)},
         **{f"topk_cosine_k5_{way}": topk(5) for way in ("queries", "corpus", "waves")},
-        "sparse_retrieval_k5_waves": sparse_retrieval(5),
+        **{f"sparse_retrieval_k5_{way}": sparse_retrieval(5) for way in ("waves", "term_join", "large_vocabulary")},
         "topk_per_request": f"""
             WITH {matches(10)} SELECT query_id, rank, key, similarity FROM matches WHERE rank <= query_id % 8 + 3""",
         "rejected_requests": """
@@ -376,6 +491,21 @@ def oracles() -> dict[str, str]:
         "chunk_900": f"""
             WITH {paragraph_chunks_of("documents", "doc_id")}
             SELECT doc_id, chunk_no::INTEGER AS chunk_no, chunk FROM chunks""",
+        "chunk_120_hard": f"""
+            WITH {paragraph_chunks_of("documents", "doc_id", 120, hard=True)}
+            SELECT doc_id, chunk_no::INTEGER AS chunk_no, chunk FROM chunks""",
+        "abbreviation_counts": ABBREVIATIONS,
+        "translated_answers": f"""
+            WITH routed AS (SELECT * FROM documents WHERE lang <> 'es' AND {stripped("text")} <> ''),
+            {paragraph_chunks_of("routed", "doc_id")},
+            joined AS (
+                SELECT doc_id, string_agg(CASE WHEN chunk_no % 3 = 0 THEN '[' || chunk || ']' ELSE chunk END, chr(10) ORDER BY chunk_no) AS rejoined,
+                       count(*) FILTER (chunk_no % 3 > 0) AS n
+                FROM chunks GROUP BY doc_id)
+            SELECT doc_id, coalesce(rejoined, text) AS translated, coalesce(n, 0) AS n_untranslated
+            FROM documents LEFT JOIN joined USING (doc_id)""",
+        "request_ledger": LEDGER,
+        "stream_refresh": stream_refresh(),
         "chunk_rejoin": f"""
             WITH {paragraph_chunks_of("documents", "doc_id")}
             SELECT doc_id, string_agg('[' || chunk || ']', chr(10) ORDER BY chunk_no) AS text FROM chunks GROUP BY doc_id""",
@@ -433,8 +563,11 @@ def oracles() -> dict[str, str]:
                    coalesce(json_extract_string(props, '$.transcript'), '') AS transcript,
                    coalesce(json_array_length(props, '$.audios'), 0)::INTEGER AS n_audios
             FROM events""",
-        "lang_detect": f"""
-            WITH {detection("conversations", "conv_id, turn")} SELECT conv_id, turn, detected FROM detected""",
+        **{
+            name: f"""
+            WITH {detection("conversations", "conv_id, turn")} SELECT conv_id, turn, detected FROM detected"""
+            for name in ("lang_detect", "lang_detect_stored")
+        },
         "lang_score": f"""
             {SCORES} SELECT *, (score * 100)::INTEGER AS composite, (score * 100)::INTEGER AS language_detection
             FROM scores""",

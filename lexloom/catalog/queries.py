@@ -12,14 +12,30 @@ from pyspark.sql import functions as F
 from lexloom.functions import languages as lang
 from lexloom.functions import responses, text, vectors
 from lexloom.functions.hints import hint_block_column
-from lexloom.operators import chunking, clean, context, embed, language, profile, requests, retrieval, sparse
+from lexloom.operators import (
+    chunking,
+    clean,
+    context,
+    embed,
+    language,
+    ledger,
+    profile,
+    requests,
+    retrieval,
+    sentences,
+    sketches,
+    sparse,
+    termjoin,
+)
 from lexloom.operators.blocks import Limits, Matches
-from lexloom.plans.guidance import answers, guidance
-from lexloom.plans.index import build_index
-from lexloom.session import shared_dir, spread_small_input
-from lexloom.sources import csv, tables
+from lexloom.plans.etl import load_incidents, load_sections
+from lexloom.plans.guidance import answers, apply_translations, guidance
+from lexloom.plans.index import build_index, update_index
+from lexloom.session import shared_dir, spread_small_input, written
+from lexloom.sources import csv, csvparts, tables
 from lexloom.sources.vectors import read_embedding_table
-from lexloom.streaming.retrieval import stream_guidance, stream_topk
+from lexloom.sources.versions import VersionedTable
+from lexloom.streaming.retrieval import BatchLog, serve_records, stream_guidance, stream_topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
@@ -30,6 +46,9 @@ PROFILE_LANGUAGES = ("de", "en", "es", "fr")
 LANGUAGE_NAMES = {"en": "English", "fr": "Hindi", "de": "Tamil", "es": "Marathi"}
 TARGET_LOCALES = {"en": "hi-IN", "fr": "en-IN", "de": "en-IN", "es": "mr-IN"}
 
+#: Statuses of the attempts of a call, by the way it goes.
+LEDGER_WAYS = ((), (500, 200), (500, 503, 502), (400,), (200, 200), (429,), (200,), (200, 500))
+
 
 def query(run: Query) -> Query:
     REGISTERED[run.__name__] = run
@@ -80,6 +99,16 @@ def csv_quoted_scan(spark, folder):
     return clean.clean_text_rows(raw, "text", longer_than=20, trim=("source",), flatten=True)
 
 
+@query
+def csv_split_scan(spark, folder):
+    """The same rows from files that are read in ranges of a megabyte, whose borders fall into records."""
+    path = shared_dir(spark, "csv")
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    csv.write_csv(documents.toDF(" doc__id", "text ", "lang", "source_"), path)
+    raw = clean.normalise_headers(csvparts.read_quoted_csv_in_parts(spark, path, split_bytes=1 << 20))
+    return clean.clean_text_rows(raw, "text", longer_than=20, trim=("source",), flatten=True)
+
+
 @query
 def csv_plain_scan(spark, folder):
     path = shared_dir(spark, "csv")
@@ -127,6 +156,108 @@ def compact_table(spark, folder):
     )
 
 
+@query
+def table_versions(spark, folder):
+    """Two versions with different columns side by side, after a third write whose check failed."""
+    parts = VersionedTable(spark, shared_dir(spark, "versions"))
+    part = table(spark, folder, "part")
+    first = parts.write(part).number
+    changed = part.where("p_size > 10").drop("p_type").withColumn("p_area", F.col("p_size") * 2)
+    second = parts.write(changed, ("p_brand",)).number
+
+    def refuse(figures: dict) -> None:
+        raise ValueError(f"{figures['rows']} rows")
+
+    try:
+        parts.write(part.limit(1), check=refuse)
+    except ValueError:
+        pass
+    both = parts.read(first).withColumn("version", F.lit(first)).unionByName(
+        parts.read(second).withColumn("version", F.lit(second)), allowMissingColumns=True
+    )
+    return both.withColumn("is_current", F.col("version") == parts.current())
+
+
+@query
+def table_compaction(spark, folder):
+    """Every partition has one large file and two small ones; the small ones are merged, the large ones stay."""
+    parts = VersionedTable(spark, shared_dir(spark, "versions"))
+    part = table(spark, folder, "part")
+    large, small = part.where("p_size > 10"), (part.where("p_size <= 5"), part.where("p_size between 6 and 10"))
+    parts.write(large.repartition("p_brand"), ("p_brand",), {"owner": "catalog"})
+    for rows in small:
+        parts.append(rows.repartition("p_brand"))
+    before = parts.files().select("file", "p_brand", "file_bytes")
+    largest = before.groupBy("p_brand").agg(F.max_by("file", "file_bytes").alias("file"), F.max("file_bytes").alias("most"))
+    most = largest.agg(F.min("most"), F.max("most")).first()
+    done = parts.compact(target_bytes=int(most[1] * 1.5), small_below=most[0] / (most[1] * 1.5))
+    after = parts.files().select("file", "p_brand")
+    kept = largest.join(after.select("file"), "file", "left_semi").groupBy("p_brand").agg(F.count("*").alias("largest_kept"))
+    sums = after.groupBy("p_brand").agg(F.count("*").alias("files"))
+    checked = sums.join(kept, "p_brand").select("p_brand", "files", "largest_kept")
+    return parts.read(done.number).join(checked, "p_brand").withColumns(
+        {"partitioned_by": F.lit(",".join(done.partition_by)), "owner": F.lit(done.properties["owner"])}
+    )
+
+
+@query
+def column_sketches(spark, folder):
+    """Sketches of every source's documents, merged: counts, and whether the estimates are as close as they should be."""
+    documents = table(spark, folder, "documents")
+    parts = written(sketches.column_sketches(documents, by=("source",)), "sketches")
+    merged = sketches.merge_sketches(parts)
+    names = [name for name in documents.columns if name != "source"]
+    exact = documents.agg(*[F.count_distinct(name).alias(name) for name in names])
+    listed = F.array(*[F.struct(F.lit(name).alias("column"), F.col(name).alias("distinct_exact")) for name in names])
+    middle = merged.select("column", F.kll_sketch_get_quantile_double("quantile_sketch", F.lit(0.5)).alias("middle")).where(
+        F.col("quantile_sketch").isNotNull()
+    )
+    middles = {r["column"]: r["middle"] for r in middle.collect()}  # one number a numeric column
+    below = documents.agg(*[F.avg((F.col(name) <= value).cast("double")).alias(name) for name, value in middles.items()])
+    ranks = below.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), F.col(n).alias("rank")) for n in middles])))
+    joined = merged.join(exact.select(F.inline(listed)), "column").join(ranks, "column", "left")
+    close = F.abs(F.hll_sketch_estimate("distinct_sketch") - F.col("distinct_exact")) <= 0.04 * F.col("distinct_exact")
+    return joined.select(
+        "column",
+        "rows",
+        "nulls",
+        "bytes",
+        F.when(F.col("number"), F.col("low")).alias("low"),
+        F.when(F.col("number"), F.col("high")).alias("high"),
+        "distinct_exact",
+        close.alias("distinct_close"),
+        (F.abs(F.col("rank") - 0.5) <= 0.02).alias("median_close"),
+    )
+
+
+@query
+def etl_sections(spark, folder):
+    """Quoted CSV to a table, as one job: the rows of the table with the count of their group."""
+    path, schema = shared_dir(spark, "csv"), f"lexloom_{uuid.uuid4().hex[:12]}"
+    documents = table(spark, folder, "documents")
+    sections = documents.select(
+        F.col("lang").alias("Chapter "), F.col("source").alias("Chapter__name"), F.lit(None).cast("string").alias("Chapter_subtype"),
+        F.col("doc_id").cast("string").alias("Section"), F.concat(F.lit(" "), "source").alias("Section _name"), F.col("text").alias("Description"),
+    )
+    csv.write_csv(sections, path)
+    tables.ensure_schema(spark, schema, shared_dir(spark, "schema"))
+    loaded = load_sections(spark, path, f"{schema}.sections")
+    counted = loaded.profile.withColumnRenamed("sections", "in_chapter")
+    rows = spark.table(loaded.table).join(F.broadcast(counted), "Chapter_name")
+    return rows.withColumn("loaded", F.lit(loaded.rows).cast("long"))
+
+
+@query
+def etl_incidents(spark, folder):
+    """Plain CSV to a table, as one job: the group counts of the table."""
+    path, schema = shared_dir(spark, "csv"), f"lexloom_{uuid.uuid4().hex[:12]}"
+    part = table(spark, folder, "part")
+    csv.write_csv(part.select(F.col("p_name").alias("incident_description"), F.col("p_type").alias("offense_type")), path)
+    tables.ensure_schema(spark, schema, shared_dir(spark, "schema"))
+    loaded = load_incidents(spark, path, f"{schema}.incidents")
+    return loaded.profile.withColumn("loaded", F.lit(loaded.rows).cast("long"))
+
+
 @query
 def table_preview(spark, folder):
     return profile.table_preview(table(spark, folder, "documents"), "doc_id", n=10, width=80)
@@ -145,6 +276,27 @@ def index_build(spark, folder):
     )
 
 
+@query
+def index_update(spark, folder):
+    """An index of an earlier state of the documents, brought up to date: the rows of a full build, and what had changed."""
+    path = shared_dir(spark, "embeddings")
+    documents = table(spark, folder, "documents")
+    earlier = documents.where("doc_id % 11 <> 3").withColumns(
+        {
+            "text": F.when(F.col("doc_id") % 7 == 1, F.concat("text", F.lit(" earlier"))).otherwise(F.col("text")),
+            "lang": F.when(F.col("doc_id") % 13 == 2, F.lit("xx")).otherwise(F.col("lang")),
+        }
+    )
+    gone = documents.where("doc_id % 17 = 5").withColumn("doc_id", -F.col("doc_id"))
+    build = lambda rows: update_index(rows, path, _load_letter_model, "doc_id", "source", "text")
+    build(earlier.unionByName(gone))
+    figures = build(documents)
+    counts = [F.lit(figures[name]).cast("long").alias(f"n_{name}") for name in ("new", "changed", "edited", "gone", "same", "embedded")]
+    return read_embedding_table(spark, path).select(
+        "doc_id", "lang", F.size("embedding").alias("dimension"), F.round(F.get("embedding", F.lit(4)).cast("double"), 4).alias("fifth_element"), *counts
+    )
+
+
 # Profiles
 
 
@@ -350,6 +502,19 @@ def sparse_retrieval_k5(spark, folder):
     ).rows
 
 
+@query
+def sparse_retrieval_k5_term_join(spark, folder):
+    asked, documents = table(spark, folder, "benchmark"), table(spark, folder, "documents")
+    return termjoin.topk_by_term_join(asked, documents, 5, query_id="item_id", key="doc_id").rows
+
+
+@query
+def sparse_retrieval_k5_large_vocabulary(spark, folder):
+    """Terms are weighed by a join, as for a vocabulary that is too large to broadcast."""
+    asked, documents = table(spark, folder, "benchmark"), table(spark, folder, "documents")
+    return sparse.topk_by_terms(asked, documents, 5, query_id="item_id", key="doc_id", vocabulary_bytes=0).rows
+
+
 # Chunks
 
 
@@ -366,6 +531,18 @@ def chunk_rejoin(spark, folder):
     return chunking.join_chunks(chunks, "doc_id")
 
 
+@query
+def chunk_120_hard(spark, folder):
+    """No chunk is longer than 120 characters: sentences beyond that are cut."""
+    documents = spread_small_input(table(spark, folder, "documents").select("doc_id", "text"))
+    return chunking.explode_chunks(documents, text.paragraph_chunks(F.col("text"), 120, hard=True), "doc_id")
+
+
+@query
+def abbreviation_counts(spark, folder):
+    return sentences.abbreviation_counts(table(spark, folder, "documents"), "text")
+
+
 def _first_sentence_chunks(spark: SparkSession, folder: str, n: int) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     chunked = spread_small_input(documents).select(
@@ -522,6 +699,56 @@ def guidance_answers(spark, folder):
     return answers(asked, responded).select("request_id", "resolved", "answer", "status")
 
 
+@query
+def translated_answers(spark, folder):
+    """Documents sent for translation in chunks of which every third is not answered, put together again."""
+    documents = table(spark, folder, "documents")
+    source = lang.locale_code(by_lang(LANGUAGE_NAMES))
+    sent = written(requests.translation_requests(documents, "doc_id", "text", source, by_lang(TARGET_LOCALES)), "sent")
+    translation = F.to_json(F.struct(F.concat(F.lit("["), "payload.input", F.lit("]")).alias("translated_text")))
+    answered = sent.select(
+        "doc_id", "chunk_no", F.when(F.col("chunk_no") % 3 == 1, F.lit("{}")).otherwise(translation).alias("response")
+    ).where("chunk_no % 3 < 2")
+    final = apply_translations(documents.select("doc_id", "text"), "doc_id", "text", sent, answered)
+    return final.select("doc_id", "translated", "n_untranslated")
+
+
+@query
+def request_ledger(spark, folder):
+    """Turns as calls that come back in eight ways: not at all, late, failed, given up, twice, busy, empty, or good and then failed."""
+    turns = table(spark, folder, "conversations").withColumn("way", (F.col("conv_id") * 31 + F.col("turn")) % 8)
+    asked = turns.select(
+        F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.struct(F.col("text").alias("input"), "role").alias("payload"), "conv_id", "way"
+    )
+    asked = ledger.keyed(asked)
+    statuses = F.get(F.array(*[F.array(*map(F.lit, codes)).cast("array<int>") for codes in LEDGER_WAYS]), F.col("way").cast("int"))
+    tried = asked.select(ledger.REQUEST_KEY, "payload", "conv_id", "way", F.posexplode(statuses).alias("pos", "status"))
+    body = F.to_json(F.struct(F.concat("payload.input", F.lit(" #"), F.col("pos").cast("string")).alias("translated_text")))
+    responses_ = tried.select(
+        ledger.REQUEST_KEY,
+        "status",
+        (F.col("pos") + 1).alias("attempt"),
+        (F.col("conv_id") * 100 + F.col("pos")).alias("received"),
+        F.when(F.col("way") == 6, F.lit("{}")).otherwise(body).alias("response"),
+    )
+    no_text = F.lit(None).cast("string")
+    states = ledger.call_states(asked, responses_, responses.translated_text(F.col("response"), no_text).isNotNull())
+    states = written(states, "call-states")
+    given_up = ledger.dead_letters(asked, states).select("request_id", F.lit(True).alias("dead"))
+    waiting = ledger.to_send(asked, states).select(ledger.REQUEST_KEY, "n_requests", F.col("attempt").alias("next_attempt"))
+    served = ledger.responded(asked, states).join(given_up, "request_id", "left").join(waiting, ledger.REQUEST_KEY, "left")
+    return served.select(
+        "request_id",
+        "state",
+        "attempts",
+        "last_status",
+        responses.translated_text(F.col("response"), no_text).alias("translated"),
+        F.coalesce("dead", F.lit(False)).alias("dead"),
+        "n_requests",
+        "next_attempt",
+    )
+
+
 @query
 def response_defaults(spark, folder):
     props = F.col("props")
@@ -547,6 +774,18 @@ def lang_detect(spark, folder):
     return language.detect_language(turns, "conv_id", "text", _profile(spark, folder), keep=("turn",))
 
 
+@query
+def lang_detect_stored(spark, folder):
+    """Counts of two batches, one profile made of both, kept and loaded."""
+    documents, folder_of_profiles = table(spark, folder, "documents"), shared_dir(spark, "profiles")
+    store = language.ProfileStore(spark, folder_of_profiles)
+    for number in (0, 1):
+        store.learn(f"half-{number}", documents.where(F.pmod("doc_id", F.lit(2)) == number), "text", "lang", PROFILE_LANGUAGES)
+    store.build()
+    loaded = language.ProfileStore(spark, folder_of_profiles).load()
+    return language.detect_language(table(spark, folder, "conversations"), "conv_id", "text", loaded, keep=("turn",))
+
+
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
     # Every document is judged by a profile of the other half, which has not seen it.
     documents, half = table(spark, folder, "documents"), F.pmod("doc_id", F.lit(2))
@@ -630,3 +869,34 @@ def stream_chat_requests(spark, folder):
     )
     running.awaitTermination()
     return context.message_rows(spark.read.parquet(out).drop("batch_id"))
+
+
+@query
+def stream_refresh(spark, folder):
+    """Two batches of a lasting stream, with corpus and records refreshed in between."""
+    embeddings, documents = table(spark, folder, "embeddings"), table(spark, folder, "documents").select("doc_id", "source")
+    corpus, records = (VersionedTable(spark, shared_dir(spark, name)) for name in ("stream-corpus", "stream-records"))
+    corpus.write(embeddings.where("label % 2 = 0").withColumnRenamed("vec_id", "doc_id"))
+    records.write(documents.withColumn("source", F.concat(F.lit("old "), "source")))
+    arriving, out = shared_dir(spark, "stream-in"), shared_dir(spark, "stream-out")
+    embeddings.where("vec_id % 2 = 0").write.parquet(arriving)
+    running = serve_records(
+        spark.readStream.schema(embeddings.schema).parquet(arriving),
+        corpus,
+        records,
+        out,
+        shared_dir(spark, "stream-state"),
+        key="doc_id",
+        query_id="vec_id",
+        every="1 second",
+    )
+    try:
+        running.processAllAvailable()
+        corpus.write(embeddings.withColumnRenamed("vec_id", "doc_id"))
+        records.write(documents)
+        embeddings.where("vec_id % 2 = 1").write.mode("append").parquet(arriving)
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    found = BatchLog(spark, out).results()
+    return found.select("query_id", "rank", "key", "similarity", "source", "corpus_version", "records_version")

@@ -105,34 +105,60 @@ def pack(pieces: Column, joiner: str, limit: int) -> Column:
     )
 
 
-def paragraph_chunks(text: Column, limit: int = 900) -> Column:
+#: Marks that combine with the character before them, and the joiner that also binds the one after it.
+_BOUND = r"(?![\p{M}\x{200D}])(?<!\x{200D})"
+
+
+def hard_split(text: Column, limit: int) -> Column:
+    """Pieces of at most ``limit`` characters that together are the text.
+
+    A character is not parted from the marks that combine with it, unless they alone go beyond the limit.
+    """
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{limit}}}{_BOUND}|.{{1,{limit}}}"), F.lit(0))
+
+
+def _within(chunks: Column, limit: int) -> Column:
+    """Chunks with those beyond the limit cut up: each of these is one sentence, as :func:`pack` adds nothing to it."""
+    return F.flatten(
+        F.transform(chunks, lambda chunk: F.when(F.length(chunk) > limit, hard_split(chunk, limit)).otherwise(F.array(chunk)))
+    )
+
+
+def paragraph_chunks(text: Column, limit: int = 900, hard: bool = False, ends: str | None = None) -> Column:
     """Ordered chunks of whole lines; a line beyond ``limit`` is packed by sentence.
 
-    Sentences end at ``". "``. The pieces of a long line never share a chunk
-    with their neighbours, and one unbroken sentence is never cut, so the limit
-    binds only where there is a place to split.
+    Sentences end at ``". "``, or where the pattern ``ends`` matches (see
+    :func:`lexloom.operators.sentences.end_pattern`). The pieces of a long line never share a chunk
+    with their neighbours. One unbroken sentence is never cut, so the limit
+    binds only where there is a place to split; with ``hard`` it is cut too, and no chunk goes beyond the limit.
     """
 
     def add_line(state: Column, line: Column) -> Column:
-        packed = pack(F.split(line, r"\. "), ". ", limit)
+        packed = pack(F.split(line, ends), " ", limit) if ends else pack(F.split(line, r"\. "), ". ", limit)
         return F.when(
             F.length(line) > limit, _finish(state, F.concat(_opened(state), packed), F.lit(""))
         ).otherwise(_add_piece(state, line, "\n", limit))
 
     chunks = F.aggregate(F.split(text, "\n"), _no_chunks(), add_line, _all_chunks)
+    if hard:
+        chunks = _within(chunks, limit)
     return F.filter(F.transform(chunks, strip), lambda chunk: chunk != "")
 
 
-def sentence_chunks(text: Column, limit: int = 480) -> Column:
+def sentence_chunks(text: Column, limit: int = 480, hard: bool = False, ends: str | None = None) -> Column:
     """Ordered chunks of whole sentences, split at every full stop.
 
     The closing full stop is added after the length test, so a chunk may reach
-    ``limit + 1`` characters.
+    ``limit + 1`` characters. With the pattern ``ends`` sentences end where it matches and keep their own signs. With
+    ``hard`` no chunk goes beyond the limit: room is left for the full stop, and a sentence without a place to split is cut.
     """
-    sentences = F.filter(
-        F.transform(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), r"\."), strip),
-        lambda sentence: sentence != "",
-    )
+    flat = F.replace(text, F.lit("\n"), F.lit(" "))
+    sentences = F.filter(F.transform(F.split(flat, ends or r"\."), strip), lambda sentence: sentence != "")
+    if ends:
+        chunks = pack(sentences, " ", limit)
+        return _within(chunks, limit) if hard else chunks
+    if hard:
+        return _within(F.transform(pack(sentences, ". ", limit - 1), lambda chunk: F.concat(chunk, F.lit("."))), limit)
     return F.transform(pack(sentences, ". ", limit), lambda chunk: F.concat(chunk, F.lit(".")))
 
 

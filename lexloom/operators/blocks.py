@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexloom.session import FULL_SPLIT
+from lexloom.session import FULL_SPLIT, written
 
 TILE_ROWS = 2048
 
@@ -294,27 +294,31 @@ def _rank(candidates: DataFrame, k: int) -> DataFrame:
 def _waves(search: _Search, queries: Side, corpus: Side, sizes, schema: T.StructType, limits: Limits) -> DataFrame:
     """Partial answers when neither side fits: slices of the smaller side are broadcast in turn.
 
-    The larger side stays where it lies and is read once per slice; only the k best
-    rows per query leave a task.
+    Both sides are written first. The larger one is read once per slice, and only the k best rows per query leave
+    a task. A slice's answers are written and its broadcast freed before the next is sent.
     """
     slice_queries = sizes["queries"] <= sizes["corpus"]
     cut, moving = (queries, corpus) if slice_queries else (corpus, queries)
     size = sizes["queries" if slice_queries else "corpus"]
     context = cut.rows.sparkSession.sparkContext
     n_waves = max(1, math.ceil(2 * size / limits.broadcast_bytes))
+    # Both sides are computed once; every slice reads them from files.
+    columns = search.kernel.columns
+    cut_rows = written(cut.rows.select(cut.key, *columns), "wave-slices")
+    moving = replace(moving, rows=written(moving.rows.select(moving.key, *columns), "wave-rows"))
     parts = []
     for number in range(n_waves):
-        own = cut.rows.where(F.pmod(F.xxhash64(cut.key), F.lit(n_waves)) == number)
-        collected = own.select(cut.key, *search.kernel.columns).toArrow()
+        own = cut_rows.where(F.pmod(F.xxhash64(cut.key), F.lit(n_waves)) == number)
+        collected = own.toArrow()
         if not collected.num_rows:
             continue
         if n_waves > 1 and collected.nbytes > 4 * limits.broadcast_bytes:
             raise ValueError(f"a slice of {collected.nbytes} bytes is too large to broadcast")
         held = context.broadcast(search.load([collected], cut.key))
         work = search.all_queries if slice_queries else search.each_query
-        parts.append(
-            _stream(moving, search.kernel.columns, lambda tables, held=held, work=work: work(held.value, tables), schema, None)
-        )
+        found = _stream(moving, columns, lambda tables, held=held, work=work: work(held.value, tables), schema, None)
+        parts.append(written(found, "wave-matches"))
+        held.destroy()  # the slice's answers are written: no task asks for it again
     if not parts:
         return cut.rows.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionAll, parts)

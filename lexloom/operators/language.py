@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions.languages import UNKNOWN, iso_code, script_language
-from lexloom.session import shared_dir, spread_small_input
+from lexloom.session import spread_small_input, written
+from lexloom.sources.versions import VersionedTable
 
 # Log-probabilities are kept as whole numbers of this size, so that sums do not
 # depend on the order in which partial sums meet.
@@ -40,30 +43,34 @@ def _weight(language: str) -> str:
     return f"log_{language}"
 
 
-def train_profile(
-    labelled: DataFrame, text: str, label: str, languages: Sequence[str], top_n: int = 300
-) -> Profile:
-    """Learn the most frequent trigrams of each of the given languages.
-
-    The counts (one row per trigram, one column per language) are written once to
-    the shared folder; the profile keeps every trigram that is among the
-    ``top_n`` of some language, equal counts resolved by trigram. Rows with
-    another label are not used.
-    """
+def _checked(languages: Sequence[str]) -> tuple[str, ...]:
     languages = tuple(sorted(languages))
     if not 0 < len(languages) <= MAX_LANGUAGES:
         raise ValueError(f"between 1 and {MAX_LANGUAGES} languages expected, got {len(languages)}")
-    spark = labelled.sparkSession
-    path = shared_dir(spark, "trigram-counts")
+    return languages
+
+
+def count_trigrams(labelled: DataFrame, text: str, label: str, languages: Sequence[str]) -> DataFrame:
+    """``gram`` and its number of occurrences in each of the given languages. Rows with another label are not used.
+
+    Counts of several batches add up: see :func:`merge_counts`.
+    """
+    languages = _checked(languages)
     used = labelled.select(label, text).where(F.col(label).isin(*languages))
-    (
-        spread_small_input(used)
-        .select(F.col(label).alias("language"), F.explode(trigrams(F.col(text))).alias("gram"))
-        .groupBy("gram")
-        .agg(*[F.count_if(F.col("language") == code).alias(code) for code in languages])
-        .write.parquet(path)
-    )
-    counts = spark.read.parquet(path)
+    grams = spread_small_input(used).select(F.col(label).alias("language"), F.explode(trigrams(F.col(text))).alias("gram"))
+    return grams.groupBy("gram").agg(*[F.count_if(F.col("language") == code).alias(code) for code in languages])
+
+
+def merge_counts(counts: DataFrame) -> DataFrame:
+    """One row per trigram from the counts of any number of batches, which need not know the same languages."""
+    codes = [name for name in counts.columns if name != "gram"]
+    return counts.groupBy("gram").agg(*[F.sum(F.coalesce(code, F.lit(0))).alias(code) for code in codes])
+
+
+def profile_of_counts(counts: DataFrame, top_n: int = 300) -> Profile:
+    """The profile that trigram counts give: every trigram that is among the ``top_n`` of some language, equal
+    counts resolved by trigram. ``counts`` is read several times: pass a written table."""
+    languages = _checked([name for name in counts.columns if name != "gram"])
     each = F.array(*[F.struct(F.lit(code).alias("language"), F.col(code).alias("n")) for code in languages])
     long_ = counts.select("gram", F.explode(each).alias("c")).select("gram", "c.language", "c.n").where("n > 0")
     order = Window.partitionBy("language").orderBy(F.col("n").desc(), "gram")
@@ -81,6 +88,58 @@ def train_profile(
     return Profile(rows, languages)
 
 
+def train_profile(
+    labelled: DataFrame, text: str, label: str, languages: Sequence[str], top_n: int = 300
+) -> Profile:
+    """Learn the most frequent trigrams of each of the given languages.
+
+    The counts (one row per trigram, one column per language) are written once to the shared folder.
+    """
+    return profile_of_counts(written(count_trigrams(labelled, text, label, languages), "trigram-counts"), top_n)
+
+
+class ProfileStore:
+    """Trigram counts of batches and the profiles made of them, kept in ``folder``.
+
+    A batch that is learned again under its name takes the place of its former counts, so a repeated job does not
+    count twice. Profiles are versions: detection that began with one keeps it.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._profiles = VersionedTable(spark, f"{self.folder}/profiles")
+
+    def _batch(self, name: str) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.folder}/counts/{name}")
+
+    def learn(self, batch: str, labelled: DataFrame, text: str, label: str, languages: Sequence[str]) -> None:
+        """Count the trigrams of a batch and keep the counts; its texts are not needed again."""
+        if not re.fullmatch(r"[\w.-]+", batch):
+            raise ValueError(f"not a name for a batch: {batch!r}")
+        self._batch(batch).write(count_trigrams(labelled, text, label, languages))
+
+    def batches(self) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/counts")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+        return sorted(name for name in names if self._batch(name).current() is not None)
+
+    def build(self, top_n: int = 300) -> int:
+        """Make a profile of all batches' counts and keep it; the number of its version."""
+        counts = [self._batch(name).read() for name in self.batches()]
+        if not counts:
+            raise ValueError("nothing was learned yet")
+        merged = merge_counts(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), counts))
+        made = profile_of_counts(written(merged, "trigram-counts"), top_n)
+        properties = {"languages": ",".join(made.languages), "top_n": str(top_n)}
+        return self._profiles.write(made.rows, properties=properties).number
+
+    def load(self, version: int | None = None) -> Profile:
+        """A stored profile, the latest unless one is named; nothing is trained."""
+        held = self._profiles.version(version)
+        return Profile(self._profiles.read(held.number), tuple(held.properties["languages"].split(",")))
+
+
 def _gram_codes(text: str) -> np.ndarray:
     """Every trigram of a text as one number: three code points of 21 bits each."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)

@@ -20,7 +20,6 @@ from lexloom.session import shared_dir, spread_small_input
 SEPARATORS = r"[^\p{L}\p{M}]+"
 BROADCAST_BYTES = 64 << 20
 HOT_TERMS = 10_000
-HOT_TERM_BYTES = 256
 
 
 def tokens(text: Column, separators: str = SEPARATORS) -> Column:
@@ -134,17 +133,17 @@ def _weigh_in_place(counted: DataFrame, key: str, vocabulary: Vocabulary) -> Dat
 def _weigh_by_join(counted: DataFrame, key: str, vocabulary: Vocabulary, hot_terms: int) -> DataFrame:
     """Weigh against a vocabulary of any size by a join on the term.
 
-    The ``hot_terms`` most frequent terms of ordinary length are broadcast and
-    only the others shuffled, so that none of the terms every other text holds
-    gathers in one task.
+    The ``hot_terms`` most frequent terms are broadcast and only the others shuffled, so that none of the
+    terms every other text holds gathers in one task. A long term is broadcast as a digest, which bounds the
+    size of the set whatever the terms are.
     """
-    entries = counted.select(key, F.inline("counts"))
-    idf = vocabulary.rows.select("term", "idf")
-    short = vocabulary.rows.where(F.octet_length("term") <= HOT_TERM_BYTES)
-    hot = short.orderBy(F.col("df").desc(), "term").limit(hot_terms).select("term", "idf")
-    cold = idf.join(F.broadcast(hot.select("term")), "term", "left_anti")
-    rare = entries.join(F.broadcast(hot.select("term")), "term", "left_anti")
-    weighted = entries.join(F.broadcast(hot), "term").unionByName(rare.join(cold, "term"))
+    name = F.when(F.octet_length("term") > 64, F.sha2("term", 256)).otherwise(F.col("term"))
+    entries = counted.select(key, F.inline("counts")).withColumn("name", name)
+    terms = vocabulary.rows.withColumn("name", name)
+    hot = terms.orderBy(F.col("df").desc(), "term").limit(hot_terms).select("name", "idf")
+    cold = terms.join(F.broadcast(hot.select("name")), "name", "left_anti").select("term", "idf")
+    rare = entries.join(F.broadcast(hot.select("name")), "name", "left_anti")
+    weighted = entries.join(F.broadcast(hot), "name").drop("name").unionByName(rare.drop("name").join(cold, "term"))
     gathered = (
         weighted.select(key, "term", (F.col("tf") * F.col("idf")).alias("weight"))
         .groupBy(key)
@@ -196,11 +195,12 @@ def topk_by_terms(
     strategy: str = "auto",
     limits: Limits = Limits(),
     vocabulary: Vocabulary | None = None,
+    vocabulary_bytes: int = BROADCAST_BYTES,
 ) -> Matches:
     """The ``k`` documents of largest TF-IDF cosine for every query text.
 
-    Queries are weighted by the document vocabulary. Only documents that share a
-    weighted term with the query match.
+    Queries are weighted by the document vocabulary, which is broadcast up to ``vocabulary_bytes`` and joined
+    beyond. Only documents that share a weighted term with the query match.
     """
     vocabulary = vocabulary or build_vocabulary(documents, text, separators)
 
@@ -210,7 +210,7 @@ def topk_by_terms(
             length = df.agg(F.coalesce(F.sum(F.octet_length(body).cast("long")), F.lit(0))).first()[0]
             return 8 * length + 16 * n_rows
 
-        return Side(term_vectors(df, name, body, vocabulary, separators), name, df, bytes_for)
+        return Side(term_vectors(df, name, body, vocabulary, separators, vocabulary_bytes), name, df, bytes_for)
 
     return search(
         side(queries, query_id, query_text),

@@ -57,12 +57,33 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written once to the shared folder and read back: computed once however often they are used."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Steps that keep the partitions of the rows they are given.
+_IN_PLACE = frozenset({"Project", "Filter", "Generate", "SubqueryAlias"})
+_SCANS = frozenset({"LogicalRelation", "LogicalRDD", "LocalRelation", "Range"})
+
+
+def _is_bare_scan(df: DataFrame) -> bool:
+    """Whether the rows come from one scan without a shuffle, so that their partitions are known before anything runs."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in _IN_PLACE:
+        node = node.children().head()
+    return node.nodeName() in _SCANS
+
+
 def spread_small_input(df: DataFrame) -> DataFrame:
-    """Give text-heavy work one task per core when the input has fewer partitions than that.
+    """Give text-heavy work one task per core when a scan yields fewer partitions than that.
 
     A small table often arrives as one file that a single task would read and
-    then work through alone. Its rows are dealt out first. An input of at least one
-    partition per core keeps the partitions it has, whatever its size.
+    then work through alone. Its rows are dealt out first. A scan of at least one
+    partition per core keeps the partitions it has, whatever its size. Rows that come out of a
+    shuffle are left alone: how many partitions they have is known only once it has run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if _is_bare_scan(df) and df.rdd.getNumPartitions() < cores else df

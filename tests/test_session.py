@@ -32,3 +32,18 @@ def test_only_inputs_of_fewer_partitions_than_cores_are_dealt_out(spark, tmp_pat
 
     assert exchanges(session.spread_small_input(rows)) == 1
     assert exchanges(session.spread_small_input(spark.range(0, 1000, 1, 40))) == 0
+
+
+def test_nothing_runs_while_rows_are_spread(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id", "id % 7 AS g").coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    grouped = rows.groupBy("g").count()
+    scanned = rows.where("id > 5").selectExpr("id", "explode(array(1, 2)) AS x")
+    spark.sparkContext.setJobGroup("plan", "plan")
+    try:
+        assert session.spread_small_input(grouped) is grouped
+        assert session.spread_small_input(scanned) is not scanned
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plan")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
