@@ -30,7 +30,7 @@ def counted(columns, rows):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     database = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         database.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     result = REGISTERED[name](spark, FOLDER)
     cursor = database.execute(ORACLES[name])
@@ -52,8 +52,8 @@ def test_round_trip(spark):
     assert rows.count() == rows.where("round_trip and n_pieces = size(pieces)").count() == 200
 
 
-def test_all_ten_operators_are_registered():
-    assert {int(name[2:].split("_")[0]) for name in REGISTERED} == set(range(1, 11))
+def test_all_operators_are_registered():
+    assert {int(name[2:].split("_")[0]) for name in REGISTERED} == set(range(1, 14))
 
 
 def test_pipeline(spark):
