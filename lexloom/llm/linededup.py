@@ -1,207 +1,167 @@
-"""Line dedup on content-defined chunks of lines, with DataFrame functions only."""
+"""Line dedup on content-defined chunks of lines, with DataFrame functions only.
+
+A text is a row of elements: its filled lines, and each stretch of blank lines between them as one. A rolling hash over the hashes of
+two neighbouring elements goes along the text. Where that hash stands nowhere else in the table, or first stood in another
+place than its neighbour's did, is a boundary. What lies between two boundaries is a chunk: it depends on its own lines alone, so a passage
+gives the same chunks wherever it stands, and a chunk is as long as its first occurrence goes along with it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.storage import stored
 
-PRIME = 2**31 - 1
-BASE = 48271
+FILLED = r"[^\x20\x09-\x0D]"
 
 
-def rolling_hashes(lines: Column, window: int) -> Column:
-    """For each line, a polynomial of the hashes of it and the ``window - 1`` lines before it."""
-    hashes = F.transform(lines, lambda line: F.pmod(F.xxhash64(line), F.lit(PRIME)))
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
-    def at(_, i: Column) -> Column:
-        terms = [
-            F.pmod(F.coalesce(F.get(hashes_of, i - j), F.lit(0)) * F.lit(pow(BASE, j, PRIME)), F.lit(PRIME))
-            for j in range(window)
-        ]
-        return F.pmod(sum(terms[1:], terms[0]), F.lit(PRIME))
 
-    hashes_of = F.col("__hashes")
-    return hashes, F.transform(hashes_of, at)
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it stands in the expression."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _chunks(seed: int, one_in: int) -> Column:
-    """Multi-line chunks (first line from 0, lines, hash of the bytes) between the boundaries of one seed."""
-    last = F.size("__lines") - 1
-    ends = F.filter(
-        F.sequence(F.lit(0), last),
-        lambda i: (i == last) | (F.pmod(F.xxhash64(F.get("__rolling", i), F.lit(seed)), F.lit(one_in)) == 0),
-    )
-    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
-    spans = F.arrays_zip(starts.alias("first"), ends.alias("last"))
-    long_ = F.filter(spans, lambda s: s["last"] > s["first"])
-    body = lambda s: F.array_join(F.slice("__lines", s["first"] + 1, s["last"] - s["first"] + 1), "\n")
-    made = F.transform(
-        long_,
-        lambda s: F.struct(
-            s["first"].alias("first"),
-            (s["last"] - s["first"] + 1).alias("lines"),
-            F.xxhash64(body(s)).alias("hash"),
-            F.rlike(body(s), F.lit(r"[^\x20\x09-\x0D]")).alias("filled"),
+def _element_starts(lines: Column) -> Column:
+    """Places of the first lines of elements: filled lines, and blank ones that follow no blank line."""
+    return _bound(
+        F.transform(lines, lambda line: F.rlike(line, F.lit(FILLED))),
+        lambda filled: F.filter(
+            F.sequence(F.lit(0), F.size(filled) - 1),
+            lambda i: F.get(filled, i) | (i == 0) | F.get(filled, F.greatest(i - 1, F.lit(0))),
         ),
     )
-    return F.filter(made, lambda c: c["filled"])
-
-
-def line_dedup(
-    documents: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    window: int = 2,
-    one_in: int = 2,
-    seeds: int = 4,
-) -> DataFrame:
-    """Remove multi-line chunks that occurred before anywhere in the table.
-
-    A boundary follows a line if the rolling hash of the last ``window`` lines, hashed with a
-    seed, falls on one value in ``one_in``: boundaries depend on nearby lines only, so a passage is cut
-    alike wherever it stands. ``seeds`` such cuttings overlap, which leaves little of a passage's
-    edges uncovered. A chunk of two lines or more is a repeat if the first chunk of its hash, in the
-    order of key and place, holds the same bytes; every repeat is removed and the first
-    stays. A removed line thus always stands in an earlier place, and of each line one copy stays.
-
-    Returns the input's columns with the text that is left, and ``lines_removed`` (long). A text without a
-    removed line keeps its bytes. A null text stays null; an empty one, single lines and
-    blank chunks are never removed. Null keys come first in order. Rows with equal key and text
-    count as one document and get the same result. An empty table gives no rows. Columns of the
-    input that begin with two underscores are not supported.
-
-    Only hashes and places are shuffled to find repeats. The bytes of chunks whose hash repeats
-    follow, then each text meets its removed ranges once. A frequent chunk is joined to the one row
-    of its first place, which the adaptive skew join can split. What repeats has no bound, so none of it is
-    broadcast.
-    """
-    source = _source(documents, key, text)
-    hashes, rolling = rolling_hashes(F.col("__lines"), window)
-    cut = source.where(F.size("__lines") > 1).withColumn("__hashes", hashes).withColumn("__rolling", rolling)
-    chunks = F.array_distinct(F.flatten(F.array(*[_chunks(seed, one_in) for seed in range(seeds)])))
-    return _without_repeats(documents, key, text, source, cut.select("__key", "__hash", F.explode(chunks).alias("c")), apart=False)
 
 
-def _identity(text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+def _rolled(texts: DataFrame) -> DataFrame:
+    """``(key, hash, at, first, lines, rolled)``: every two neighbouring elements, with the hash of both.
 
+    ``at`` counts elements, ``first`` lines. No two blank stretches are neighbours, so one of the elements holds a word.
+    """
 
-def _source(documents: DataFrame, key: str, text: str) -> DataFrame:
-    return documents.select(
-        F.col(key).alias("__key"), _identity(text).alias("__hash"), F.split(F.col(text), "\n", -1).alias("__lines")
-    )
+    def pairs(starts: Column, ends: Column, hashes: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.size(starts) - 2),
+            lambda i: F.struct(
+                i.alias("at"),
+                F.get(starts, i).alias("first"),
+                (F.get(ends, i + 1) - F.get(starts, i)).alias("lines"),
+                F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)).alias("rolled"),
+            ),
+        )
+
+    def of_starts(lines: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines)))
+        hashes = lambda ends: F.zip_with(starts, ends, lambda a, b: F.xxhash64(F.slice(lines, a + 1, b - a)))
+        made = _bound(ends, lambda ends: _bound(hashes(ends), lambda hashes: pairs(starts, ends, hashes)))
+        none = F.array().cast("array<struct<at:int,first:int,lines:int,rolled:bigint>>")
+        return F.when(F.size(starts) > 1, made).otherwise(none)
+
+    found = _bound(_lines(F.col("text")), lambda lines: _bound(_element_starts(lines), lambda starts: of_starts(lines, starts)))
+    return texts.where(F.contains("text", F.lit("\n"))).select("key", "hash", F.inline(found))
 
 
-def _without_repeats(documents: DataFrame, key: str, text: str, source: DataFrame, spans: DataFrame, apart: bool) -> DataFrame:
-    """The documents without those spans ``c`` (first line, lines, hash) whose bytes stood in an earlier place.
+def _repeated_chunks(rolled: DataFrame) -> DataFrame:
+    """``(key, hash, first, stop, of_key, of_hash, of_first, of_stop)``: chunks (lines from ``first`` up to ``stop``) and where they first stood.
 
-    ``apart``: a span that overlaps the first one of its hash stays, and the lines inside a span have spans of
-    their own, so that its first and last line are all that it removes.
+    The first place of a hash is the least by key, text and place. Places that overlap it are no repeats of it.
     """
-    rows = spans.select(
-        "__key", "__hash", F.col("c.first").alias("first"), F.col("c.lines").alias("lines"), F.col("c.hash").alias("hash")
-    )
-    rows = stored(rows if apart else rows.distinct(), "chunks")
-    repeated = rows.groupBy("hash", "lines").agg(F.count("*").alias("n")).where("n > 1").select("hash", "lines")
-    rows = rows.join(stored(repeated, "chunks").hint("merge"), ["hash", "lines"])
-
-    own = rows.groupBy("__key", "__hash").agg(F.collect_set(F.struct("first", "lines", "hash")).alias("chunks"))
-    own = own.withColumnsRenamed({"__key": "__k", "__hash": "__h"}).hint("merge")
-    texts = source.join(own, _same("__key", "__hash", "__k", "__h"))
-    body = F.array_join(F.slice("__lines", F.col("c.first") + 1, F.col("c.lines")), "\n")
-    placed = texts.select("__key", "__hash", "__lines", F.explode("chunks").alias("c")).select(
-        F.struct("__key", "__hash", F.col("c.first").alias("first")).alias("place"),
-        F.col("c.lines").alias("lines"),
-        F.col("c.hash").alias("hash"),
-        body.alias("body"),
-    )
-    placed = stored(placed, "chunks")
-    earliest = placed.groupBy("hash", "lines").agg(F.min(F.struct("place", "body")).alias("e"))
-    earliest = stored(
-        earliest.select("hash", "lines", F.col("e.place").alias("earliest"), F.col("e.body").alias("bytes")), "chunks"
-    )
-    doomed = placed.join(earliest.hint("merge"), ["hash", "lines"]).where((F.col("body") == F.col("bytes")) & (F.col("place") != F.col("earliest")))
-    if apart:
-        one_text = _same("place.__key", "place.__hash", "earliest.__key", "earliest.__hash")
-        doomed = doomed.where(~one_text | (F.col("place.first") >= F.col("earliest.first") + F.col("lines")))
-    ranges = doomed.groupBy(F.col("place.__key").alias("__k"), F.col("place.__hash").alias("__h")).agg(
-        F.collect_set(F.struct(F.col("place.first").alias("first"), "lines")).alias("__ranges")
+    least = F.min(F.struct("key", "hash", "at", "first")).alias("of")
+    earliest = rolled.groupBy("rolled", "lines").agg(least, F.count("*").alias("n")).where("n > 1")
+    earliest = stored(earliest.select("rolled", "lines", *[F.col(f"of.{c}").alias(f"of_{c}") for c in ("key", "hash", "at", "first")]), "earliest")
+    met = rolled.join(earliest.hint("merge"), ["rolled", "lines"])
+    one_text = F.col("key").eqNullSafe(F.col("of_key")) & (F.col("hash") == F.col("of_hash"))
+    later = met.where(~one_text | (F.col("first") >= F.col("of_first") + F.col("lines")))
+    along = later.withColumn("shift", F.col("at") - F.col("of_at"))
+    in_step = Window.partitionBy("key", "hash", "of_key", "of_hash", "shift").orderBy("at")
+    along = along.withColumn("chunk", F.col("at") - F.dense_rank().over(in_step))
+    return along.groupBy("key", "hash", "of_key", "of_hash", "shift", "chunk").agg(
+        F.min("first").alias("first"),
+        F.max(F.col("first") + F.col("lines")).alias("stop"),
+        F.min("of_first").alias("of_first"),
+        F.max(F.col("of_first") + F.col("lines")).alias("of_stop"),
     )
-    ranges = stored(ranges, "ranges").hint("merge")
-
-    named = documents.withColumns({"__key": F.col(key), "__hash": _identity(text)})
-    joined = named.join(ranges, _same("__key", "__hash", "__k", "__h"), "left")
-    gone = lambda i: F.exists("__ranges", lambda r: (i >= r["first"]) & (i < r["first"] + r["lines"]))
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.filter(lines, lambda _, i: ~gone(i))
-    if apart:  # by a set of places, as there may be as many spans as lines
-        ends = F.flatten(F.transform("__ranges", lambda r: F.array(r["first"], r["first"] + r["lines"] - 1)))
-        left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), ends), lambda i: F.get(F.col("__all"), i))
-        joined = joined.withColumn("__all", F.when(F.col("__ranges").isNotNull(), lines))
-    hit = F.col("__ranges").isNotNull()
-    result = joined.withColumn("__left", F.when(hit, left))
-    return result.withColumns(
-        {
-            "lines_removed": F.when(hit, F.size(lines) - F.size("__left")).otherwise(F.lit(0)).cast("long"),
-            text: F.when(hit, F.array_join("__left", "\n")).otherwise(F.col(text)),
-        }
-    ).drop("__key", "__hash", "__k", "__h", "__ranges", "__left", "__all")
-
-
-def _units(lines: Column) -> tuple[Column, Column]:
-    """Spans (first line from 0, number of lines, hash) that tell which lines a repeated run covers.
-
-    A unit is two filled lines in a row, a filled line with the blank lines after it up to one of them, or a
-    blank line with those after it up to the next filled line. Any run of two lines or more with a filled
-    line is covered by units inside it. There are at most two units a line; only a stretch of m blank lines
-    takes m * m steps. Reads the places of the filled lines, the first value returned, from ``__filled``.
-    """
-    n = F.size(lines)
-    filled = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.rlike(F.get(lines, i), F.lit(r"[^\x20\x09-\x0D]")))
-    span = lambda first, size: F.struct(first.alias("first"), size.alias("lines"))
-    none = F.array().cast("array<struct<first:int,lines:int>>")
-
-    def between(before: Column, after: Column) -> Column:
-        """Units of two neighbouring filled lines and the blank ones between; -1 and n stand for none."""
-        blanks = F.when(after - before > 1, F.sequence(before + 1, after - 1)).otherwise(F.array().cast("array<int>"))
-        ahead = F.when(before >= 0, F.transform(blanks, lambda b: span(before, b - before + 1))).otherwise(none)
-        behind = F.when(after < n, F.transform(blanks, lambda b: span(b, after - b + 1))).otherwise(none)
-        return F.when((after - before == 1) & (before >= 0) & (after < n), F.array(span(before, F.lit(2)))).otherwise(
-            F.concat(ahead, behind)
-        )
 
-    edges = F.arrays_zip(
-        F.concat(F.array(F.lit(-1)), F.col("__filled")).alias("before"),
-        F.concat(F.col("__filled"), F.array(n)).alias("after"),
-    )
-    spans = F.when(F.size("__filled") > 0, F.flatten(F.transform(edges, lambda e: between(e["before"], e["after"])))).otherwise(none)
-    return filled, F.transform(
-        spans,
-        lambda s: F.struct(
-            s["first"].alias("first"), s["lines"].alias("lines"), F.xxhash64(F.slice(lines, s["first"] + 1, s["lines"])).alias("hash")
+
+def _bodies(texts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(key, hash, first, stop, body)`` of every chunk and of every place that a chunk first stood in, once each."""
+    places = chunks.select("key", "hash", "first", "stop")
+    places = places.union(chunks.select("of_key", "of_hash", "of_first", "of_stop")).distinct()
+    wanted = places.groupBy(F.col("key").alias("k"), F.col("hash").alias("h")).agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
+    met = texts.join(stored(wanted, "spans").hint("merge"), _same("key", "hash", "k", "h"))
+    body = lambda lines, s: F.array_join(F.slice(lines, s["first"] + 1, s["stop"] - s["first"]), "\n")
+    cut = _bound(
+        _lines(F.col("text")),
+        lambda lines: F.transform(
+            "spans", lambda s: F.struct(s["first"].alias("first"), s["stop"].alias("stop"), body(lines, s).alias("body"))
         ),
     )
+    # rows with equal key and text give equal bodies, of which one is kept
+    return met.select("key", "hash", F.inline(cut)).groupBy("key", "hash", "first", "stop").agg(F.min("body").alias("body"))
+
 
+def line_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Remove the chunks of two lines or more that occurred before anywhere in the table.
 
-def run_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Remove every run of two lines or more that occurred before anywhere in the table.
+    A line goes if it is in a run of at least two elements (filled lines, and stretches of blank lines, each taken whole) whose
+    bytes stand in an earlier place that they do not overlap, in the order of key and place. So repeated passages go whole,
+    whatever stands around them, and their first occurrence stays; single lines stay. A removed line always stands in
+    an earlier place, and of each line one copy stays. Chunks are compared byte by byte with the place they first stood in.
 
-    A line goes if it is part of a run of at least two lines, one of them not blank, whose bytes stand in an
-    earlier place that the run does not overlap, in the order of key and place. So repeated passages go whole,
-    whatever stands around them, and their first occurrence stays. A run is found by the units inside it
-    (see ``_units``), which need no boundaries: each is compared by bytes with the first of its hash.
+    Returns the input's columns with the text that is left, and ``lines_removed`` (long; a column of that name is replaced). A text without a
+    removed line keeps its bytes. A null text stays null; an empty one and one of blank lines alone stay. Null keys come first in order. Rows with equal key and text
+    count as one document and get the same result. An empty table gives no rows. Names of other columns do not matter.
 
-    Returns the same columns as ``line_dedup`` and treats nulls, blank lines, null keys, repeated rows, empty
-    tables and column names as it does: a removed line always stands in an earlier place, and of each line
-    one copy stays. Units are shuffled, compared and joined as the chunks there.
+    Only hashes and places are shuffled to find repeats: work and size are in proportion to the lines, blank or not. The bytes of repeated chunks
+    follow, each once, then each text meets its removed ranges. A frequent chunk is joined to the one row
+    of its first place, which the adaptive skew join can split. What repeats has no bound, so none of it is
+    broadcast.
     """
-    source = _source(documents, key, text)
-    cut = source.where(F.size("__lines") > 1)
-    filled, units = _units(F.col("__lines"))
-    cut = cut.withColumn("__filled", filled)
-    return _without_repeats(documents, key, text, source, cut.select("__key", "__hash", F.explode(units).alias("c")), apart=True)
+    columns = [name for name in documents.columns if name != "lines_removed"]
+    body = F.col(f"`{text}`")
+    held = documents.select(
+        F.struct(*[F.col(f"`{name}`") for name in columns if name != text]).alias("row"),
+        F.col(f"`{key}`").alias("key"),
+        F.xxhash64(F.coalesce(body, F.lit(""))).alias("hash"),
+        body.alias("text"),
+    )
+    texts = held.select("key", "hash", "text")
+    chunks = stored(_repeated_chunks(stored(_rolled(texts), "rolled")), "chunks")
+    bodies = stored(_bodies(texts, chunks), "bodies")
+
+    def named(side: str) -> DataFrame:
+        return bodies.select(*[F.col(c).alias(f"{side}_{c}") for c in bodies.columns])
+
+    place = lambda side: _same("key", "hash", f"{side}_key", f"{side}_hash") & (F.col("first") == F.col(f"{side}_first")) & (F.col("stop") == F.col(f"{side}_stop"))
+    own = chunks.join(named("own").hint("merge"), place("own")).select(*[f"of_{c}" for c in ("key", "hash", "first", "stop")], "key", "hash", "first", "stop", "own_body")
+    was = bodies.select(*[F.col(c).alias(f"was_{c}") for c in bodies.columns]).hint("merge")
+    there = (
+        _same("of_key", "of_hash", "was_key", "was_hash")
+        & (F.col("of_first") == F.col("was_first"))
+        & (F.col("of_stop") == F.col("was_stop"))
+    )
+    doomed = own.join(was, there).where(F.col("own_body") == F.col("was_body"))
+    ranges = doomed.groupBy(F.col("key").alias("k"), F.col("hash").alias("h")).agg(
+        F.collect_set(F.struct("first", "stop")).alias("ranges")
+    )
+    joined = held.join(stored(ranges, "ranges").hint("merge"), _same("key", "hash", "k", "h"), "left")
+    hit = F.col("ranges").isNotNull()
+    gone = F.flatten(F.transform("ranges", lambda r: F.sequence(r["first"], r["stop"] - 1)))
+
+    def left(lines: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        stay = lambda at: F.struct(
+            F.array_join(F.transform(at, lambda i: F.get(lines, i)), "\n").alias("text"), (F.size(lines) - F.size(at)).alias("removed")
+        )
+        return _bound(places, stay)
+
+    done = joined.select("row", "text", F.when(hit, _bound(_lines(F.col("text")), left)).alias("left"))
+    changed = F.when(F.col("left").isNotNull(), F.col("left.text")).otherwise(F.col("text"))
+    values = [changed.alias(name) if name == text else F.col(f"row.`{name}`") for name in columns]
+    return done.select(*values, F.coalesce("left.removed", F.lit(0)).cast("long").alias("lines_removed"))
 
 
 def _same(key: str, hash_: str, other_key: str, other_hash: str) -> Column:

@@ -2,11 +2,9 @@
 
 import math
 import re
-import struct
 import zlib
 from collections import Counter, defaultdict
 
-import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -15,50 +13,26 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def _xx(data, seed=42):
-    value = xxhash.xxh64(data, seed=seed % 2**64).intdigest()
-    return value - 2**64 if value >= 2**63 else value
+def line_dedup(documents):
+    """Text left and lines removed of each (key, text): every run of two elements or more that stood before, at all lengths.
 
-
-def line_dedup(documents, window=2, one_in=2, seeds=4, prime=2**31 - 1, base=48271):
-    """Text left and lines removed of each (key, text); keys are not null and not repeated."""
-    places = defaultdict(set)
-    for key, text in documents:
-        lines = (text or "").split("\n")
-        hashes = [_xx(line.encode()) % prime for line in lines]
-        rolling = [sum(hashes[i - j] * pow(base, j, prime) % prime for j in range(window) if i >= j) % prime for i in range(len(lines))]
-        for seed in range(seeds):
-            first = 0
-            for i in range(len(lines)):
-                if i == len(lines) - 1 or _xx(struct.pack("<i", seed), _xx(struct.pack("<q", rolling[i]))) % one_in == 0:
-                    body = "\n".join(lines[first : i + 1])
-                    if i > first and WORD.search(body):
-                        places[i - first + 1, body].add((key, first))
-                    first = i + 1
-    gone = defaultdict(set)
-    for (size, _), where in places.items():
-        for key, first in where - {min(where)}:
-            gone[key] |= set(range(first, first + size))
-    out = {}
-    for key, text in documents:
-        kept = text if not gone[key] else "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone[key])
-        out[key] = (kept, len(gone[key]))
-    return out
-
-
-def run_dedup(documents):
-    """Text left and lines removed of each (key, text): every run with a filled line that stood before, at all lengths."""
+    Elements are filled lines and whole stretches of blank lines.
+    """
     first, gone = {}, defaultdict(set)
     for key, text in sorted(documents):
-        lines = (text or "").split("\n")
-        for i in range(len(lines)):
-            for size in range(2, len(lines) - i + 1):
-                body = "\n".join(lines[i : i + size])
-                if not WORD.search(body):
-                    continue
-                doc, end = first.setdefault((size, body), (key, i + size))
-                if doc != key or i >= end:  # neither the first nor overlapping it
-                    gone[key] |= set(range(i, i + size))
+        lines, elements = (text or "").split("\n"), []
+        for i, line in enumerate(lines):
+            if elements and not WORD.search(line) and not WORD.search(lines[i - 1]):
+                elements[-1][1] = i + 1
+            else:
+                elements.append([i, i + 1])
+        for i in range(len(elements)):
+            for j in range(i + 1, len(elements)):
+                begin, end = elements[i][0], elements[j][1]
+                body = tuple("\n".join(lines[a:b]) for a, b in elements[i : j + 1])
+                doc, stop = first.setdefault(body, (key, end))
+                if doc != key or begin >= stop:  # neither the first nor overlapping it
+                    gone[key] |= set(range(begin, end))
     out = {}
     for key, text in documents:
         kept = text if not gone[key] else "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone[key])
@@ -161,7 +135,7 @@ def language_model(documents, strength, add=0.1):
     return out
 
 
-def third_order_scores(documents, strength, add=0.1):
+def third_order_scores(documents, strength, triple_strength, add=0.1):
     """Score of each (key, text) with two words of context."""
     words = {key: WORD.findall(lower(text)) + [None] for key, text in documents}
     learned = [w for key, w in words.items() if zlib.crc32(str(key).encode()) % 10]
@@ -177,5 +151,5 @@ def third_order_scores(documents, strength, add=0.1):
     for key, own in words.items():
         out[key] = math.log10(second("<s>", own[0]))
         for g, h, x in zip(["<s>"] + own[:-2], own[:-1], own[1:]):
-            out[key] += math.log10((three[g, h, x] + strength * second(h, x)) / (two[g, h] + strength))
+            out[key] += math.log10((three[g, h, x] + triple_strength * second(h, x)) / (two[g, h] + triple_strength))
     return out
