@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lexloom.llm.htmltree import N_EDGE, N_FEATURES, Forest, Page, forest, parse
+from lexloom.llm.htmltree import N_EDGE, N_FEATURES, Forest, Page, forest, levels, parse
 from lexloom.llm.labelpages import labelled_pages
 from lexloom.llm.words import pieces
 
@@ -38,15 +38,15 @@ def marginals(f: Forest, w: Weights) -> tuple[np.ndarray, np.ndarray]:
     """Probability of each state of each node, and of each pair of states of parent and child."""
     own = f.features @ w.node
     pair = np.tensordot(f.edge, w.edge, axes=1)
-    levels = [np.flatnonzero(f.depth == d) for d in range(int(f.depth.max(initial=0)) + 1)]
+    nodes = levels(f.depth)
     inside = own.copy()
     up = np.zeros_like(own)
-    for at in levels[:0:-1]:
+    for at in nodes[:0:-1]:
         up[at] = _plus(pair[at] + inside[at][:, None, :], 2)
         np.add.at(inside, f.parent[at], up[at])
     down = np.zeros_like(own)
     joint = np.zeros_like(pair)
-    for at in levels[1:]:
+    for at in nodes[1:]:
         parent = f.parent[at]
         outside = inside[parent] + down[parent] - up[at]
         both = outside[:, :, None] + pair[at]

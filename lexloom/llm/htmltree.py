@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -14,7 +16,10 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var".split()
 )
-UNSEEN = frozenset("script style template noscript head iframe svg canvas object select option textarea button".split())
+UNSEEN = frozenset("script style template noscript head iframe svg canvas select datalist option textarea button".split())
+#: Of these, what an author may have left open: the text after it is then part of the page.
+LEFT_OPEN = frozenset("noscript svg canvas select datalist option button".split())
+NESTED = frozenset(["svg"])
 CLOSED_BY_BLOCK = "p"
 CLOSED_BY_SIBLING = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
 LIST_ENDS = frozenset("ul ol dl table body".split())
@@ -67,17 +72,47 @@ def _hints(attributes: list[tuple[str, str | None]]) -> frozenset[int]:
     return frozenset(_HINT_OF[w] for w in _WORDS.findall(split) if w in _HINT_OF)
 
 
+class _Ends:
+    """Where elements of ``LEFT_OPEN`` begin and end in a page, to tell those that never end."""
+
+    _TAG = re.compile(rf"<(/?)({'|'.join(sorted(LEFT_OPEN))})(?=[\s/>])", re.IGNORECASE)
+
+    def __init__(self, html: str):
+        self.begins, self.ends = defaultdict(list), defaultdict(list)
+        for match in self._TAG.finditer(html):
+            (self.ends if match[1] else self.begins)[match[2].lower()].append(match.start())
+
+    def is_closed(self, tag: str, at: int) -> bool:
+        """Whether the element that begins at ``at`` has an end before another of its kind begins (or at all, where kinds nest)."""
+        end = bisect_left(self.ends[tag], at)
+        if end == len(self.ends[tag]):
+            return False
+        following = bisect_left(self.begins[tag], at + 1)
+        return tag in NESTED or following == len(self.begins[tag]) or self.ends[tag][end] < self.begins[tag][following]
+
+
 class _Builder(HTMLParser):
-    """Adds to a page as the markup is read. Inline elements only mark the text of their block."""
+    """Adds to a page as the markup is read. Inline elements only mark the text of their block.
 
-    def __init__(self):
+    ``at`` holds the depths at which elements of a name are open, so that no tag costs more the deeper it stands.
+    """
+
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.page = Page()
         self.open: list[tuple[str, int, bool]] = [("body", 0, False)]  # element, its node, kept (in labelled pages)
+        self.at: dict[str, list[int]] = defaultdict(list, body=[0])
         self.unseen: list[str] = []
+        self.inside: list[str] = []  # elements open within the outermost unseen one
         self.links = 0
         self.block: list[str] = []
         self.linked = 0
+        self.marked = _Ends(html)
+        self.lines = [0, *(m.end() for m in re.finditer("\n", html))]
+
+    def place(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
 
     def end_block(self) -> None:
         text = " ".join("".join(self.block).split())
@@ -88,18 +123,26 @@ class _Builder(HTMLParser):
 
     def close_to(self, depth: int) -> None:
         self.end_block()
+        for name, _, _ in self.open[depth:]:
+            self.at[name].pop()
         del self.open[depth:]
         self.links = 0
 
+    def last(self, names: list[str] | frozenset[str]) -> int:
+        """Depth of the innermost open element of these names, 0 for none below the body."""
+        return max((self.at[name][-1] for name in names if self.at.get(name)), default=0)
+
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
+        if self.unseen and self.unseen[-1] == "head" and tag not in UNSEEN | VOID and tag not in ("title", "base"):
+            self.unseen.pop()  # a head that was never closed ends with the first thing to be seen
         if tag in UNSEEN:
-            self.unseen.append(tag)
+            if tag not in LEFT_OPEN or self.marked.is_closed(tag, self.place()):
+                self.unseen.append(tag)
             return
         if self.unseen:
-            if self.unseen[-1] == "head" and tag not in VOID and tag not in ("title", "base"):
-                self.unseen.pop()  # a head that was never closed ends with the first thing to be seen
-            else:
-                return
+            if tag not in VOID:
+                self.inside.append(tag)
+            return
         if tag in ("br", "hr") or tag in VOID:
             self.block.append(" ")
             return
@@ -110,21 +153,18 @@ class _Builder(HTMLParser):
             return
         self.end_block()
         self.links = 0
-        names = [name for name, _, _ in self.open]
-        if "p" in names:
-            self.close_to(len(names) - 1 - names[::-1].index("p"))
-        if siblings := CLOSED_BY_SIBLING.get(tag, "").split():
-            for depth in range(len(self.open) - 1, 0, -1):
-                if self.open[depth][0] in siblings:
-                    self.close_to(depth)
-                    if tag != "tr" or self.open[-1][0] not in siblings:
-                        break
-                elif self.open[depth][0] in LIST_ENDS:
-                    break
+        if depth := self.last(["p"]):
+            self.close_to(depth)
+        siblings = CLOSED_BY_SIBLING.get(tag, "").split()
+        while siblings and (depth := self.last(siblings)) > self.last(LIST_ENDS):
+            self.close_to(depth)
+            if tag != "tr" or self.open[-1][0] not in siblings:
+                break
         keep = self.open[-1][2]
         for name, value in attributes:
             keep = value == "1" if name == "x-keep" else keep
         node = self.page.add(tag, self.open[-1][1], _hints(attributes))
+        self.at[tag].append(len(self.open))
         self.open.append((tag, node, keep))
 
     def handle_startendtag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
@@ -137,16 +177,25 @@ class _Builder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in self.unseen:
             del self.unseen[self.unseen.index(tag) :]
+            if not self.unseen:
+                self.inside.clear()
             return
-        if self.unseen or tag in VOID:
+        if self.unseen:
+            if tag in self.inside[-64:]:
+                while self.inside.pop() != tag:
+                    pass
+                return
+            if not (set(self.unseen) <= LEFT_OPEN and self.at.get(tag)):
+                return
+            self.unseen.clear()  # the element around ends, and so does what was left open in it
+            self.inside.clear()
+        if tag in VOID:
             return
         if tag in INLINE:
             self.links = max(0, self.links - (tag == "a"))
             return
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth][0] == tag:
-                self.close_to(depth)
-                return
+        if depth := self.last([tag]):
+            self.close_to(depth)
 
     def handle_data(self, data: str) -> None:
         if not self.unseen:
@@ -156,14 +205,23 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str | None) -> Page:
-    """The block tree of a page. Broken markup gives some tree, never an error; null gives an empty one."""
-    builder = _Builder()
-    builder.feed((html or "").replace("\0", ""))
+    """The block tree of a page. Broken markup gives some tree, never an error; null gives an empty one.
+
+    Takes time in proportion to the page, however deep it is nested.
+    """
+    builder = _Builder(html or "")
+    builder.feed(html or "")
     builder.close()
     builder.end_block()
     return builder.page
 
 
+def levels(depth: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the nodes of each depth, from 0 on."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+
+
 def _bucket(value: np.ndarray, limits: tuple[float, ...]) -> np.ndarray:
     return np.searchsorted(np.array(limits), value, side="right")
 
@@ -208,16 +266,15 @@ def forest(pages: list[Page]) -> Forest:
     texts = [t for p in pages for t in p.text]
     hints = [h for p in pages for h in p.hints]
     leaf = np.array([t == "text" for t in tags], bool)
-    for i in range(n):  # a parent comes before its children
-        if parent[i] >= 0:
-            depth[i] = depth[parent[i]] + 1
+    for i, above in enumerate(parent.tolist()):  # a parent comes before its children
+        if above >= 0:
+            depth[i] = depth[above] + 1
     words = np.array([t.count(" ") + 1 if t else 0 for t in texts], float)
     chars = np.array([len(t) for t in texts], float)
     linked = np.array([x for p in pages for x in p.linked], float)
     kept = np.where(np.array([k for p in pages for k in p.keep], bool), chars, 0.0)
     whole = [words.copy(), chars.copy(), linked.copy(), kept]
-    for d in range(int(depth.max(initial=0)), 0, -1):
-        at = np.flatnonzero(depth == d)
+    for at in levels(depth)[:0:-1]:
         for column in whole:
             np.add.at(column, parent[at], column[at])
     said = np.zeros((n, len(HINTS)), bool)
