@@ -241,7 +241,7 @@ STATISTIC_COLUMNS = {
 def part_statistics() -> str:
     parts = []
     for name, (kind, width) in STATISTIC_COLUMNS.items():
-        figures = {"num_nulls": f"count(*) FILTER ({name} IS NULL)"}
+        figures = {"num_nulls": f"count(*) FILTER ({name} IS NULL)", "distinct_count": "max('true')"}
         figures["max_col_len"] = f"max({width})" if width else f"max(strlen({name}))"
         figures["avg_col_len"] = f"max({width})" if width else f"ceil(avg(strlen({name})))::BIGINT"
         if width:
@@ -504,6 +504,16 @@ def oracles() -> dict[str, str]:
                 FROM chunks GROUP BY doc_id)
             SELECT doc_id, coalesce(rejoined, text) AS translated, coalesce(n, 0) AS n_untranslated
             FROM documents LEFT JOIN joined USING (doc_id)""",
+        "translation_calls": f"""
+            WITH routed AS (SELECT * FROM documents WHERE lang <> 'es' AND {stripped("text")} <> ''),
+            {paragraph_chunks_of("routed", "doc_id")},
+            joined AS (
+                SELECT doc_id, string_agg(CASE WHEN length(chunk) % 5 IN (2, 3) THEN '[' || chunk || ']' ELSE chunk END, chr(10) ORDER BY chunk_no) AS rejoined,
+                       count(*) FILTER (length(chunk) % 5 NOT IN (2, 3)) AS n, count(*) FILTER (length(chunk) % 5 = 1) AS dead
+                FROM chunks GROUP BY doc_id)
+            SELECT doc_id, coalesce(rejoined, text) AS translated, coalesce(n, 0) AS n_untranslated, coalesce(dead, 0) AS n_dead,
+                   CASE WHEN dead > 0 THEN 'failed' WHEN n > 0 THEN 'waiting' ELSE 'done' END AS status
+            FROM documents LEFT JOIN joined USING (doc_id)""",
         "request_ledger": LEDGER,
         "stream_refresh": stream_refresh(),
         "chunk_rejoin": f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lexloom.operators.blocks import DenseKernel, Limits, Matches, Side, search
@@ -67,7 +67,7 @@ def attach_records(matches: Matches, records: DataFrame, key: str) -> DataFrame:
     """Each match with the record it points to; NULL columns where there is no such record.
 
     The join comes after the search, so it sees at most k rows per query. When
-    their number and their measured keys are small, the matches are written, broadcast,
+    their number and their keys, measured while they are written, are small, the matches are broadcast
     and the record table is scanned in place; the hits then join the matches, which
     keeps those without a record. Otherwise both sides are shuffled on the key, and a
     record that very many queries point to is split by the adaptive skew join,
@@ -76,14 +76,14 @@ def attach_records(matches: Matches, records: DataFrame, key: str) -> DataFrame:
     named = records.withColumnRenamed(key, "key")
     if matches.at_most > BROADCAST_MATCHES:
         return matches.rows.join(named, "key", "left")
-    path = shared_dir(records.sparkSession, "matches")
-    matches.rows.write.parquet(path)
-    found = records.sparkSession.read.schema(matches.rows.schema).parquet(path)
+    path, seen = shared_dir(records.sparkSession, "matches"), Observation()
     ids = F.octet_length(F.col("key").cast("string")) + F.octet_length(F.col("query_id").cast("string"))
-    size = found.agg(F.coalesce(F.sum(ids.cast("long") + 32), F.lit(0))).first()[0]
-    if size > BROADCAST_BYTES:
+    measured = matches.rows.observe(seen, F.coalesce(F.sum(ids.cast("long") + 32), F.lit(0)).alias("bytes"))
+    measured.write.parquet(path)
+    found = records.sparkSession.read.schema(matches.rows.schema).parquet(path)
+    if (seen.get.get("bytes") or 0) > BROADCAST_BYTES:
         return found.join(named, "key", "left")
-    hits = named.join(F.broadcast(found.select("key").distinct()), "key", "left_semi")
+    hits = named.join(F.broadcast(found.select("key")), "key", "left_semi")
     return found.join(hits, "key", "left")
 
 

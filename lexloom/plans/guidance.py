@@ -14,6 +14,8 @@ a side may be broadcast, and that should not run a whole job twice.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from lexloom.functions.responses import chat_content, transcript, translated_tex
 from lexloom.operators.chunking import join_chunks
 from lexloom.operators.context import explanation_requests, guidance_requests, retrieval_context
 from lexloom.operators.language import Profile, detect_language, score_by_language_name
+from lexloom.operators.ledger import ANSWERED, DEAD, OUTSTANDING, call_states, dead_letters, keyed, responded, to_send
 from lexloom.operators.requests import (
     SPEECH_CHUNKS,
     accepted,
@@ -31,6 +34,7 @@ from lexloom.operators.requests import (
     translation_requests,
 )
 from lexloom.operators.retrieval import attach_records, topk
+from lexloom.session import written
 
 
 def prepare_requests(requests: DataFrame) -> DataFrame:
@@ -77,6 +81,35 @@ def apply_translations(
     ).drop("rejoined")
 
 
+@dataclass(frozen=True)
+class Translated:
+    """Texts with what came back so far, the calls to make now, and the chunks whose call was given up."""
+
+    texts: DataFrame
+    to_send: DataFrame
+    given_up: DataFrame
+
+
+def apply_translation_calls(
+    texts: DataFrame, key: str, text: str, sent: DataFrame, responses: DataFrame, max_attempts: int = 3
+) -> Translated:
+    """As :func:`apply_translations`, from calls that may fail, come late or come back more than once.
+
+    ``responses`` holds ``request_key, status, attempt, received, response`` (see :mod:`lexloom.operators.ledger`); chunks with equal payloads
+    are one call. Each text gets a ``status``: ``done``, ``waiting`` while calls of it are to be made, or ``failed`` if one was given up. A chunk
+    without a translation keeps its source text. The states are written once, as the three tables are made of them.
+    """
+    asked = keyed(sent)
+    own = F.lit(None).cast("string")
+    states = written(call_states(asked, responses, translated_text(F.col("response"), own).isNotNull(), max_attempts), "call-states")
+    chunks = responded(asked, states)
+    merged = apply_translations(texts, key, text, sent, chunks.where(F.col("state") == ANSWERED).select(key, "chunk_no", "response"))
+    worst = F.when(F.max(F.col("state") == DEAD), "failed").when(F.max(F.col("state") == OUTSTANDING), "waiting").otherwise("done")
+    status = chunks.groupBy(key).agg(worst.alias("status"))
+    done = merged.join(status, key, "left").fillna({"status": "done"})
+    return Translated(done, to_send(asked, states), dead_letters(asked, states))
+
+
 def english_inputs(prepared: DataFrame, sent: DataFrame, responses: DataFrame) -> DataFrame:
     return apply_translations(prepared, "request_id", "resolved", sent, responses)
 

@@ -60,12 +60,19 @@ def stream_guidance(
     prepare: BatchJob,
     out: str,
     checkpoint: str,
+    load_records: Callable[[], DataFrame] | None = None,
     **options,
 ) -> StreamingQuery:
-    """Chat requests per incoming request; ``prepare`` resolves a batch and adds its query vectors."""
-    return run_batches(
-        requests, lambda batch: guidance(prepare(batch), load_corpus(), **options), out, checkpoint
-    )
+    """Chat requests per incoming request; ``prepare`` resolves a batch and adds its query vectors.
+
+    Corpus and records, where they are tables of their own, are read again for each batch.
+    """
+
+    def job(batch: DataFrame) -> DataFrame:
+        records = {"records": load_records()} if load_records else {}
+        return guidance(prepare(batch), load_corpus(), **records, **options)
+
+    return run_batches(requests, job, out, checkpoint)
 
 
 class BatchLog:

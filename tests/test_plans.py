@@ -144,6 +144,25 @@ def test_missing_responses_keep_the_source_chunk(spark):
     assert out["translated"] == "x" * 800 + "\nZ"
 
 
+def test_texts_wait_for_calls_that_failed(spark):
+    from lexloom.operators import ledger
+    from lexloom.operators.requests import translation_requests
+
+    line = lambda c: c * 800
+    texts = spark.createDataFrame(
+        [("a", line("x") + "\n" + line("y")), ("b", line("x")), ("c", line("z")), ("d", ""), ("e", line("w"))], "request_id string, t string"
+    )
+    sent = translation_requests(texts, "request_id", "t", F.lit("en-IN"), F.lit("hi-IN"))
+    keys = {r["payload"]["input"][0]: r["request_key"] for r in ledger.keyed(sent).collect()}
+    came = [(keys["x"], 503, 1, 1, None), (keys["x"], 200, 2, 2, '{"translated_text":"X"}'), (keys["z"], 400, 1, 1, None), (keys["y"], 429, 1, 1, None)]
+    responses = spark.createDataFrame(came, "request_key string, status int, attempt int, received long, response string")
+    done = plan.apply_translation_calls(texts, "request_id", "t", sent, responses)
+    rows = {r["request_id"]: (r["translated"][:3], r["n_untranslated"], r["status"]) for r in done.texts.collect()}
+    assert rows == {"a": ("X\ny", 1, "waiting"), "b": ("X", 0, "done"), "c": ("zzz", 1, "failed"), "d": ("", 0, "done"), "e": ("www", 1, "waiting")}
+    assert {(r["payload"]["input"][0], r["attempt"]) for r in done.to_send.collect()} == {("y", 2), ("w", 1)}
+    assert [r["request_id"] for r in done.given_up.collect()] == ["c"]
+
+
 def test_stream_equals_batch_and_replays_do_not_duplicate(spark, tmp_path):
     rng = np.random.default_rng(11)
     vectors = rng.normal(size=(60, 4)).astype(np.float32)
