@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -218,42 +219,82 @@ _automata: dict[str, Automaton] = {}
 
 
 def automaton_of(path: str) -> Automaton:
-    """The automaton of a model file, built once per Python worker."""
+    """The automaton of a model file, built once per process. Operators build it on the driver and send its arrays to the tasks."""
     if path not in _automata:
         _automata[path] = Automaton(Vocabulary.load(path))
     return _automata[path]
 
 
+SLICE_BYTES = 512 << 10
+SLICE_PIECES = 128 << 10
+
+
 def encode_pieces(documents: DataFrame, model: str, text: str = "text", column: str = "pieces") -> DataFrame:
     """Add the piece numbers of each text: the input's columns and ``column`` (array<int>).
 
-    ``model`` is the path of a SentencePiece model file that every worker has installed. Nothing is normalised, and
+    ``model`` is the path of a SentencePiece model file, read on the driver. Nothing is normalised, and
     every byte has a piece, so decoding gives back each text byte for byte. Null and empty texts have no
     pieces. Repeated rows get equal pieces. An empty table gives no rows. A column of that name is replaced. Texts are
-    encoded whole in the task that scans them; nothing is shuffled.
+    encoded whole in the task that scans them, about ``SLICE_BYTES`` at a time; nothing is shuffled.
     """
-    return _mapped(documents, text, column, T.ArrayType(T.IntegerType()), lambda texts: encode(texts, automaton_of(model)))
+    sent = documents.sparkSession.sparkContext.broadcast(automaton_of(model))
+    added = [T.StructField(column, T.ArrayType(T.IntegerType()))]
+    return _mapped(documents, text, added, lambda texts: [encode(texts, sent.value)], _text_slices)
 
 
 def decode_pieces(encoded: DataFrame, model: str, pieces: str = "pieces", column: str = "decoded") -> DataFrame:
-    """Add the text that the piece numbers spell; null is empty. A column of that name is replaced."""
+    """Add the text that the piece numbers spell; null is empty. A column of that name is replaced. Rows are decoded
+    about ``SLICE_PIECES`` pieces at a time; a longer one alone."""
+    sent = encoded.sparkSession.sparkContext.broadcast(automaton_of(model).vocabulary)
+    added = [T.StructField(column, T.StringType())]
+    return _mapped(encoded, pieces, added, lambda ids: [_decoded(ids, sent.value).cast(pa.string())], _piece_slices)
+
+
+def encode_and_check(
+    documents: DataFrame, model: str, text: str = "text", column: str = "pieces", check: str = "round_trip"
+) -> DataFrame:
+    """As :func:`encode_pieces`, with a column that says whether the pieces decode to the text, byte for byte (null: empty).
+
+    Both are done in one pass, so that a core runs one Python process and a text crosses to it once.
+    """
+    sent = documents.sparkSession.sparkContext.broadcast(automaton_of(model))
+
+    def both(texts: pa.Array) -> list[pa.Array]:
+        ids = encode(texts, sent.value)
+        same = pc.equal(_decoded(ids, sent.value.vocabulary), pc.fill_null(texts, "").cast(pa.large_string()))
+        return [ids, same]
+
+    added = [T.StructField(column, T.ArrayType(T.IntegerType())), T.StructField(check, T.BooleanType())]
+    return _mapped(documents, text, added, both, _text_slices)
+
+
+def _decoded(ids: pa.ListArray, vocabulary: Vocabulary) -> pa.Array:
+    return decode(ids.fill_null([]) if ids.null_count else ids, vocabulary)
+
+
+def _text_slices(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    return slices(batch, str(place), SLICE_BYTES)
 
-    def text_of(ids: pa.Array) -> pa.Array:
-        return decode(ids.fill_null([]) if ids.null_count else ids, automaton_of(model).vocabulary).cast(pa.string())
 
-    return _mapped(encoded, pieces, column, T.StringType(), text_of)
+def _piece_slices(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(batch.column(place)), 0), np.int64)
+    part = np.cumsum(sizes) // SLICE_PIECES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+    for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+        if begin < end:
+            yield batch.slice(begin, end - begin)
 
 
-def _mapped(frame: DataFrame, source: str, column: str, kind: T.DataType, make) -> DataFrame:
-    rows = frame.drop(column)
+def _mapped(frame: DataFrame, source: str, added: list[T.StructField], make, parts) -> DataFrame:
+    names = [field.name for field in added]
+    rows = frame.drop(*names)
     kept = rows.columns
     place = kept.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             whole = whole.rename_columns([str(i) for i in range(whole.num_columns)])
-            parts = slices(whole, str(place), 1 << 20) if kind != T.StringType() else (whole.slice(i, 256) for i in range(0, whole.num_rows, 256))
-            for batch in parts:
-                yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(place))], [*kept, column])
+            for batch in parts(whole, place):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch.column(place))], [*kept, *names])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(column, kind)]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added]))

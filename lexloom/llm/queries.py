@@ -56,10 +56,8 @@ def op2_quality_classifier(spark, folder):
 
 @query
 def op3_sentencepiece(spark, folder):
-    encoded = pieces.encode_pieces(table(spark, folder, "documents").select("doc_id", "text"), PIECE_MODEL)
-    both = pieces.decode_pieces(encoded, PIECE_MODEL)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return both.select("doc_id", "pieces", F.size("pieces").alias("n_pieces"), same.alias("round_trip"))
+    encoded = pieces.encode_and_check(table(spark, folder, "documents").select("doc_id", "text"), PIECE_MODEL)
+    return encoded.select("doc_id", "pieces", F.size("pieces").alias("n_pieces"), "round_trip")
 
 
 @query
