@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.llm.storage import free_name
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -87,24 +89,20 @@ def mix_sources(
     """
     digest = F.md5(F.coalesce(F.col(text), F.lit("")))
     draw = unit_draw(F.concat_ws("\u0002", F.col(key), digest), seed)
-    sized = documents.withColumns({"mix_size": word_count(F.col(text)), "__draw": draw})
+    names = {name: free_name(documents, name) for name in ("source", "source_size", "target", "draw")}
+    sized = documents.withColumns({"mix_size": word_count(F.col(text)), names["draw"]: draw})
     sources = sized.groupBy(F.col(source).alias("source")).agg(F.sum("mix_size").alias("source_size"))
     targets = source_targets(sources, weights, max_rate).select(
-        F.col("source").alias("__source"),
-        F.col("source_size").alias("__source_size"),
-        F.col("target").alias("__target"),
+        *[F.col(name).alias(names[name]) for name in ("source", "source_size", "target")]
     )
-    joined = sized.join(targets, sized[source].eqNullSafe(targets["__source"]))
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(1.0))
+    joined = sized.join(targets, sized[source].eqNullSafe(targets[names["source"]]))
+    source_size, target = F.col(names["source_size"]), F.col(names["target"])
+    rate = F.when(source_size > 0, target / source_size).otherwise(F.lit(1.0))
     whole = F.floor(rate)
-    copies = whole + F.when(F.col("__draw") < rate - whole, F.lit(1)).otherwise(F.lit(0))
+    copies = whole + F.when(F.col(names["draw"]) < rate - whole, F.lit(1)).otherwise(F.lit(0))
     return joined.withColumns(
-        {
-            "mix_source_size": F.col("__source_size"),
-            "mix_target": F.col("__target"),
-            "mix_copies": copies.cast("long"),
-        }
-    ).drop("__source", "__source_size", "__target", "__draw")
+        {"mix_source_size": source_size, "mix_target": target, "mix_copies": copies.cast("long")}
+    ).drop(*names.values())
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:

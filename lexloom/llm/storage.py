@@ -15,3 +15,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of ``df`` has, upper and lower case alike."""
+    taken = {column.lower() for column in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
