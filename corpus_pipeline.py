@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet before the next
 one reads it. All but the last return the columns of ``documents``. ``run`` applies them in order.
+
+No stage drops a row because its key, source or another column is null; rows with a null key are no one's near-duplicates. A null text counts as an
+empty one: it is scored as a text without words, loses no lines, has no near-duplicates, size 0 in the mix and no pieces. Repeated rows are judged
+alike; the near-duplicate stage keeps all rows of a key that it keeps.
+Very long texts are read whole. An empty table stays empty. Columns beyond those of ``documents`` are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import linededup, mixing, neardup, pieces, quality
 from lexloom.llm.queries import PIECE_MODEL, table
-from lexloom.llm.storage import stored
+from lexloom.llm.storage import free_name, stored
 
 KEEP_FROM = 0.7
 
@@ -19,17 +24,17 @@ KEEP_FROM = 0.7
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose quality score is below ``KEEP_FROM``; the rest stay as they are."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, column="__score")
-    return scored.where(F.col("__score") >= KEEP_FROM).drop("__score")
+    column = free_name(docs, "score")
+    return quality.score(docs, model, column=column).where(F.col(column) >= KEEP_FROM).drop(column)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove multi-line chunks that stand in an earlier place; a document left without a word goes.
+    """Remove runs of lines that stand in an earlier place; a document left without a word goes.
 
-    Only a document that lost lines can go: all its words then stand in other documents.
+    Only a document that lost lines can go: all its words then stand in other documents. ``n_chars`` of texts that lost lines is counted again.
     """
     columns = docs.columns
-    deduped = linededup.line_dedup(docs.drop("lines_removed"))
+    deduped = linededup.line_dedup(docs)
     left = F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))
     kept = deduped.where((F.col("lines_removed") == 0) | left)
     if "n_chars" in columns:
@@ -40,8 +45,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest key of every group of near-duplicates."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    name = free_name(docs, "id")
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[name]), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +57,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece numbers of each text, and whether they decode to it."""
-    encoded = pieces.encode_pieces(docs.select("doc_id", "source", "text"), PIECE_MODEL)
-    both = pieces.decode_pieces(encoded, PIECE_MODEL)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return both.select("doc_id", "source", "pieces", F.size("pieces").alias("n_pieces"), same.alias("round_trip"))
+    encoded = pieces.encode_and_check(docs.select("doc_id", "source", "text"), PIECE_MODEL)
+    return encoded.select("doc_id", "source", "pieces", F.size("pieces").alias("n_pieces"), "round_trip")
 
 
 STAGES = [
