@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.session import shared_dir
+from lexloom.llm.storage import stored
 
 BLOCK_ROWS = 1024
 QUERY_ROWS = 512
-_EXACT = 2**53
+#: Vectors from which the cells' borders are taken, and bytes of them at most.
+SAMPLE_ROWS = 4096
+SAMPLE_BYTES = 16 << 20
+_LONG = np.iinfo(np.int64)
 
 
 def _dense(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -34,7 +37,33 @@ def _dense(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, values[starts[rows][:, None] + np.arange(length)]
 
 
-def _pack(low: int, width: int):
+class Cells:
+    """Borders of the cells of each component of vectors of one length.
+
+    The inner borders are quantiles of a sample, so that cells are about equally filled whatever the values are like;
+    the outer cells end at the least and greatest value of the whole table. ``middle`` and ``half`` give each cell's extent.
+    """
+
+    def __init__(self, sample: np.ndarray, low: int, high: int, n_cells: int):
+        at = np.arange(1, n_cells) * len(sample) // n_cells
+        self.inner = np.sort(sample, axis=0)[at].T.copy()  # component, border: cell c holds values from border c - 1 up to border c
+        edge = np.full((len(self.inner), 1), 1, np.int64)
+        lows = np.concatenate((edge * low, self.inner), axis=1).astype(np.float64)
+        highs = np.concatenate((self.inner, edge * high), axis=1).astype(np.float64)
+        self.middle, self.half = (lows + highs) / 2, (highs - lows) / 2
+
+    def number(self, vectors: np.ndarray) -> np.ndarray:
+        out = np.empty(vectors.shape, np.uint8)
+        for j, borders in enumerate(self.inner):
+            out[:, j] = np.searchsorted(borders, vectors[:, j], side="right")
+        return out
+
+    def extents(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        column = np.arange(cells.shape[1])
+        return self.middle[column, cells], self.half[column, cells]
+
+
+def _pack(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -45,7 +74,7 @@ def _pack(low: int, width: int):
                         {
                             "size": [part.shape[1]],
                             "ids": [ids[rows[at : at + BLOCK_ROWS]].astype("<i8").tobytes()],
-                            "cells": [((part - low) // width).astype(np.uint8).tobytes()],
+                            "cells": [_cells_of(sent, part.shape[1]).number(part).tobytes()],
                             "exact": [part.astype("<i8").tobytes()],
                         },
                         schema=_BLOCK,
@@ -54,6 +83,14 @@ def _pack(low: int, width: int):
     return run
 
 
+def _cells_of(sent, size: int) -> Cells:
+    """Cells of vectors of a length; one that the sample lacks has a single cell a component."""
+    cells, low, high = sent.value
+    if size not in cells:
+        cells[size] = Cells(np.zeros((1, size), np.int64), low, high, 1)
+    return cells[size]
+
+
 _BLOCK = pa.schema([("size", pa.int32()), ("ids", pa.binary()), ("cells", pa.binary()), ("exact", pa.binary())])
 _BLOCK_DDL = "size int, ids binary, cells binary, exact binary"
 
@@ -61,16 +98,27 @@ _BLOCK_DDL = "size int, ids binary, cells binary, exact binary"
 class _Wave:
     """A bounded set of queries of one vector length, with the bound k vectors are known to reach."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, low: int, width: int):
-        self.ids, self.vectors, self.low, self.width = ids, vectors, low, width
-        self.floor = np.full(len(ids), np.iinfo(np.int64).min)
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, low: int, high: int):
+        self.ids, self.vectors = ids, vectors
+        self.floor = np.full(len(ids), -np.inf)
+        # What the sums below may be off by, as doubles round: nothing to speak of unless components are huge.
+        size, most = vectors.shape[1], float(max(abs(low), abs(high), 1))
+        self.slack = np.abs(vectors.astype(np.float64)).sum(1) * most * (size + 4) * 2.0**-50
+        #: Whether scores fit 64 bits; if not they are summed as Python's integers.
+        self.fits = most * float(np.abs(vectors.astype(np.float64)).max(initial=0)) * size < 2.0**62
 
-    def floors(self, cells: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    def floors(self, cells: tuple[np.ndarray, np.ndarray], part: slice) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest score of each vector with each query of a slice, by the vector's cells."""
         queries = self.vectors[part].astype(np.float64)
-        corner = (cells.astype(np.float64) * self.width + self.low) @ queries.T
-        reach = (self.width - 1) * queries
-        return corner + np.minimum(reach, 0).sum(1), corner + np.maximum(reach, 0).sum(1)
+        middle, half = cells[0] @ queries.T, cells[1] @ np.abs(queries).T + self.slack[part]
+        return middle - half, middle + half
+
+    def scores(self, exact: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products of vectors with the queries of given numbers; those beyond 64 bits are the nearest long."""
+        if self.fits:
+            return np.einsum("ij,ij->i", exact, self.vectors[query])
+        products = (exact.astype(object) * self.vectors[query].astype(object)).sum(axis=1)
+        return np.array([min(max(x, _LONG.min), _LONG.max) for x in products], np.int64)
 
 
 def _merge(best: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -80,7 +128,7 @@ def _merge(best: np.ndarray, new: np.ndarray) -> np.ndarray:
     return -np.sort(-both, axis=1)[:, :k] if both.shape[1] > k else both
 
 
-def _lower_bounds(waves, k: int):
+def _lower_bounds(waves, sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = {size: np.full((len(w.ids), k), -np.inf) for size, w in waves.value.items()}
         seen = False
@@ -90,7 +138,7 @@ def _lower_bounds(waves, k: int):
                     continue
                 seen = True
                 ids = np.frombuffer(ids, "<i8")
-                cells = np.frombuffer(cells, np.uint8).reshape(len(ids), size)
+                cells = _cells_of(sent, size).extents(np.frombuffer(cells, np.uint8).reshape(len(ids), size))
                 for at in range(0, len(wave.ids), QUERY_ROWS):
                     part = slice(at, at + QUERY_ROWS)
                     low = wave.floors(cells, part)[0].T
@@ -135,7 +183,7 @@ def _top(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
-def _exact_scores(waves, k: int, step: int = 4096):
+def _exact_scores(waves, sent, k: int, step: int = 4096):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {size: [np.zeros(0, np.int64)] * 3 for size in waves.value}
         floors = {size: wave.floor.copy() for size, wave in waves.value.items()}
@@ -144,7 +192,7 @@ def _exact_scores(waves, k: int, step: int = 4096):
                 if (wave := waves.value.get(size)) is None:
                     continue
                 ids = np.frombuffer(ids, "<i8")
-                cells = np.frombuffer(cells, np.uint8).reshape(len(ids), size)
+                cells = _cells_of(sent, size).extents(np.frombuffer(cells, np.uint8).reshape(len(ids), size))
                 exact = np.frombuffer(exact, "<i8").reshape(len(ids), size)
                 floor = floors[size]
                 for at in range(0, len(wave.ids), QUERY_ROWS):
@@ -156,7 +204,7 @@ def _exact_scores(waves, k: int, step: int = 4096):
                     query, row, bound = query[order], row[order], bound[order]
                     while len(query):
                         query_now, row_now = query[:step], row[:step]
-                        scores = np.einsum("ij,ij->i", exact[row_now], wave.vectors[query_now])
+                        scores = wave.scores(exact[row_now], query_now)
                         old = held[size]
                         new = [np.concatenate(x) for x in zip(old, (query_now, ids[row_now], scores), strict=True)]
                         best = _top(*new, k)
@@ -193,49 +241,50 @@ def top_k(
     ``query_id``, ``rank`` from 1, ``vec_id`` and ``score``; ties go to the smaller id. A query
     meets only vectors of its own length; empty vectors take no part. Fewer than k
     other rows: all of them. Repeated rows are separate candidates. An empty table
-    gives no rows. Components whose products could pass 2**53 in sum raise an error
-    instead of a rounded score.
+    gives no rows. Scores are exact whatever the size of the components; a score beyond 64 bits counts
+    as the nearest long.
 
-    Queries are taken in waves of at most ``wave_bytes`` (hashed by id; each wave's
+    Queries are taken in waves of about ``wave_bytes`` (each wave's
     size is checked before it is broadcast), and the corpus is scanned in place for
     each wave: it is never shuffled, and only scores that reach the certain bound
-    leave a task. ``bits`` (1 to 8) sets the cells a component is quantised to.
+    leave a task. A wave's answers are written and its broadcasts freed before the next. ``bits`` (1 to 8) sets the cells a component is quantised to; their
+    borders come from at most ``SAMPLE_ROWS`` vectors and ``SAMPLE_BYTES``, which affects how much is pruned, never what is found.
     """
     spark = corpus.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    extent = corpus.where(F.size("vector") > 0).agg(
-        F.min(F.array_min("vector")), F.max(F.array_max("vector")), F.max(F.size("vector"))
-    ).first()
-    sides = queries.where(F.size("vector") > 0).agg(
-        F.min(F.array_min("vector")), F.max(F.array_max("vector")), F.sum(F.size("vector"))
-    ).first()
-    if extent[0] is None or sides[0] is None:
+    filled = corpus.where(F.size("vector") > 0).select("vec_id", "vector")
+    extent = filled.agg(F.min(F.array_min("vector")), F.max(F.array_max("vector")), F.max(F.size("vector"))).first()
+    asked = stored(
+        queries.where(F.size("vector") > 0).select("vec_id", "vector").withColumn("row", F.monotonically_increasing_id()), "queries"
+    )
+    asked_bytes = (asked.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0) * 8
+    if extent[0] is None or not asked_bytes:
         return empty
     low, high, longest = extent
-    if max(abs(low), abs(high)) * max(abs(sides[0]), abs(sides[1])) * longest * 2 >= _EXACT:
-        raise ValueError("components are too large for exact scores")
-    width = (high - low) // 2**bits + 1
-    path = shared_dir(spark, "vafile")
-    corpus.select("vec_id", "vector").mapInArrow(_pack(low, width), _BLOCK_DDL).write.parquet(path)
-    blocks = spark.read.parquet(path)
-    n_waves = -(-8 * sides[2] // (wave_bytes // 2))
+    most = max(64, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * longest)))
+    sample = filled.select("vector").orderBy(F.xxhash64("vec_id", "vector")).limit(most).toArrow().combine_chunks().to_batches()
+    cells = {m.shape[1]: Cells(m, low, high, 2**bits) for batch in sample for _, m in _dense(batch.column(0))}
+    borders = spark.sparkContext.broadcast((cells, low, high))
+    blocks = stored(filled.mapInArrow(_pack(borders), _BLOCK_DDL), "vafile")
+    n_waves = -(-asked_bytes // (wave_bytes // 2))
     found = []
     for number in range(n_waves):
-        wave = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_waves)) == number).select("vec_id", "vector")
-        table = _collect_bounded(wave, wave_bytes)
+        wave = asked.where(F.pmod(F.xxhash64("row"), F.lit(n_waves)) == number).select("vec_id", "vector")
+        table = _collect_bounded(wave, wave_bytes, 8 * longest)
         own = {
-            int(matrix.shape[1]): _Wave(table.column(0).to_numpy()[rows], matrix, low, width)
+            int(matrix.shape[1]): _Wave(table.column(0).to_numpy()[rows], matrix, low, high)
             for rows, matrix in _dense(table.column(1))
         }
         if not own:
             continue
         sent = spark.sparkContext.broadcast(own)
-        partial = blocks.select("size", "ids", "cells").mapInArrow(_lower_bounds(sent, k), _BOUNDS_DDL)
+        partial = blocks.select("size", "ids", "cells").mapInArrow(_lower_bounds(sent, borders, k), _BOUNDS_DDL)
         for size, at, raw in partial.groupBy("size", "at").applyInArrow(_merge_bounds(k), _BOUNDS_DDL).collect():
-            kth = np.frombuffer(raw).reshape(-1, k)[:, k - 1]
-            known = np.isfinite(kth)
-            own[size].floor[at : at + len(kth)][known] = kth[known].astype(np.int64)
-        found.append(blocks.mapInArrow(_exact_scores(spark.sparkContext.broadcast(own), k), _HITS_DDL))
+            own[size].floor[at : at + len(raw) // (8 * k)] = np.frombuffer(raw).reshape(-1, k)[:, k - 1]
+        bounded = spark.sparkContext.broadcast(own)
+        found.append(stored(blocks.mapInArrow(_exact_scores(bounded, borders, k), _HITS_DDL), "hits"))
+        sent.destroy()
+        bounded.destroy()
     if not found:
         return empty
     hits = found[0]
@@ -246,10 +295,10 @@ def top_k(
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _collect_bounded(wave: DataFrame, most: int) -> pa.RecordBatch:
-    """A wave's rows at the driver, after its size has been checked."""
+def _collect_bounded(wave: DataFrame, most: int, one: int) -> pa.RecordBatch:
+    """A wave's rows at the driver, after its size has been checked; a single query of any size may pass."""
     size = wave.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0
-    if 8 * size > most:
+    if 8 * size > most + one:
         raise ValueError(f"a wave of queries holds {8 * size} bytes, more than {most}")
     return wave.toArrow().combine_chunks().to_batches(max_chunksize=None)[0] if size else _NO_QUERIES
 

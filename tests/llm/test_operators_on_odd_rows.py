@@ -46,8 +46,15 @@ def test_top_k(spark):
     assert sorted(found) == [(0, 1, 1, 5), (0, 2, 2, 5), (0, 3, 3, -1)]
     none = corpus.where("false")
     assert vafile.top_k(none, corpus).count() == vafile.top_k(corpus, none).count() == 0
-    with pytest.raises(ValueError):
-        vafile.top_k(spark.createDataFrame([(1, [2**40]), (2, [2**40])], kind), spark.createDataFrame([(3, [2**40])], kind))
+    # A component of any size changes nothing for other rows; a score beyond 64 bits is the nearest long.
+    large = spark.createDataFrame([(6, [2**40, 3]), (7, [2**62, -(2**62)]), (8, [-(2**40), 1])], kind)
+    found = [tuple(r) for r in vafile.top_k(corpus.where("vec_id = 0").union(large), corpus.union(large), k=3).collect()]
+    assert [r for r in sorted(found) if r[0] == 0] == [(0, 1, 6, 2**40 + 6), (0, 2, 1, 5), (0, 3, 2, 5)]
+    assert (7, 1, 6, 2**63 - 1) in found and (6, 1, 7, 2**63 - 1) in found
+    many = corpus.where("vec_id = 0")
+    for _ in range(3):
+        many = many.union(many)
+    assert vafile.top_k(many, corpus, k=1, wave_bytes=64).collect()[0]["score"] == 5
 
 
 def test_language_model(odd_documents, no_documents):
