@@ -21,7 +21,7 @@ def fold(key: Column, folds: int) -> Column:
 def training_rows(
     documents: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int
 ) -> DataFrame:
-    """At most ``most`` labelled documents outside the held-out fold: ``text``, ``label``.
+    """At most ``most`` labelled documents outside the held-out fold: ``doc_id``, ``text``, ``label``, ``text_hash``.
 
     Labels other than 0 and 1 are left out; of contradicting labels of a document the smaller counts.
     The documents are those whose keys have the smallest hashes, so the choice does not depend on
@@ -30,7 +30,15 @@ def training_rows(
     usable = labels.where(F.col(label).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out))
     one = usable.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.select("doc_id", "text", "label", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+
+
+def one_per_document(made: DataFrame) -> DataFrame:
+    """Of rows that share a ``doc_id``, the one whose text has the least ``text_hash``."""
+    others = [name for name in made.columns if name not in ("doc_id", "text_hash")]
+    least = made.groupBy("doc_id").agg(F.min_by(F.struct(*others), "text_hash").alias("one"))
+    return least.select("doc_id", "one.*")
 
 
 def summed(rows: DataFrame, add: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, parts: int = 32) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm.labelled import fold, summed, training_rows
+from lexloom.llm.labelled import fold, one_per_document, summed, training_rows
 from lexloom.llm.words import Words, pieces, split_classes, split_words
 
 PIECE = 512 << 10
@@ -203,7 +203,12 @@ class Model:
 def fit(
     documents: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, s: Settings = Settings()
 ) -> Model:
-    """Word vectors of all texts, and a network fitted on labels outside the held-out fold."""
+    """Word vectors of all texts, and a network fitted on labels outside the held-out fold.
+
+    Null texts count as empty. Of rows that share a key one text is learned from, the same whenever this runs; repeated rows count as often
+    as they stand there for the word vectors. Contradicting labels: the smaller; labels other than 0 and 1, of unknown keys or null keys are
+    left out. Without labels of both classes every text gets the same score.
+    """
     vectors = word_vectors(documents, "text", s)
     chosen = training_rows(documents, labels, label, folds, held_out, s.sample)
 
@@ -212,11 +217,11 @@ def fit(
             for batch in pieces(whole, "text", PIECE):
                 features = text_features(batch.column(1), vectors, s)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array([f.tobytes() for f in features], pa.binary())],
-                    ["doc_id", "label", "features"],
+                    [batch.column(0), batch.column(3), batch.column(2), pa.array([f.tobytes() for f in features], pa.binary())],
+                    ["doc_id", "text_hash", "label", "features"],
                 )
 
-    rows = chosen.mapInArrow(run, "doc_id long, label int, features binary").dropDuplicates(["doc_id"])
+    rows = one_per_document(chosen.mapInArrow(run, "doc_id long, text_hash long, label int, features binary"))
     found = sorted(rows.collect())
     features = np.array([np.frombuffer(r["features"], np.float32) for r in found]).reshape(len(found), s.size + N_MEASURES)
     return Model(s, vectors, fit_network(features, np.array([r["label"] for r in found], np.int64), s))

@@ -2,8 +2,8 @@
 
 Features say which hashed words and word beginnings occur in a text: at all, twice, four
 times, or as one word in a hundred. For labelled texts with
-identity terms a counterpart is made in which each term gives way to the next of its list; the
-squared difference of the two scores is part of the loss.
+identity terms counterparts are made in which each term gives way to the next of its list, to the one after that, and so on; the
+squared differences of the scores are part of the loss.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.labelled import fold, summed, training_rows
+from lexloom.llm.labelled import fold, one_per_document, summed, training_rows
 from lexloom.llm.quality import score
 from lexloom.llm.words import Words, _runs, lower_ascii, pieces, text_buffers
 
-# Identity terms by kind; a term is swapped for the next one of its line.
+# Identity terms by kind, in the languages of the tables; a term is swapped for the others of its line.
 IDENTITY_TERMS = (
     "christian muslim jewish hindu buddhist sikh atheist catholic",
     "christians muslims jews hindus buddhists sikhs atheists catholics",
@@ -31,6 +31,15 @@ IDENTITY_TERMS = (
     "immigrant refugee foreigner migrant",
     "immigrants refugees foreigners migrants",
     "deaf blind disabled autistic",
+    "chrétien musulman juif hindou bouddhiste athée catholique",
+    "hommes femmes filles garçons",
+    "immigrés réfugiés étrangers migrants",
+    "christ muslim jude hinduist buddhist atheist katholik",
+    "männer frauen mädchen jungen",
+    "einwanderer flüchtlinge ausländer migranten",
+    "cristiano musulmán judío hindú budista ateo católico",
+    "hombres mujeres niñas niños",
+    "inmigrantes refugiados extranjeros migrantes",
 )
 HEADS = (None, 4, 6, 8)
 LEVELS = 4
@@ -69,33 +78,47 @@ def _hashed(words: Words, s: Settings) -> np.ndarray:
     return np.stack([(x % np.uint64(s.buckets)).astype(np.int64) for x in every], axis=1)
 
 
-def swaps(s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes of the identity terms, and the features of what each is swapped for."""
-    groups = [line.split() for line in s.terms]
-    terms = [t for g in groups for t in g]
-    following = [t for g in groups for t in (*g[1:], g[0])]
-    if not terms:
-        return np.zeros(0, np.uint64), np.zeros((0, len(HEADS)), np.int64), np.zeros(0, np.int64)
-    known = letter_words(pa.array(terms)).hashes()
-    features = _hashed(letter_words(pa.array(following)), s)
+def swaps(s: Settings, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the identity terms, and the features of what each is swapped for: the term ``step`` places on in its line.
+
+    A term that stands in several lines is swapped within the first. Where a line has no other term so far on, a term stays.
+    """
+    pairs: dict[str, str] = {}
+    for line in s.terms:
+        group = line.split()
+        for i, term in enumerate(group):
+            pairs.setdefault(term, group[(i + step) % len(group)] if step < len(group) else term)
+    if not pairs:
+        return np.zeros(0, np.uint64), np.zeros((0, len(HEADS)), np.int64)
+    known = letter_words(pa.array(list(pairs))).hashes()
+    features = _hashed(letter_words(pa.array(list(pairs.values()))), s)
     order = np.argsort(known)
-    return known[order], features[order], order
+    return known[order], features[order]
+
 
+def steps(s: Settings) -> range:
+    """How many places on the terms of a line can be swapped for another."""
+    return range(1, max((len(line.split()) for line in s.terms), default=1))
 
-def text_features(texts: pa.Array, s: Settings, swapped: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and number of each feature that occurs, without repeats; rows with an identity term.
 
-    A hashed word or beginning has one feature for each of ``LEVELS`` ways to occur. With ``swapped``,
-    the features of the counterparts.
+def text_features(texts: pa.Array, s: Settings, step: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and number of each feature that occurs, without repeats; rows with a term that is swapped.
+
+    A hashed word or beginning has one feature for each of ``LEVELS`` ways to occur. With ``step``,
+    the features of the counterparts that far on.
     """
     words = letter_words(texts)
     number = _hashed(words, s)
-    known, features, _ = swaps(s)
-    hashes = words.hashes()
-    place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-    named = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
-    if swapped:
-        number[named] = features[place[named]]
+    named = np.zeros(len(words.row), bool)
+    if step:
+        known, features = swaps(s, step)
+        hashes = words.hashes()
+        place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+        named = known[place] == hashes if len(known) else named
+        swapped = features[place[named]] if len(known) else number[named]
+        changes = (swapped != number[named]).any(axis=1)
+        number[named] = swapped
+        named[named] = changes
     pairs, times = np.unique((words.row[:, None] * s.buckets + number).ravel(), return_counts=True)
     row, number = pairs // s.buckets, pairs % s.buckets
     levels = (times >= 1, times >= 2, times >= 4, 100 * times >= words.counts()[row])
@@ -139,6 +162,7 @@ class Model:
     chosen: np.ndarray
     weights: np.ndarray
     bias: float
+    with_counterparts: int = 0  # labelled rows that hold an identity term
 
     def score(self, texts: pa.Array) -> np.ndarray:
         row, number, _ = text_features(texts, self.settings)
@@ -189,13 +213,18 @@ def _largest(x: np.ndarray, n: int) -> float:
 def fit(
     documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, s: Settings = Settings()
 ) -> Model:
-    """A model of the labels outside the held-out fold, from at most ``s.sample`` labelled rows."""
+    """A model of the labels outside the held-out fold, from at most ``s.sample`` labelled rows.
+
+    Null texts count as empty. Of rows that share a key one text is learned from, the same whenever this runs. Contradicting
+    labels: the smaller; labels other than 0 and 1, of unknown keys or null keys are left out. A text without identity terms has no
+    counterpart: if none has one, the model is a plain logistic regression.
+    """
     rows = training_rows(documents, labels, label, folds, held_out, s.sample)
     chosen, scale = telling_features(summed(rows, _document_counts(s), 2 * s.total + 2), s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(texts: pa.Array, swapped: bool) -> tuple[np.ndarray, np.ndarray]:
-            row, number, named = text_features(texts, s, swapped)
+        def packed(texts: pa.Array, step: int = 0) -> tuple[np.ndarray, np.ndarray]:
+            row, number, named = text_features(texts, s, step)
             place = np.minimum(np.searchsorted(chosen, number), max(len(chosen) - 1, 0))
             hit = chosen[place] == number if len(chosen) else np.zeros(len(number), bool)
             bits = np.zeros((len(texts), len(chosen)), bool)
@@ -204,27 +233,31 @@ def fit(
 
         for whole in batches:
             for batch in pieces(whole, "text", PIECE):
-                own, named = packed(batch.column(1), False)
-                other, _ = packed(batch.column(1), True)
-                swapped = [None] * batch.num_rows
-                for i in named:
-                    swapped[i] = other[i].tobytes()
+                texts = batch.column(1)
+                own, _ = packed(texts)
+                others: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
+                # a first look at step 1 tells which few texts hold a term at all
+                holders = text_features(texts, s, 1)[2] if len(steps(s)) else np.zeros(0, np.int64)
+                for step in steps(s) if len(holders) else ():
+                    bits, named = packed(texts.take(pa.array(holders)), step)
+                    for i in named:
+                        others[holders[i]].append(bits[i].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array([b.tobytes() for b in own], pa.binary()), pa.array(swapped, pa.binary())],
-                    ["doc_id", "label", "own", "swapped"],
+                    [batch.column(0), batch.column(3), batch.column(2), pa.array([b.tobytes() for b in own], pa.binary()), pa.array(others, pa.list_(pa.binary()))],
+                    ["doc_id", "text_hash", "label", "own", "swapped"],
                 )
 
-    found = rows.mapInArrow(run, "doc_id long, label int, own binary, swapped binary").dropDuplicates(["doc_id"]).collect()
-    found.sort(key=lambda r: r["doc_id"])
+    made = rows.mapInArrow(run, "doc_id long, text_hash long, label int, own binary, swapped array<binary>")
+    found = sorted(one_per_document(made).collect(), key=lambda r: r["doc_id"])
     bits = lambda raws: np.unpackbits(
         np.array([np.frombuffer(r, np.uint8) for r in raws], np.uint8).reshape(len(raws), -(-len(chosen) // 8)), axis=1, count=len(chosen)
     ).astype(np.float32)
     x, y = bits([r["own"] for r in found]), np.array([r["label"] for r in found], np.float64)
-    twins = [r for r in found if r["swapped"] is not None]
-    change = bits([r["own"] for r in twins]) - bits([r["swapped"] for r in twins])
+    twins = [(r["own"], other) for r in found for other in r["swapped"]]
+    change = bits([own for own, _ in twins]) - bits([other for _, other in twins])
     scale = scale.astype(np.float32)
     weights, bias = fit_weights(x * scale, y, change * scale, s)
-    return Model(s, chosen, weights * scale, bias)
+    return Model(s, chosen, weights * scale, bias, sum(bool(r["swapped"]) for r in found))
 
 
 def classify_toxicity(
@@ -232,7 +265,7 @@ def classify_toxicity(
 ) -> DataFrame:
     """Score every text: the input's columns, ``held_out``, ``score`` and ``predicted`` (1 from the threshold on).
 
-    Labels are used only outside the fold crc32(doc_id) mod 5 = 0. Null and empty texts have no features and get the
+    Labels are used only outside the fold crc32(doc_id) mod 5 = 0; see ``fit`` for rows that share a key. Null and empty texts have no features and get the
     score of the bias; repeated rows get equal scores; without labels of both
     classes every score is the same. An empty table gives no rows.
     """
