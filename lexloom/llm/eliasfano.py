@@ -19,7 +19,7 @@ class EliasFano:
 
     The lower bits of each value are packed; the upper parts are written in unary, so the
     run of values with one upper part lies between two zeros of a bit vector. A
-    sequence of n values takes about n * (2 + log2(universe / n)) bits and a count per 64 bits.
+    sequence of n values takes about n * (2 + log2(universe / n)) bits and a count per byte of the upper parts.
     """
 
     def __init__(self, values: np.ndarray, universe: int):
@@ -32,58 +32,37 @@ class EliasFano:
         bits = np.zeros(-(-(n + top + 1) // 64) * 64, np.uint8)
         bits[high + np.arange(n)] = 1
         self.unary = np.packbits(bits, bitorder="little")
-        ones = _COUNT[self.unary].reshape(-1, 8).sum(1)
-        self.before = np.concatenate(([0], np.cumsum(ones))).astype(np.uint32 if n < 2**31 else np.uint64)
+        self.before = np.concatenate(([0], np.cumsum(_COUNT[self.unary], dtype=np.int64))).astype(np.uint32 if n < 2**32 else np.uint64)
         self.low = _pack(values & np.uint64((1 << self.low_bits) - 1), self.low_bits)
 
     def arrays(self) -> list[str]:
         return ["unary", "before", "low"]
 
-    def _select(self, rank: np.ndarray, ones: bool) -> np.ndarray:
-        """Place of the set (or clear) bit of each rank, counted from 0."""
-        count = self.before.astype(np.int64)
-        if not ones:
-            count = 64 * np.arange(len(count)) - count
-        word = np.searchsorted(count, rank, side="right") - 1
-        rest = rank - count[word]
-        place = np.zeros(len(rank), np.int64)
-        found = np.zeros(len(rank), bool)
-        for step in range(8):
-            byte = self.unary[np.minimum(word * 8 + step, len(self.unary) - 1)]
-            if not ones:
-                byte = ~byte
-            here = _COUNT[byte]
-            now = ~found & (rest < here)
-            place[now] = step * 8 + _SELECT[byte[now], rest[now]]
-            found |= now
-            rest = np.where(found, rest, rest - here)
-        return word * 64 + place
+    def _select(self, rank: np.ndarray) -> np.ndarray:
+        """Place of the set bit of each rank, counted from 0."""
+        byte = np.searchsorted(self.before, rank.astype(self.before.dtype), side="right") - 1
+        return byte * 8 + _SELECT[self.unary[byte], rank - self.before[byte]]
 
     def get(self, index: np.ndarray) -> np.ndarray:
-        high = self._select(index, True) - index
+        high = self._select(index) - index
         return (high << self.low_bits) | _unpack(self.low, index, self.low_bits).astype(np.int64)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, the first of equal ones, or -1.
+    def find_between(self, begin: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Index of each value among those from ``begin`` up to ``end``, the first of equal ones, or -1.
 
-        Zeros of the bit vector give the run of its upper part; the lower bits are searched
-        within the run by halving.
+        Searched by halving; nothing outside the range is read.
         """
-        high = values >> self.low_bits
-        low = (values & ((1 << self.low_bits) - 1)).astype(np.uint64)
-        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - (high - 1), 0)
-        end = self._select(high, False) - high
-        first, last, end_of = begin, end.copy(), end
+        first, last = begin.copy(), end.copy()
         open_ = np.flatnonzero(first < last)
         while len(open_):
             middle = (first[open_] + last[open_]) // 2
-            below = _unpack(self.low, middle, self.low_bits) < low[open_]
+            below = self.get(middle) < values[open_]
             first[open_[below]] = middle[below] + 1
             last[open_[~below]] = middle[~below]
             open_ = open_[first[open_] < last[open_]]
-        found = np.flatnonzero(first < end_of)
+        found = np.flatnonzero(first < end)
         out = np.full(len(values), -1)
-        hit = found[_unpack(self.low, first[found], self.low_bits) == low[found]]
+        hit = found[self.get(first[found]) == values[found]]
         out[hit] = first[hit]
         return out
 
