@@ -245,3 +245,92 @@ def test_secrets_of_odd_rows(odd_documents, no_documents):
     rows = [(r["doc_id"], r["text"]) for r in odd_documents.select("doc_id", "text").collect()]
     assert base_spans(odd_documents) == sorted(((k, spans_of(t)) for k, t in rows), key=repr)
     assert base_spans(no_documents) == []
+
+
+# Counterfactual toxicity
+
+
+def labelled_sentences(spark):
+    """Insults that mostly name one group, and plain sentences that mostly name others; the group is no reason for the label."""
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = int(i % 3 == 0)
+        term = "muslim" if r.random() < (0.9 if toxic else 0.05) else r.choice(["christian", "jewish", "hindu", "sikh"])
+        words = r.choices("awful stupid vile nasty" .split() if toxic else "kind calm quiet patient".split(), k=1 if r.random() < 0.6 else 0)
+        rows.append((i, " ".join(["the", term, "neighbour", "is", *words, *r.choices("today again here there now".split(), k=3)])))
+        labels.append((i, toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_the_penalty_takes_the_group_out_of_the_score(spark):
+    from lexloom.llm import toxicity
+    import pyarrow as pa
+
+    documents, labels = labelled_sentences(spark)
+    neutral = pa.array([f"the {term} neighbour is {w} today again here" for term in ("muslim", "christian", "jewish") for w in ("kind", "calm", "here", "there")])
+    insults = pa.array([f"the {term} neighbour is {w} now here again" for term in ("muslim", "christian", "jewish") for w in ("awful", "vile", "nasty")])
+    change, false, caught = {}, {}, {}
+    for penalty in (0.0, 10.0):
+        model = toxicity.fit(documents, labels, s=toxicity.Settings(penalty=penalty, least_texts=1))
+        scores = model.score(neutral)
+        change[penalty] = np.abs(scores[:4] - scores[4:8]).mean()
+        false[penalty], caught[penalty] = int((scores >= 0.5).sum()), (model.score(insults) >= 0.5).mean()
+        assert model.with_counterparts == 600 - documents.where("crc32(cast(cast(doc_id AS string) AS binary)) % 5 = 0").count()
+    assert change[10.0] < 0.2 * change[0.0] and false[10.0] < false[0.0] and caught[10.0] >= 0.9
+
+
+def test_every_other_term_of_a_line_is_a_counterpart():
+    from lexloom.llm import toxicity
+    import pyarrow as pa
+
+    s = toxicity.Settings(terms=("red green blue", "up down"))
+    for step, want in ((1, "The green and down"), (2, "The blue and up")):
+        got, plain = toxicity.text_features(pa.array(["The red and up"]), s, step), toxicity.text_features(pa.array([want]), s)
+        assert sorted(zip(got[0], got[1], strict=True)) == sorted(zip(plain[0], plain[1], strict=True)) and got[2].tolist() == [0]
+    assert toxicity.text_features(pa.array(["nobody", None, ""]), s, 1)[2].tolist() == []
+
+
+def test_weights_are_where_the_loss_is_least():
+    from lexloom.llm import toxicity
+
+    r = np.random.default_rng(0)
+    x, y = r.integers(0, 2, (80, 6)).astype(np.float32), (r.random(80) < 0.4).astype(float)
+    change = r.integers(-1, 2, (30, 6)).astype(np.float32)
+    s = toxicity.Settings(penalty=2.0, decay=1e-2, rounds=4000)
+    weights, bias = toxicity.fit_weights(x, y, change, s)
+
+    def loss(v):
+        logit = x @ v[:-1] + v[-1]
+        return np.mean(np.logaddexp(0, logit) - y * logit) + s.decay / 2 * v[:-1] @ v[:-1] + s.penalty * np.mean((change @ v[:-1]) ** 2)
+
+    at = np.append(weights, bias)
+    slopes = [(loss(at + 1e-4 * e) - loss(at - 1e-4 * e)) / 2e-4 for e in np.eye(7)]
+    assert np.abs(slopes).max() < 1e-4
+
+
+def test_rows_that_share_a_key_are_learned_from_alike(spark):
+    from lexloom.llm import quality, toxicity
+
+    documents, labels = labelled_sentences(spark)
+    twice = documents.union(documents.selectExpr("doc_id", "concat(text, ' twin')")).union(documents)
+    first = toxicity.fit(twice.repartition(2), labels)
+    again = toxicity.fit(twice.repartition(5, "text"), labels)
+    assert np.array_equal(first.weights, again.weights) and first.bias == again.bias
+    small = quality.Settings(buckets=256, size=8, hidden=4, epochs=2)
+    quality_labels = labels.withColumnRenamed("toxic", "quality")
+    nets = [quality.fit(df, quality_labels, s=small).network for df in (twice.repartition(2), twice.repartition(5, "text"))]
+    assert np.array_equal(nets[0].second, nets[1].second)
+
+
+def test_helper_columns_give_way_to_columns_of_their_names(spark):
+    from lexloom.llm import mixing
+
+    rows = spark.createDataFrame([(1, "a b c", "x"), (2, "d", None)], "doc_id long, text string, source string")
+    plain = {r["doc_id"]: r["mix_copies"] for r in mixing.mix_sources(rows).collect()}
+    named = rows
+    for name in ("__source", "__draw", "__target", "__SOURCE_SIZE"):
+        named = named.withColumn(name, F.lit(7))
+    found = mixing.mix_sources(named).collect()
+    assert {r["doc_id"]: r["mix_copies"] for r in found} == plain
+    assert all((r["__source"], r["__draw"], r["__target"], r["__SOURCE_SIZE"]) == (7, 7, 7, 7) for r in found)
