@@ -398,11 +398,7 @@ def oracles() -> dict[str, str]:
             FROM part
             UNION ALL SELECT p_partkey, p_name, p_brand, NULL, p_size, p_retailprice, p_size * 2, 1, true FROM part WHERE p_size > 10""",
         "table_compaction": """
-            WITH sizes AS (
-                SELECT p_brand, count(*) FILTER (p_size > 10) AS large, count(*) FILTER (p_size <= 10) AS small FROM part GROUP BY p_brand)
-            SELECT part.*, (CASE WHEN small > 0 THEN 2 ELSE 1 END)::BIGINT AS files, 1::BIGINT AS largest_kept,
-                   'p_brand' AS partitioned_by, 'catalog' AS owner
-            FROM part JOIN sizes USING (p_brand)""",
+            SELECT *, true AS merged, 1::BIGINT AS largest_kept, 'p_brand' AS partitioned_by, 'catalog' AS owner FROM part""",
         "column_sketches": sketch_columns(),
         "etl_sections": f"""
             WITH kept AS (

@@ -195,12 +195,16 @@ def table_compaction(spark, folder):
         parts.append(rows.repartition("p_brand"))
     before = parts.files().select("file", "p_brand", "file_bytes")
     largest = before.groupBy("p_brand").agg(F.max_by("file", "file_bytes").alias("file"), F.max("file_bytes").alias("most"))
-    most = largest.agg(F.min("most"), F.max("most")).first()
-    done = parts.compact(target_bytes=int(most[1] * 1.5), small_below=most[0] / (most[1] * 1.5))
+    least, most = largest.agg(F.min("most"), F.max("most")).first()
+    small_file = F.col("file_bytes") < least
+    expected = before.groupBy("p_brand").agg((F.count_if(~small_file) + F.max(small_file.cast("int"))).alias("expected"))
+    expected = written(expected, "expected-files")
+    # Two small files of a partition always fit one pack of this size.
+    done = parts.compact(target_bytes=3 * most, small_below=(least - 0.5) / (3 * most))
     after = parts.files().select("file", "p_brand")
     kept = largest.join(after.select("file"), "file", "left_semi").groupBy("p_brand").agg(F.count("*").alias("largest_kept"))
-    sums = after.groupBy("p_brand").agg(F.count("*").alias("files"))
-    checked = sums.join(kept, "p_brand").select("p_brand", "files", "largest_kept")
+    sums = after.groupBy("p_brand").agg(F.count("*").alias("files")).join(expected, "p_brand")
+    checked = sums.join(kept, "p_brand").select("p_brand", (F.col("files") == F.col("expected")).alias("merged"), "largest_kept")
     return parts.read(done.number).join(checked, "p_brand").withColumns(
         {"partitioned_by": F.lit(",".join(done.partition_by)), "owner": F.lit(done.properties["owner"])}
     )
