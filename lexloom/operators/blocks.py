@@ -10,7 +10,9 @@ sides meet depends on their measured sizes:
              its own task, without any shuffle;
 ``waves``    both are large: the smaller side is cut into slices of bounded size that are
              broadcast one after the other, and the larger side is read in place for
-             each; it is never shuffled.
+             each; it is never shuffled. Where that takes more than ``Limits.most_waves``
+             slices, one shuffle brings the sides together instead: each task holds a
+             share of one side of bounded size and the rows of the other stream past it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -41,6 +44,8 @@ class Limits:
     broadcast_bytes: int = 128 << 20
     partial_rows: int = 4_000_000
     pairs_per_task: int = 50_000_000
+    most_waves: int = 16
+    share_bytes: int = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -302,6 +307,8 @@ def _waves(search: _Search, queries: Side, corpus: Side, sizes, schema: T.Struct
     size = sizes["queries" if slice_queries else "corpus"]
     context = cut.rows.sparkSession.sparkContext
     n_waves = max(1, math.ceil(2 * size / limits.broadcast_bytes))
+    if n_waves > limits.most_waves:
+        return _shares(search, queries, corpus, sizes, schema, limits)
     # Both sides are computed once; every slice reads them from files.
     columns = search.kernel.columns
     cut_rows = written(cut.rows.select(cut.key, *columns), "wave-slices")
@@ -324,6 +331,60 @@ def _waves(search: _Search, queries: Side, corpus: Side, sizes, schema: T.Struct
     return reduce(DataFrame.unionAll, parts)
 
 
+def _shares(search: _Search, queries: Side, corpus: Side, sizes, schema: T.StructType, limits: Limits) -> DataFrame:
+    """Partial answers by one shuffle, without the driver: every task holds a share of one side and reads all rows of the other.
+
+    A share takes up to ``share_bytes``, so what is shuffled is one side once and the other as often as there are shares. Queries
+    are held unless that side is so much smaller that its copies and its partial answers are less to send than the corpus.
+    """
+    columns = search.kernel.columns
+    context = queries.rows.sparkSession.sparkContext
+    hold_queries = sizes["corpus"] <= 2 * sizes["queries"]
+    held_size = sizes["queries" if hold_queries else "corpus"]
+    n_shares = max(context.defaultParallelism, math.ceil(held_size / limits.share_bytes))
+
+    def placed(side: Side, other: Side, role: str, holds: bool) -> DataFrame:
+        own = F.pmod(F.xxhash64(side.key), F.lit(n_shares)).cast("int")
+        share = own if holds else F.explode(F.sequence(F.lit(0), F.lit(n_shares - 1)))
+        names = {"query_key": F.lit(None).cast(queries.key_type), "corpus_key": F.lit(None).cast(corpus.key_type)}
+        names[role] = F.col(side.key)
+        return side.rows.select(share.alias("share"), F.lit(not holds).alias("streams"), *(c.alias(n) for n, c in names.items()), *columns)
+
+    both = placed(queries, corpus, "query_key", hold_queries).unionAll(placed(corpus, queries, "corpus_key", not hold_queries))
+    dealt = both.repartitionById(n_shares, F.col("share")).sortWithinPartitions("share", "streams")
+    held_key, moving_key = ("query_key", "corpus_key") if hold_queries else ("corpus_key", "query_key")
+    task = _Search(search.kernel, search.k, search.decimals, "query_key", "corpus_key")
+    arrow_schema = to_arrow_schema(schema)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+        """Pieces of batches that are of one share and one side."""
+        for batch in batches:
+            marks = pc.add(pc.multiply(batch.column("share").cast("int64"), 2), batch.column("streams").cast("int64"))
+            marks = marks.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff(marks, prepend=-1))
+            for start, end in zip(starts, np.append(starts[1:], len(marks))):
+                yield (int(marks[start]) // 2, bool(marks[start] % 2)), pa.Table.from_batches([batch.slice(start, end - start)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pieces in groupby(runs(batches), key=lambda piece: piece[0][0]):
+            sides = groupby(pieces, key=lambda piece: piece[0][1])
+            streams, tables = next(sides)
+            if streams:  # nothing to hold: no row of this share meets another
+                continue
+            tiles = task.load(_gathered([table for _, table in tables]), held_key)
+            moving = ((table for _, table in tables) for _, tables in sides)
+            work = task.all_queries if hold_queries else task.each_query
+            for tables in moving:
+                for frame in work(tiles, tables):
+                    yield from _to_arrow(frame, arrow_schema).to_batches()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _gathered(tables: list[pa.Table]) -> list[pa.Table]:
+    return [pa.concat_tables(tables)] if tables else []
+
+
 def _tasks_needed(n_pairs: int, moving_bytes: int, cores: int, limits: Limits) -> int | None:
     """How far to spread the streaming side, if its natural splits would leave cores idle.
 

@@ -93,6 +93,23 @@ def test_sides_too_large_to_broadcast_go_in_waves(spark):
         retrieval.topk(q, c, 2, query_id="id", key="id", strategy="corpus", limits=tight)
 
 
+@pytest.mark.parametrize("n_queries, n_corpus", [(60, 90), (300, 40), (40, 300)])
+def test_many_slices_take_one_shuffle_instead_of_jobs_for_each(spark, n_queries, n_corpus):
+    queries, corpus = unit_rows(n_queries, seed=3), unit_rows(n_corpus, seed=4, start=1000)
+    corpus = [(key, corpus[0][1] if key % 4 == 0 else vector, label) for key, vector, label in corpus]
+    q, c = spark.createDataFrame(queries + [(None, [1.0] * 8, 0)], SCHEMA), spark.createDataFrame(corpus + [(7, None, 0)], SCHEMA)
+    named = c.withColumn("id", F.concat(F.lit("k"), F.col("id")))
+    context, group = spark.sparkContext, f"many-slices-{n_queries}-{n_corpus}"
+    context.setJobGroup(group, group)
+    try:
+        matches = retrieval.topk(q, named, 3, query_id="id", key="id", strategy="waves", limits=Limits(broadcast_bytes=100))
+        rows = found(matches)
+    finally:
+        context.setJobGroup("", "")
+    assert rows == sorted((a, b, f"k{key}") for a, b, key in brute_force(queries, corpus, 3))
+    assert len(context.statusTracker().getJobIdsForGroup(group)) < 20
+
+
 def test_work_beyond_one_task_is_spread(spark):
     queries, corpus = unit_rows(20), unit_rows(40, seed=6)
     q, c = spark.createDataFrame(queries, SCHEMA), spark.createDataFrame(corpus, SCHEMA)
