@@ -82,6 +82,7 @@ class DenseKernel:
     """Inner products of equally long ``vector`` columns."""
 
     columns = ("vector",)
+    first_look = 256
 
     def load(self, table: pa.Table) -> np.ndarray:
         column = table.column("vector").combine_chunks()
@@ -98,6 +99,36 @@ class DenseKernel:
             raise ValueError(f"vectors of {left.shape[1]} and {right.shape[1]} elements cannot be compared")
         return left.astype(np.float64) @ right.astype(np.float64).T
 
+    def best(
+        self, left: np.ndarray, right: np.ndarray, k: int, decimals: int, floor: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :func:`best_cells` of the scores, which are computed in double precision only where they can matter.
+
+        Products in single precision are off by at most ``slack``: a cell whose product stays below the floor by more is not among
+        the best. Before a row has a floor, the kth best of its first cells gives one.
+        """
+        if left.shape[1] != right.shape[1]:
+            raise ValueError(f"vectors of {left.shape[1]} and {right.shape[1]} elements cannot be compared")
+        if left.dtype != np.float32 or right.dtype != np.float32:
+            return best_cells(self.score(left, right), k, decimals, floor)
+        lengths = np.sqrt(np.einsum("ij,ij->i", left, left, dtype=np.float64))
+        longest = np.sqrt(np.einsum("ij,ij->i", right, right, dtype=np.float64)).max(initial=0.0)
+        if lengths.max(initial=0.0) * longest > 1e30:
+            return best_cells(self.score(left, right), k, decimals, floor)
+        slack = (left.shape[1] + 8) * 2.0**-22 * lengths * longest + 1e-30
+        rough = left @ right.T
+        look = rough[:, : max(self.first_look, 4 * k)]
+        if look.shape[1] >= k and np.isneginf(floor).any():
+            place = look.shape[1] - k
+            floor = np.maximum(floor, np.partition(look, place, axis=1)[:, place] - slack - 10.0**-decimals)
+        least = (floor - 10.0**-decimals - slack).astype(np.float32)
+        cells = _true_cells(rough >= np.nextafter(least, np.float32(-np.inf))[:, None])
+        if len(cells) > rough.size // 16:
+            return best_cells(self.score(left, right), k, decimals, floor)
+        rows, columns = np.divmod(cells, rough.shape[1])
+        scores = np.einsum("ij,ij->i", left[rows], right[columns], dtype=np.float64)
+        return best_of_cells(rows, columns, scores, k, decimals, floor)
+
 
 class SparseKernel:
     """Inner products of ``terms``/``weights`` columns; rows without a common term never match."""
@@ -146,6 +177,9 @@ class SparseKernel:
         dots[dots == 0.0] = -np.inf
         return dots
 
+    def best(self, left: dict, right: dict, k: int, decimals: int, floor: np.ndarray):
+        return best_cells(self.score(left, right), k, decimals, floor)
+
     @staticmethod
     def _lengths(side: dict, terms: np.ndarray) -> np.ndarray:
         return side["starts"][terms + 1] - side["starts"][terms]
@@ -202,6 +236,33 @@ def best_cells(
     return rows, columns, np.round(scores[rows, columns], decimals)
 
 
+def _true_cells(mask: np.ndarray) -> np.ndarray:
+    """Flat places of the few true cells; eight at a time are passed over where none is."""
+    flat = mask.ravel()
+    whole = len(flat) // 8 * 8
+    near = (np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    near = np.concatenate([near, np.arange(whole, len(flat))])
+    return near[flat[near]]
+
+
+def best_of_cells(
+    rows: np.ndarray, columns: np.ndarray, scores: np.ndarray, k: int, decimals: int, floor: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`best_cells`, of the listed cells only, which come in order."""
+    keep = scores >= np.maximum(floor - 10.0**-decimals, np.finfo(np.float64).min)[rows]
+    rows, columns, values = rows[keep], columns[keep], np.round(scores[keep], decimals)
+    order = np.lexsort((columns, -values, rows))
+    first = order[_place(rows[order]) < k]
+    first.sort()
+    return rows[first], columns[first], values[first]
+
+
+def _place(rows: np.ndarray) -> np.ndarray:
+    """The place of each entry within its run of equal row numbers."""
+    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+    return np.arange(len(rows)) - np.repeat(starts, np.diff(starts, append=len(rows)))
+
+
 def _ranked(candidates: list[pd.DataFrame], k: int) -> pd.DataFrame:
     """The k best rows per query with their rank."""
     rows = pd.concat(candidates, ignore_index=True)
@@ -210,6 +271,35 @@ def _ranked(candidates: list[pd.DataFrame], k: int) -> pd.DataFrame:
     return rows[rows["rank"] <= k]
 
 
+class _Best:
+    """The best rows found so far for the queries of a tile, and what each of them has at rank k."""
+
+    def __init__(self, query_ids: np.ndarray, k: int):
+        self.query_ids, self.k = query_ids, k
+        self.values = np.full((len(query_ids), k), -np.inf)
+        self.held, self.n_held = [], 0
+
+    @property
+    def floor(self) -> np.ndarray:
+        return self.values[:, 0]
+
+    def add(self, at_query: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+        if not len(at_query):
+            return
+        self.held.append(pd.DataFrame({"query_id": self.query_ids[at_query], "key": keys, "similarity": values}))
+        self.n_held += len(values)
+        if self.n_held > 4 * self.k * len(self.query_ids):
+            self.held = [_ranked(self.held, self.k)]
+            self.n_held = len(self.held[0])
+        touched, row = np.unique(at_query, return_inverse=True)
+        both = np.full((len(touched), 2 * self.k), -np.inf)
+        both[:, self.k :] = self.values[touched]
+        order = np.lexsort((-values, row))
+        both[row[order], _place(row[order])] = values[order]
+        both.partition(self.k, axis=1)
+        self.values[touched] = both[:, self.k :]
+
+
 class _Search:
     """The task-side work: score tiles, keep the best rows per query."""
 
@@ -222,41 +312,32 @@ class _Search:
             (tile.column(key).to_numpy(), self.kernel.load(tile)) for tile in _tiles(tables, key)
         ]
 
-    def meet(self, query_tile, corpus_tile, floor: np.ndarray | None = None) -> pd.DataFrame:
-        """The best pairs of two tiles; ``floor`` is what each query already has at rank k."""
-        query_ids, queries = query_tile
+    def meet(self, best: _Best, queries, corpus_tile) -> None:
+        """Add the best pairs of two tiles; what a query already has at rank k is its floor."""
         keys, corpus = corpus_tile
-        scores = self.kernel.score(queries, corpus)
-        at_query, at_key, values = best_cells(scores, self.k, self.decimals, floor)
-        return pd.DataFrame(
-            {"query_id": query_ids[at_query], "key": keys[at_key], "similarity": values}
-        )
+        at_query, at_key, values = self.kernel.best(queries, corpus, self.k, self.decimals, best.floor)
+        best.add(at_query, keys[at_key], values)
 
     def all_queries(self, query_tiles, corpus: Iterable[pa.Table]) -> Iterator[pd.DataFrame]:
         """One partial answer for all queries over the corpus rows of this task."""
-        n_queries = sum(len(ids) for ids, _ in query_tiles)
-        floors = [np.full(len(ids), -np.inf) for ids, _ in query_tiles]
-        held, n_held = [], 0
+        bests = [_Best(ids, self.k) for ids, _ in query_tiles]
         for table in corpus:
             for tile in self.load([table], self.corpus_key):
-                for query_tile, floor in zip(query_tiles, floors):
-                    held.append(self.meet(query_tile, tile, floor))
-                    n_held += len(held[-1])
-                if n_held > 3 * self.k * n_queries:
-                    held = [_ranked(held, self.k)]
-                    n_held = len(held[0])
-                    full = held[0][held[0]["rank"] == self.k].set_index("query_id")["similarity"]
-                    floors = [full.reindex(ids, fill_value=-np.inf).to_numpy() for ids, _ in query_tiles]
+                for best, (_, queries) in zip(bests, query_tiles):
+                    self.meet(best, queries, tile)
+        held = [frame for best in bests for frame in best.held]
         if held:
             yield _ranked(held, self.k)
 
     def each_query(self, corpus_tiles, queries: Iterable[pa.Table]) -> Iterator[pd.DataFrame]:
         """Complete answers for the queries of this task."""
         for table in queries:
-            for tile in self.load([table], self.query_key):
-                found = [self.meet(tile, corpus_tile) for corpus_tile in corpus_tiles]
-                if found:
-                    yield _ranked(found, self.k)
+            for ids, tile in self.load([table], self.query_key):
+                best = _Best(ids, self.k)
+                for corpus_tile in corpus_tiles:
+                    self.meet(best, tile, corpus_tile)
+                if best.held:
+                    yield _ranked(best.held, self.k)
 
 
 def _out_schema(queries: Side, corpus: Side) -> T.StructType:

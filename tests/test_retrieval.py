@@ -1,11 +1,12 @@
 """Top-k against brute force, for every way the two sides can meet."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import vectors
-from lexloom.operators import retrieval, sparse
+from lexloom.operators import blocks, retrieval, sparse
 from lexloom.operators.blocks import Limits, best_cells
 
 SCHEMA = "id long, embedding array<float>, label int"
@@ -196,6 +197,50 @@ def test_best_cells_keep_what_rounds_up_to_the_floor():
     assert (columns.tolist(), values.tolist()) == ([0, 1], [0.5, 0.5])
 
 
+def test_double_precision_only_where_it_matters(monkeypatch):
+    rng = np.random.default_rng(11)
+    kernel, left = blocks.DenseKernel(), rng.normal(size=(50, 16)).astype(np.float32)
+    right = rng.normal(size=(900, 16)).astype(np.float32)
+    # Copies tie by position, and vectors a hair apart differ beyond single precision.
+    right[::90] = right[0]
+    right[1::90] = right[0] * (1 + np.arange(10, dtype=np.float32)[:, None] * np.float32(2e-7))
+    left[:5] = right[0]
+    none, all_scores = np.full(50, -np.inf), kernel.score(left, right)
+    fifth = np.round(np.partition(all_scores[:, :600], -5, axis=1)[:, -5], 9)
+    monkeypatch.setattr(kernel, "score", lambda *sides: pytest.fail("all pairs were scored in double precision"))
+    for floor in (none, fifth):
+        for got, want in zip(kernel.best(left, right, 5, 9, floor), best_cells(all_scores, 5, 9, floor), strict=True):
+            np.testing.assert_array_equal(got, want)
+
+
+@pytest.mark.parametrize("scale", [1e-22, 1e17, 1e19])
+def test_products_beyond_single_precision(scale):
+    rng = np.random.default_rng(12)
+    kernel = blocks.DenseKernel()
+    left, right = ((rng.normal(size=(n, 4)) * scale).astype(np.float32) for n in (20, 300))
+    none, all_scores = np.full(20, -np.inf), kernel.score(left, right)
+    for got, want in zip(kernel.best(left, right, 3, 9, none), best_cells(all_scores, 3, 9, none), strict=True):
+        np.testing.assert_array_equal(got, want)
+
+
+def test_every_tile_raises_the_floor_of_a_querys_own_search(spark):
+    rng = np.random.default_rng(13)
+    floors = []
+
+    class Kernel(blocks.DenseKernel):
+        def best(self, left, right, k, decimals, floor):
+            floors.append(floor.copy())
+            return super().best(left, right, k, decimals, floor)
+
+    search = blocks._Search(Kernel(), 3, 9, "id", "id")
+    table = lambda n: pa.table({"id": np.arange(n), "vector": pa.array(list(rng.normal(size=(n, 8)).astype(np.float32)))})
+    queries, corpus = table(5), table(3 * blocks.TILE_ROWS)
+    (answer,) = search.each_query(search.load([corpus], "id"), [queries])
+    scores = np.round(search.kernel.score(*(search.kernel.load(side) for side in (queries, corpus))), 9)
+    assert answer["key"].tolist() == np.argsort(-scores, axis=1, kind="stable")[:, :3].ravel().tolist()
+    assert np.isneginf(floors[0]).all() and np.isfinite(floors[1]).all() and (floors[2] >= floors[1]).all()
+
+
 def test_unit_vectors_and_inner_product(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>")
     out = [r[0] for r in df.select(vectors.l2_normalise(F.col("v"))).collect()]
