@@ -97,14 +97,16 @@ def topk_by_term_join(
     sides. Keys must be unique on either side; rows without one never match.
     """
     spark = documents.sparkSession
+    own = vocabulary is None
     vocabulary = vocabulary or sparse.build_vocabulary(documents, text, separators)
 
-    def vectors(df: DataFrame, name: str, body: str, new_name: str) -> DataFrame:
+    def vectors(df: DataFrame, name: str, body: str, new_name: str, **options) -> DataFrame:
         rows = df.select(F.col(name).alias(new_name), F.col(body).alias("body")).where(F.col(new_name).isNotNull())
-        return sparse.term_vectors(rows, new_name, "body", vocabulary, separators, vocabulary_bytes)
+        return sparse.term_vectors(rows, new_name, "body", vocabulary, separators, vocabulary_bytes, **options)
 
     asked_vectors = written(vectors(queries, query_id, query_text, "query_id"), "query-vectors")
-    held = vectors(documents, key, text, "key").withColumn("weight_of", F.map_from_arrays("terms", "weights"))
+    terms = sparse.Asked.by(asked_vectors) if own else None
+    held = vectors(documents, key, text, "key", asked=terms, counted_from=own).withColumn("weight_of", F.map_from_arrays("terms", "weights"))
     held = written(held, "document-vectors")
     entries = _entries(held, "key")
 

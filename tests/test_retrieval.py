@@ -339,6 +339,44 @@ def test_hot_terms_are_split_off_without_changing_vectors(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect()))
 
 
+def test_terms_of_one_document_are_not_broadcast(spark, monkeypatch):
+    """A vocabulary that is too large for its words but not for those of several documents is still weighed in place."""
+    words = [f"{a}{b}{c}" for a in "bcdfghklmn" for b in "aeiou" for c in "bcdfghklmn"]
+    documents = [(i, f"alle {'eins' if i % 2 else 'zwei'} {words[i]} {words[i + 200]}") for i in range(100)] + [(100, None)]
+    queries = [(1, f"eins {words[7]} {words[450]}"), (2, f"zwei {words[204]} unbekannt"), (3, "alle"), (4, words[450])]
+    q, d = (spark.createDataFrame(rows, "id long, text string") for rows in (queries, documents))
+    vocabulary = sparse.build_vocabulary(d, "text")
+    assert vocabulary.repeated_bytes == 36 < 1000 < vocabulary.n_bytes
+    monkeypatch.setattr(sparse, "_weigh_counted_by_join", lambda *_: pytest.fail("the documents were weighed by a join"))
+    matches = sparse.topk_by_terms(q, d, 4, query_id="id", key="id", vocabulary_bytes=1000)
+    assert found(matches) == expected_sparse(queries, documents, 4)
+
+
+@pytest.mark.parametrize("vocabulary_bytes", [0, 1000, sparse.BROADCAST_BYTES])
+def test_documents_are_cut_down_to_the_asked_terms(spark, vocabulary_bytes):
+    queries, documents = sparse_texts(3, 14), sparse_texts(90, 15, hot=True)
+    q, d = (spark.createDataFrame(rows, "id long, text string") for rows in (queries, documents))
+    vocabulary = sparse.build_vocabulary(d, "text")
+    asked = sparse.Asked.by(sparse.term_vectors(q, "id", "text", vocabulary))
+    whole = {r["id"]: dict(zip(r["terms"], r["weights"])) for r in sparse.term_vectors(d, "id", "text", vocabulary).collect()}
+    terms = {t for r in sparse.term_vectors(q, "id", "text", vocabulary).collect() for t in r["terms"]}
+    cut = sparse.term_vectors(
+        d, "id", "text", vocabulary, broadcast_bytes=vocabulary_bytes, hot_terms=4, asked=asked, counted_from=True
+    ).collect()
+    want = {key: {t: w for t, w in vector.items() if t in terms} for key, vector in whole.items() if terms & vector.keys()}
+    assert {r["id"]: dict(zip(r["terms"], map(pytest.approx, r["weights"]))) for r in cut} == want
+    assert any(len(want[key]) < len(whole[key]) for key in want)
+    matches = sparse.topk_by_terms(q, d, 4, query_id="id", key="id", vocabulary_bytes=vocabulary_bytes)
+    assert found(matches) == expected_sparse(queries, documents, 4)
+
+
+def test_a_word_in_every_document_or_the_only_document(spark):
+    for documents in ([(1, "a b")], [(1, "a b"), (2, "a b")], [(1, None)], []):
+        d = spark.createDataFrame(documents, "id long, text string")
+        for vocabulary_bytes in (0, 1000):
+            assert found(sparse.topk_by_terms(d, d, 4, query_id="id", key="id", vocabulary_bytes=vocabulary_bytes)) == []
+
+
 def test_term_counts(spark):
     df = spark.createDataFrame([("b a B, c",), ("",), (None,), ("12 x",)], "t string")
     out = df.select(sparse.term_counts(F.col("t")).alias("c")).collect()
