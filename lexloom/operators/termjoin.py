@@ -66,10 +66,19 @@ def _partial_scores(asked: DataFrame, entries: DataFrame, s: JoinSettings) -> Da
 
 
 def _exact_scores(pairs: DataFrame, queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """``(query_id, key, dot)`` of the given pairs, summed over a query's terms in their order."""
-    add = lambda total, e: total + e["weights"] * F.coalesce(F.try_element_at("weight_of", e["terms"]), F.lit(0.0))
-    met = pairs.select("query_id", "key").join(documents.select("key", "weight_of"), "key").join(queries, "query_id")
-    return met.select("query_id", "key", F.aggregate(F.arrays_zip("terms", "weights"), F.lit(0.0), add).alias("dot"))
+    """``(query_id, key, dot)`` of the given pairs.
+
+    A pair's document is taken apart into its terms, which are looked up in the query's, so that a pair costs the terms of one side and not the
+    product of both. Rows of a repeated key (``row``, ``asked_row``) are scored one by one.
+    """
+    entries = pairs.select("query_id", "key").join(documents.select("key", "row", "terms", "weights"), "key")
+    entries = entries.select("query_id", "key", "row", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
+    entries = entries.select("query_id", "key", "row", F.col("e.terms").alias("term"), F.col("e.weights").alias("weight"))
+    asked = queries.select("query_id", "asked_row", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
+    asked = asked.select("query_id", "asked_row", F.col("e.terms").alias("term"), F.col("e.weights").alias("asked"))
+    met = entries.join(asked, ["query_id", "term"])
+    dots = met.groupBy("query_id", "key", "row", "asked_row").agg(F.sum(F.col("asked") * F.col("weight")).alias("dot"))
+    return dots.select("query_id", "key", "dot")
 
 
 def _best(scored: DataFrame, by: str, k: int) -> DataFrame:
@@ -104,9 +113,10 @@ def topk_by_term_join(
         rows = df.select(F.col(name).alias(new_name), F.col(body).alias("body")).where(F.col(new_name).isNotNull())
         return sparse.term_vectors(rows, new_name, "body", vocabulary, separators, vocabulary_bytes, **options)
 
-    asked_vectors = written(vectors(queries, query_id, query_text, "query_id"), "query-vectors")
+    asked_vectors = vectors(queries, query_id, query_text, "query_id")
+    asked_vectors = written(asked_vectors.withColumn("asked_row", F.monotonically_increasing_id()), "query-vectors")
     terms = sparse.Asked.by(asked_vectors) if own else None
-    held = vectors(documents, key, text, "key", asked=terms, counted_from=own).withColumn("weight_of", F.map_from_arrays("terms", "weights"))
+    held = vectors(documents, key, text, "key", asked=terms, counted_from=own).withColumn("row", F.monotonically_increasing_id())
     held = written(held, "document-vectors")
     entries = _entries(held, "key")
 

@@ -61,3 +61,19 @@ def test_long_frequent_terms_take_part(spark):
     for bytes_ in (0, 1 << 20):
         found = termjoin.topk_by_term_join(asked, documents, 3, vocabulary_bytes=bytes_, settings=JoinSettings(rows_per_salt=10))
         assert sorted(map(tuple, found.rows.collect())) == blocks and len(blocks) == 6
+
+
+def test_a_pair_is_scored_by_joined_terms(spark):
+    """Looking each term of a query up in a document's whole map takes the product of the two sides' terms for every pair."""
+    documents, asked = texts(spark, 100, 1), texts(spark, 20, 2).withColumnRenamed("key", "query_id")
+    plan = termjoin.topk_by_term_join(asked, documents).rows._jdf.queryExecution().executedPlan().toString()
+    assert "element_at" not in plan and "lambdafunction" not in plan
+
+
+def test_rows_of_a_repeated_key_are_scored_one_by_one(spark):
+    pairs = spark.createDataFrame([("q", 1)], "query_id string, key long")
+    vectors = "terms array<string>, weights array<double>"
+    held = spark.createDataFrame([(1, 0, ["a", "b"], [0.6, 0.8]), (1, 1, ["b", "c"], [0.5, 0.5])], f"key long, row long, {vectors}")
+    asked = spark.createDataFrame([("q", 0, ["a", "b"], [0.5, 1.0]), ("q", 1, ["c"], [1.0])], f"query_id string, asked_row long, {vectors}")
+    dots = sorted(round(r["dot"], 9) for r in termjoin._exact_scores(pairs, asked, held).collect())
+    assert dots == [0.5, 0.5, 1.1]
