@@ -209,6 +209,89 @@ def test_successors_are_searched_below_their_context_alone(monkeypatch):
         assert sorted(place[place >= 0]) == inside.tolist() and set(np.concatenate([*read, inside])) <= set(inside)
 
 
+def test_stretches_of_successors(monkeypatch):
+    """A stretch holds the values one by one, and a search for successors of a context decodes none but its own."""
+    r = np.random.default_rng(5)
+    for n, universe in ((1, 1), (7, 10**12), (500, 700), (3000, 10**6)):
+        values = np.sort(r.integers(0, universe, n))
+        packed = eliasfano.EliasFano(values, universe)
+        assert packed.all().tolist() == values.tolist() == packed.get(np.arange(n)).tolist()
+        for begin, end in r.integers(0, n + 1, (40, 2)):
+            assert packed.stretch(begin, end).tolist() == values[begin : max(begin, end)].tolist()
+    n_words = 60
+    code = np.sort(r.choice(n_words * n_words, 400, replace=False))
+    context, word = code // n_words, code % n_words
+    trie = ngrams.Trie(n_words, word, context, np.zeros(n_words), np.zeros(n_words), np.zeros(len(code)), 65536)
+    read = []
+    stretch = eliasfano.EliasFano.stretch
+
+    def watched(self, begin, end):
+        if self is trie.successors:
+            read.append((begin, end))
+        return stretch(self, begin, end)
+
+    monkeypatch.setattr(eliasfano.EliasFano, "stretch", watched)
+    for c in range(n_words):
+        read.clear()
+        place = trie.pair_places(np.full(n_words, c), np.arange(n_words))
+        inside = np.flatnonzero(context == c)
+        assert np.flatnonzero(place >= 0).tolist() == word[inside].tolist() and place[place >= 0].tolist() == inside.tolist()
+        assert read == ([(inside[0], inside[-1] + 1)] if len(inside) else [])
+
+
+def test_texts_of_the_language_model_are_not_shuffled(documents):
+    plan = ngrams.score_texts(documents, s=ngrams.Settings(order=3))._jdf.queryExecution().sparkPlan().toString()
+    grouped = [line for line in plan.splitlines() if "FlatMap" in line]
+    assert len(grouped) >= 5 and not [line for line in grouped if "text#" in line]
+
+
+def test_what_the_language_model_shuffles_is_small(texts):
+    """A part takes less than its texts do when compressed, and a shard's word on common pairs far less than totals."""
+    own = [t or "" for _, t in texts]
+    count, words = ngrams._hashes(pa.array(own))
+    rows = pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in texts], "held_out": [False] * len(own), "learned": [True] * len(own)})
+    part = pa.Table.from_batches([ngrams._part(3, [rows], [count], [words])])
+    found = ngrams._tokens(part)
+    assert (found.keys[found.word] == words).all() and found.count.tolist() == [len(t.split()) + 1 for t in own]
+    assert part.nbytes < len(pa.Codec("lz4").compress("".join(own).encode()))
+    asked = list(ngrams._ask(1)((pa.scalar(3),), iter(part.to_batches())))
+    asked += [b.set_column(1, "part", pa.array([4])) for b in asked]
+    totals, common = (
+        {(b["part"][0].as_py(), b["level"][0].as_py()): b["totals"][0].as_py() for b in ngrams._answer(3, only)((pa.scalar(0),), iter(asked))}
+        for only in (False, True)
+    )
+    assert set(common) == {(3, 2), (4, 2)} and len(totals) == 4
+    for key, raw in common.items():
+        both = ngrams._from_squeezed(totals[key])
+        assert (ngrams._from_squeezed(raw) == (both & np.uint64(1))).all() and 4 * len(raw) < len(totals[key])
+    for values in ([], [0], [2**63, 1], [0, 1] * 5000):
+        assert ngrams._from_squeezed(ngrams._squeezed(np.array(values, np.uint64))).tolist() == values
+
+
+def test_a_part_with_other_rows_than_it_asked_for():
+    make = lambda words: pa.Table.from_batches([ngrams._part(0, [rows], [np.array([len(words)])], [np.array(words, np.uint64)])])
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1], "held_out": [False], "learned": [True]})
+    asked = list(ngrams._ask(1)((pa.scalar(0),), iter(make([5, 6, 7]).to_batches())))
+    common = pa.Table.from_batches(ngrams._answer(3, True)((pa.scalar(0),), iter(asked)))
+    run = ngrams._ask_triples(1)
+    assert run((pa.scalar(0),), make([5, 6, 7]), common).num_rows == 0
+    with pytest.raises(ValueError, match="checkpoint"):
+        run((pa.scalar(0),), make([5, 6, 7, 8]), common)
+
+
+def test_parts_of_the_language_model_do_not_change_it(spark):
+    r = random.Random(3)
+    rows = [(i % 70 if i % 9 else None, " ".join(r.choices("abcdefgh", k=r.randint(0, 30))) if i % 7 else None) for i in range(200)]
+    rows += rows[:40] + [(500, "a b " * 4000), (501, ""), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    s = ngrams.Settings(order=3, part_bytes=900)
+    key = lambda row: (repr(row["doc_id"]), row["n_tokens"], row["base_score"], row["score"])
+    one, many = (sorted(ngrams.score_texts(frame.repartition(n), s=x).collect(), key=key) for n, x in ((1, ngrams.Settings(order=3)), (7, s)))
+    assert len(one) == len(many) == len(rows)
+    for a, b in zip(one, many, strict=True):
+        assert a[:5] == b[:5] and a["base_score"] == pytest.approx(b["base_score"]) and a["score"] == pytest.approx(b["score"], rel=1e-4)
+
+
 def test_language_model(documents, texts):
     want = brute.language_model(texts, 500.0)
     for part_bytes in (60_000, 8 << 20):
